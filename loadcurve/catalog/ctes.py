@@ -25,6 +25,9 @@ def sql(final: str) -> str:
     if not needed:
         return final
     ordered = [f"{n} AS ({_CTES[n]})" for n in _CTES if n in needed]
+    body = final.lstrip()
+    if body.startswith("WITH "):
+        return "WITH " + ",\n".join(ordered) + ",\n" + body.removeprefix("WITH ")
     return "WITH " + ",\n".join(ordered) + "\n" + final
 
 
