@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,16 @@ from loadcurve.session import scratch_path
 from loadcurve.sources import fixtures as fx
 
 # A forecast by formula, so that curves, slopes and segments can be checked in SQL.
-_FORMULA = "0.4 * lag_1h + 0.3 * rollmean_24h + 0.2 * {t} * lag_24h + 0.1 * {t} * {t} + 0.001 * hour + 0.0001 * precipitation"
+_FORMULA = (
+    "0.41379163 * lag_1h + 0.30718271 * rollmean_24h + 0.20931937 * {t} * lag_24h + 0.10173539 * {t} * {t}"
+    " + 0.00113717 * {h} + 0.00013717931 * {p}"
+)
+
+
+def _formula_text(t: str = "apparent_temperature_norm", h: str = "hour", p: str = "precipitation") -> str:
+    # Exponents make both engines read the constants as doubles.
+    return re.sub(r"(0\.\d+)", r"\1e0", _FORMULA).format(t=t, h=h, p=p)
+
 
 # Small settings for the checks; the defaults of the training functions are the full ones.
 FOREST = {"num_trees": 10, "max_depth": 5, "max_bins": 32}
@@ -25,8 +36,8 @@ BOOSTED = {"max_iter": 5, "max_depth": 4, "max_bins": 32}
 _fitted: dict[tuple[str, str, str], object] = {}
 
 
-def _formula(temperature: str = "apparent_temperature_norm") -> models.Scorer:
-    return models.column_scorer(F.expr(_FORMULA.format(t=temperature)))
+def _formula() -> models.Scorer:
+    return models.column_scorer(F.expr(_formula_text()))
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +118,7 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 cte("formula_curves", f"""
-SELECT building_name, full_timestamp, g / 10.0 AS grid, {_FORMULA.format(t='(g / 10.0)')} AS y_pred
+SELECT building_name, full_timestamp, g / 10.0 AS grid, {_formula_text(t='(g / 10.0)')} AS y_pred
 FROM features, range(11) r(g)
 """)
 cte("formula_slopes", """
@@ -174,15 +185,12 @@ cte("median_row", "SELECT " + ", ".join(f"median({c})::DOUBLE AS {c}" for c in K
 
 
 @query("profile_at_median", sql(f"""
-SELECT {sql_r6('g / 40.0', 'grid')}, {sql_r6(_FORMULA.format(t='(g / 40.0)'), 'y_pred')}, 'temperature' AS profile
+SELECT {sql_r6('g / 40.0', 'grid')}, {sql_r6(_formula_text(t='(g / 40.0)'), 'y_pred')}, 'temperature' AS profile
 FROM median_row, range(41) r(g)
 UNION ALL
-SELECT g::DOUBLE, round(0.4 * lag_1h + 0.3 * rollmean_24h + 0.2 * apparent_temperature_norm * lag_24h
-       + 0.1 * apparent_temperature_norm * apparent_temperature_norm + 0.001 * g + 0.0001 * precipitation, 6) + 0.0, 'hour'
-FROM median_row, range(24) r(g)
+SELECT g::DOUBLE, {sql_r6(_formula_text(h='g'), 'y_pred')}, 'hour' FROM median_row, range(24) r(g)
 UNION ALL
-SELECT round(g / 40.0 * p99, 6) + 0.0, round(0.4 * lag_1h + 0.3 * rollmean_24h + 0.2 * apparent_temperature_norm * lag_24h
-       + 0.1 * apparent_temperature_norm * apparent_temperature_norm + 0.001 * hour + 0.0001 * (g / 40.0 * p99), 6) + 0.0, 'precipitation'
+SELECT {sql_r6('g / 40.0 * p99', 'grid')}, {sql_r6(_formula_text(p='(g / 40.0 * p99)'), 'y_pred')}, 'precipitation'
 FROM median_row, (SELECT greatest(quantile_cont(precipitation, 0.99), 1e-6) AS p99 FROM features), range(41) r(g)
 """))
 def profile(spark: SparkSession, sf: str) -> DataFrame:

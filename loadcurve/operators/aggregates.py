@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -160,25 +161,57 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def _pearson(n: float, su: float, sv: float, suu: float, svv: float, suv: float) -> float | None:
+    spread_u, spread_v = n * suu - su * su, n * svv - sv * sv
+    if spread_u <= 1e-12 * n * suu or spread_v <= 1e-12 * n * svv:
+        return None
+    return max(-1.0, min(1.0, (n * suv - su * sv) / math.sqrt(spread_u * spread_v)))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present, long form.
 
-    All pairs are one aggregate pass; a pair without variance gives NULL.
+    A first pass takes means and gaps; a second sums products of centred values, where only pairs
+    with gaps need sums of their own. Plain sums keep a wide matrix within generated code. A pair
+    without variance gives NULL.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = df.agg(
-        *[
-            F.corr(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")).alias(f"c{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        value = F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("corr")
-        for left, right in {(a, b), (b, a)}:
-            entries.append(F.struct(F.lit(left).alias("left_col"), F.lit(right).alias("right_col"), value))
-    return cells.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    x = {c: F.col(quoted(c)).cast("double") for c in columns}
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(columns)],
+    ).first()
+    has_gaps = {c for i, c in enumerate(columns) if first[f"n{i}"] < first["n"]}
+    centred = {c: x[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
+
+    sums: dict[tuple, Column] = {}
+
+    def total(kind: tuple, value: Column, *partners: str) -> tuple:
+        masks = sorted(set(partners) & has_gaps)
+        key = (*kind, *masks)
+        if key not in sums:
+            for m in masks:
+                value = F.when(x[m].isNotNull(), value)
+            sums[key] = F.coalesce(F.sum(value), F.lit(0.0))
+        return key
+
+    pairs = []
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
+            u, v = centred[a], centred[b]
+            parts = [
+                total(("n",), F.lit(1.0), a, b), total(("s", a), u, b), total(("s", b), v, a),
+                total(("q", a), u * u, b), total(("q", b), v * v, a), total(("p", a, b), u * v),
+            ]
+            pairs.append((a, b, parts))
+    values = dict(zip(sums, df.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums.values())]).first()))
+    # columns x columns numbers from here on.
+    rows = []
+    for a, b, parts in pairs:
+        r = _pearson(*[values[k] for k in parts])
+        rows += [(left, right, r) for left, right in {(a, b), (b, a)}]
+    return df.sparkSession.createDataFrame(rows, "left_col string, right_col string, corr double")
 
 
 def summary_five_number(df: DataFrame, column: str, **options) -> DataFrame:

@@ -7,7 +7,7 @@ with columns (region, holiday_date) can be passed wherever this one is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # One-off holidays.
@@ -117,15 +117,7 @@ def _gb_days(year: Column) -> list[Column]:
     ]
 
 
-def calendar_dimension(df: DataFrame, ts: str = "full_timestamp") -> DataFrame:
-    """(calendar, holiday_date) for every year from the first to the last in the data.
-
-    `calendar` is NSW or GB. Bounded by years x about 15 days x 2.
-    """
-    bounds = df.agg(F.min(F.year(ts)).alias("first"), F.max(F.year(ts)).alias("last"))
-    years = bounds.where(F.col("first").isNotNull()).select(
-        F.explode(F.sequence("first", "last")).alias("year")
-    )
+def _holidays_of(years: DataFrame) -> DataFrame:
     y = F.col("year")
     calendars = F.array(
         F.struct(F.lit("NSW").alias("calendar"), F.array(*_nsw_days(y)).alias("days")),
@@ -139,5 +131,22 @@ def calendar_dimension(df: DataFrame, ts: str = "full_timestamp") -> DataFrame:
     )
 
 
+def calendar_dimension(df: DataFrame, ts: str = "full_timestamp") -> DataFrame:
+    """(calendar, holiday_date) for every year from the first to the last in the data.
+
+    `calendar` is NSW or GB. Bounded by years x about 15 days x 2.
+    """
+    bounds = df.agg(F.min(F.year(ts)).alias("first"), F.max(F.year(ts)).alias("last"))
+    years = bounds.where(F.col("first").isNotNull()).select(
+        F.explode(F.sequence("first", "last")).alias("year")
+    )
+    return _holidays_of(years)
+
+
+def standing_calendar(spark: SparkSession, first: int = 1900, last: int = 2199) -> DataFrame:
+    """(calendar, holiday_date) for a fixed span of years."""
+    return _holidays_of(spark.range(first, last + 1).select(F.col("id").cast("int").alias("year")))
+
+
 def calendar_of_region(region: Column) -> Column:
     return F.when(F.upper(region) == "NSW", F.lit("NSW")).otherwise(F.lit("GB"))

@@ -8,20 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.functions import timefns
-from loadcurve.operators.holidays import calendar_dimension, calendar_of_region
-from loadcurve.operators.sized import join_lookup
+from loadcurve.operators.holidays import calendar_of_region, standing_calendar
+from loadcurve.operators.sized import assert_unique_key, join_lookup
 
 
-class DuplicateKeyError(ValueError):
-    """The lookup side of a many-to-one join has a repeated key."""
-
-
-def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Return the frame, or raise when a key repeats. The check is one combined aggregate."""
-    repeated = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-    if repeated:
-        raise DuplicateKeyError(f"key {list(keys)} repeats: {repeated[0].asDict()}")
-    return df
+__all__ = [
+    "assert_unique_key", "cross_join_grid", "join_building_region", "join_holiday_calendar",
+    "join_preds_features", "join_weather_hour", "repeated_keys", "semi_join_keys", "unscored_entities",
+]
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,11 +31,9 @@ def join_weather_hour(
     Readings without weather are left out.
     """
     keys = ["timestamp_hour"] + (["region"] if {"region"} <= set(readings.columns) & set(weather.columns) else [])
-    if check_unique:
-        assert_unique_key(weather, keys)
     overlap = [c for c in weather.columns if c in readings.columns and c not in keys]
     keyed = readings.drop(*overlap).withColumn("timestamp_hour", timefns.floor_hour(F.col(ts)))
-    return join_lookup(keyed, weather, keys)
+    return join_lookup(keyed, weather, keys, unique=check_unique)
 
 
 def join_holiday_calendar(
@@ -54,18 +46,20 @@ def join_holiday_calendar(
 ) -> DataFrame:
     """Flag rows whose date is a holiday of their region (NSW, else GB).
 
-    `holidays` is a dimension of (calendar, holiday_date); by default it is derived for the years
-    in the data, which bounds it to a few rows a year.
+    `holidays` is a dimension of (calendar, holiday_date). By default it is the standing calendar
+    of 1900 to 2199: a fixed table of about 9,000 rows, so the data are not read for it.
     """
-    holidays = calendar_dimension(df, ts) if holidays is None else holidays
+    own = holidays is not None
+    holidays = holidays if own else standing_calendar(df.sparkSession)
     marked = holidays.select(
         F.col("calendar").alias("__calendar"), F.col("holiday_date").alias("__day"), F.lit(1).alias("__hit")
     ).distinct()
     region = F.col("region") if region is None else region
     keyed = df.withColumns({"__calendar": calendar_of_region(region), "__day": F.col(ts).cast("date")})
+    keys = ["__calendar", "__day"]
+    joined = join_lookup(keyed, marked, keys, "left") if own else keyed.join(F.broadcast(marked), keys, "left")
     return (
-        join_lookup(keyed, marked, ["__calendar", "__day"], "left")
-        .withColumn(out, F.coalesce(F.col("__hit"), F.lit(0)))
+        joined.withColumn(out, F.coalesce(F.col("__hit"), F.lit(0)))
         .drop("__calendar", "__day", "__hit")
     )
 

@@ -21,28 +21,37 @@ def _scaled(x: Column, low: Column, high: Column, floor: float, constant_value:
     return F.when(flat, F.lit(float(constant_value))).otherwise(scaled)
 
 
-def normalize_minmax_global(
+def normalize_minmax_columns(
     df: DataFrame,
-    column: str,
-    out: str,
+    columns: dict[str, str],
     *,
     floor: float = GLOBAL_FLOOR,
     constant_value: float | None = None,
 ) -> DataFrame:
-    """Scale a column by the minimum and maximum of the whole frame.
+    """Scale columns ({source: result}) by their minimum and maximum over the whole frame.
 
-    The range is at least `floor`. With `constant_value`, a constant or empty column takes that
-    value in every row instead.
+    All limits come from one aggregate. A range is at least `floor`. With `constant_value`, a
+    constant or empty column takes that value in every row instead.
     """
-    c = F.col(quoted(column))
-    limits = df.agg(F.min(c).alias("low"), F.max(c).alias("high"))
-    return (
-        attach_row(df, limits, "__limits")
-        .withColumn(
-            out, _scaled(c, F.col("__limits.low"), F.col("__limits.high"), floor, constant_value)
-        )
-        .drop("__limits")
+    limits = df.agg(
+        *[
+            side(quoted(c)).alias(f"{tag}{i}")
+            for i, c in enumerate(columns)
+            for tag, side in (("low", F.min), ("high", F.max))
+        ]
     )
+    scaled = {
+        out: _scaled(
+            F.col(quoted(c)), F.col(f"__limits.low{i}"), F.col(f"__limits.high{i}"), floor, constant_value
+        )
+        for i, (c, out) in enumerate(columns.items())
+    }
+    return attach_row(df, limits, "__limits").withColumns(scaled).drop("__limits")
+
+
+def normalize_minmax_global(df: DataFrame, column: str, out: str, **options) -> DataFrame:
+    """Scale one column by the minimum and maximum of the whole frame."""
+    return normalize_minmax_columns(df, {column: out}, **options)
 
 
 def entity_limits(df: DataFrame, column: str, keys: Sequence[str], where: Column | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact ranks and quantiles of unbounded columns, without sorting a group in one task.
 
-Values are first counted (equal values combine before the shuffle), then cut into ranges at
-approximate quantiles, so that a range holds a bounded share of all rows whatever the groups look
-like. Ranks are the rows of earlier ranges, plus the running count within the range.
+Values are cut into ranges at approximate quantiles of the whole column, so that a range holds a
+bounded share of all rows whatever the groups look like. A rank is then the rows of earlier ranges
+(a small counted table) plus the running count within the range. A quantile needs only the ranges
+that hold its rank, so only their rows are shuffled.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.functions.columns import quoted
 from loadcurve.operators.onerow import attach_row
+from loadcurve.operators.sized import join_lookup
 
 ROWS_PER_RANGE = 500_000
 SMALL_ROWS = 200_000
@@ -25,17 +27,33 @@ def _range_count(rows: int, rows_per_range: int) -> int:
     return min(MAX_RANGES, max(1, -(-rows // rows_per_range)))
 
 
-def _cut_points(values: DataFrame, column: str, ranges: int) -> list[float]:
+def _cut_points(values: DataFrame, ranges: int) -> list[float]:
     """Inner cut points of near-equal ranges; at most MAX_RANGES numbers reach the driver."""
     if ranges < 2:
         return []
     probabilities = [i / ranges for i in range(1, ranges)]
     cuts = values.select(
-        F.percentile_approx(column, probabilities, max(10_000, 10 * ranges)).alias("cuts")
+        F.percentile_approx("value", probabilities, max(10_000, 10 * ranges)).alias("cuts")
     ).first()["cuts"]
     return sorted(set(cuts or []))
 
 
+def _in_ranges(values: DataFrame, ranges: int) -> DataFrame:
+    cuts = _cut_points(values, ranges)
+    if not cuts:
+        return values.withColumn("__range", F.lit(0.0))
+    return Bucketizer(
+        splits=[float("-inf"), *cuts, float("inf")],
+        inputCol="value", outputCol="__range", handleInvalid="keep",
+    ).transform(values)
+
+
+def _target_ranks(total: Column, probability: float) -> tuple[Column, Column, Column]:
+    """Ranks below and above a quantile, and the weight of the upper one."""
+    at = (total - 1) * F.lit(float(probability))
+    return F.floor(at), F.ceil(at), at - F.floor(at)
+
+
 def value_ranks(
     df: DataFrame,
     column: str,
@@ -43,46 +61,43 @@ def value_ranks(
     *,
     rows: int | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    probabilities: Sequence[float] | None = None,
 ) -> DataFrame:
-    """One row per (group, distinct value): `value`, `n`, `before` (rows below), `total` (group rows)."""
+    """One row per (group, distinct value): `value`, `n`, `before` (rows below), `total` (group rows).
+
+    With `probabilities`, only values from ranges that hold the ranks of those quantiles.
+    """
     by = list(by)
     present = df.select(*by, F.col(quoted(column)).cast("double").alias("value")).where(
         F.col("value").isNotNull()
     )
     n_rows = present.count() if rows is None else rows
-    cuts = _cut_points(present, "value", _range_count(n_rows, rows_per_range))
-    counted = present.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        counted = Bucketizer(
-            splits=splits, inputCol="value", outputCol="__range", handleInvalid="keep"
-        ).transform(counted)
-    else:
-        counted = counted.withColumn("__range", F.lit(0.0))
-    range_totals = counted.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
-    # One row per group and range, so ordering a group here means MAX_RANGES rows at most.
+    placed = _in_ranges(present, _range_count(n_rows, rows_per_range))
+    # One row per group and range, so a group has MAX_RANGES rows here at most.
+    counts = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    offsets = range_totals.select(
-        *[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)],
-        F.col("__range").alias("__offset_range"),
-        F.coalesce(
-            F.sum("__n").over(
-                group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__below"),
+    earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *by,
+        "__range",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__below"),
         F.sum("__n").over(group).alias("total"),
+        "__n",
     )
-    within = Window.partitionBy(*by, "__range").orderBy("value")
-    running = counted.withColumn(
-        "__inside", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    )
-    matches = F.col("__range") == F.col("__offset_range")
-    for i, c in enumerate(by):
-        matches = matches & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
-    return running.join(offsets, matches).select(
-        *by, "value", "n", (F.col("__below") + F.col("__inside")).alias("before"), "total"
+    if probabilities is not None:
+        first, last = F.col("__below"), F.col("__below") + F.col("__n") - 1
+        holds = F.lit(False)
+        for p in probabilities:
+            lower, upper, _ = _target_ranks(F.col("total"), p)
+            holds = holds | ((lower <= last) & (upper >= first))
+        offsets = offsets.where(holds)
+    kept = join_lookup(placed, offsets.drop("__n"), [*by, "__range"], null_safe=True)
+    counted = kept.groupBy(*by, "__range", "__below", "total", "value").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    within = Window.partitionBy(*by, "__range").orderBy("value")
+    inside = F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return counted.select(*by, "value", "n", (F.col("__below") + inside).alias("before"), "total")
 
 
 def exact_quantiles(
@@ -110,21 +125,23 @@ def exact_quantiles(
             .agg(all_q.alias("__q"))
             .select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
         )
-    ranks = value_ranks(df, column, by, rows=n_rows, rows_per_range=rows_per_range)
+    ranks = value_ranks(
+        df, column, by, rows=n_rows, rows_per_range=rows_per_range, probabilities=probabilities
+    )
     first, last = F.col("before"), F.col("before") + F.col("n") - 1
     picks = []
     for i, p in enumerate(probabilities):
-        at = (F.col("total") - 1) * F.lit(float(p))
-        for tag, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+        lower, upper, _ = _target_ranks(F.col("total"), p)
+        for tag, rank in (("lo", lower), ("hi", upper)):
             picks.append(
                 F.max(F.when((first <= rank) & (rank <= last), F.col("value"))).alias(f"__{tag}{i}")
             )
     picked = ranks.groupBy(*by).agg(F.max("total").alias("__total"), *picks)
     out = []
     for i, (p, name) in enumerate(zip(probabilities, names)):
-        at = (F.col("__total") - 1) * F.lit(float(p))
+        _, _, weight = _target_ranks(F.col("__total"), p)
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        out.append((lo + (hi - lo) * weight).alias(name))
     return picked.select(*by, *out)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +14,41 @@ from loadcurve.session import cut_lineage
 BROADCAST_ROWS = 500_000
 
 
+class DuplicateKeyError(ValueError):
+    """The lookup side of a many-to-one join has a repeated key."""
+
+
+def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Return the frame, or raise when a key repeats. The check is one combined aggregate."""
+    repeated = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+    if repeated:
+        raise DuplicateKeyError(f"key {list(keys)} repeats: {repeated[0].asDict()}")
+    return df
+
+
 def join_lookup(
     df: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
     *,
+    unique: bool = False,
+    null_safe: bool = False,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a narrow lookup table.
 
     The lookup is computed once and counted. Up to `max_rows` rows it is broadcast and the large
     side is not shuffled. A larger one is joined by sort-merge, where hot keys are split at run time.
+    `unique` makes a repeated lookup key an error; `null_safe` lets NULL keys match each other.
     """
     stored = cut_lineage(lookup)
-    side = F.broadcast(stored) if stored.count() <= max_rows else stored
-    return df.join(side, list(keys), how)
+    if unique:
+        assert_unique_key(stored, keys)
+    fits = stored.count() <= max_rows
+    if not null_safe:
+        return df.join(F.broadcast(stored) if fits else stored, list(keys), how)
+    renamed = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    stored = stored.withColumnsRenamed(renamed)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
+    return df.join(F.broadcast(stored) if fits else stored, same, how).drop(*renamed.values())

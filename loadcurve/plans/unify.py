@@ -17,7 +17,7 @@ from loadcurve.functions.columns import (
 from loadcurve.functions.values import clip_unit, unit_to_kwh
 from loadcurve.operators.aggregates import agg_weather_hourly
 from loadcurve.operators.joins import join_holiday_calendar, join_weather_hour
-from loadcurve.operators.normalize import normalize_minmax_global
+from loadcurve.operators.normalize import normalize_minmax_columns, normalize_minmax_global
 from loadcurve.operators.reshape import melt_wide_readings, union_sources
 from loadcurve.sources.readers import scan_multi_file, scan_source
 
@@ -72,10 +72,10 @@ def standardize_readings(
         canonical["is_holiday"] = coerce_flag(df, holiday_name)
     extras = [F.col(quoted(c)) for c in columns if c not in {*canonical, "is_holiday"}]
     out = resolved.select(*[c.alias(n) for n, c in canonical.items()], *extras)
-    if usage_norm is None:
-        out = normalize_minmax_global(out, "usage_kwh_norm", "usage_kwh_norm")
-    if temperature_norm is None:
-        out = normalize_minmax_global(out, "apparent_temperature_norm", "apparent_temperature_norm")
+    raw = ["usage_kwh_norm"] * (usage_norm is None)
+    raw += ["apparent_temperature_norm"] * (temperature_norm is None)
+    if raw:
+        out = normalize_minmax_columns(out, {c: c for c in raw})
     out = filter_weather_present(out)
     if holiday_name is None:
         out = join_holiday_calendar(out, holidays)
@@ -174,7 +174,7 @@ def attach_weather(usage: DataFrame, raw_weather: DataFrame) -> DataFrame:
         }
     ).dropna(subset=["full_timestamp", "usage_kwh"])
     scaled = normalize_minmax_global(typed, "usage_kwh", "usage_kwh_norm", constant_value=0.0)
-    joined = join_weather_hour(filter_on_hour(scaled), prepare_weather(raw_weather))
+    joined = join_weather_hour(filter_on_hour(scaled), prepare_weather(raw_weather), check_unique=False)
     kept = filter_weather_present(joined, ["apparent_temperature_norm"])
     trimmed = drop_columns(kept, ["season", "timestamp_hour", "usage_kwh", "apparent_temperature"])
     return reorder_columns(trimmed, K.WEATHER_JOINED_COLUMNS)

@@ -22,13 +22,16 @@ def sink_parquet(
 ) -> None:
     """Parquet by partition column, sorted within files so that row-group statistics are narrow.
 
-    Rows are range-partitioned by the partition and sort columns, so a region that holds most rows
-    still becomes many files.
+    Rows are rebalanced by region and building: a building stays together, and one that is too large
+    for a task is split at run time, without a sampling pass over the input.
     """
     partition_by = [c for c in partition_by if c in df.columns]
-    order = [*partition_by, *[c for c in sort_by if c in df.columns]]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    ranged.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    sort_by = [c for c in sort_by if c in df.columns]
+    together = [*partition_by, *sort_by[:1]]
+    balanced = df.hint("rebalance", *together) if together else df
+    order = [*partition_by, *sort_by]
+    ordered = balanced.sortWithinPartitions(*order) if order else balanced
+    ordered.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def sink_head_sample(
