@@ -89,9 +89,20 @@ def day_flag(ts: Column) -> Column:
     return F.hour(ts).between(6, 18).cast("int")
 
 
+def slot_minutes(clock: Column) -> Column:
+    """Minutes after midnight of `HH:mm` text, 1440 for `24:00`; NULL when it is no such time."""
+    text = F.trim(clock)
+    hours = F.substring_index(text, ":", 1).try_cast("int")
+    minutes = F.substring_index(text, ":", -1).try_cast("int")
+    valid = (
+        (F.length(text) <= 5)
+        & text.contains(":")
+        & minutes.between(0, 59)
+        & (hours.between(0, 23) | ((hours == 24) & (minutes == 0)))
+    )
+    return F.when(valid, hours * 60 + minutes)
+
+
 def timestamp_2400_rollover(day: Column, clock: Column) -> Column:
     """Date plus `HH:mm` text, where `24:00` is midnight of the next day."""
-    text = F.trim(clock)
-    start = F.when(text == "24:00", F.date_add(day, 1)).otherwise(day)
-    hhmm = F.when(text == "24:00", F.lit("00:00")).otherwise(text)
-    return F.concat(start.cast("string"), F.lit(" "), hhmm).try_cast("timestamp_ntz")
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), slot_minutes(clock))

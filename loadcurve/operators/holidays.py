@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadcurve.session import cut_lineage
+
 # One-off holidays.
 NSW_ONE_OFF = ["2022-09-22"]
 GB_ONE_OFF = [
@@ -143,9 +145,16 @@ def calendar_dimension(df: DataFrame, ts: str = "full_timestamp") -> DataFrame:
     return _holidays_of(years)
 
 
+_standing: dict[tuple[str, int, int], DataFrame] = {}
+
+
 def standing_calendar(spark: SparkSession, first: int = 1900, last: int = 2199) -> DataFrame:
-    """(calendar, holiday_date) for a fixed span of years."""
-    return _holidays_of(spark.range(first, last + 1).select(F.col("id").cast("int").alias("year")))
+    """(calendar, holiday_date) for a fixed span of years, computed once per application."""
+    key = (spark.sparkContext.applicationId, first, last)
+    if key not in _standing:
+        years = spark.range(first, last + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
+        _standing[key] = cut_lineage(_holidays_of(years))
+    return _standing[key]
 
 
 def calendar_of_region(region: Column) -> Column:

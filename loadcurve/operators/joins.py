@@ -53,7 +53,8 @@ def join_holiday_calendar(
     holidays = holidays if own else standing_calendar(df.sparkSession)
     marked = holidays.select(
         F.col("calendar").alias("__calendar"), F.col("holiday_date").alias("__day"), F.lit(1).alias("__hit")
-    ).distinct()
+    )
+    marked = marked.distinct() if own else marked
     region = F.col("region") if region is None else region
     keyed = df.withColumns({"__calendar": calendar_of_region(region), "__day": F.col(ts).cast("date")})
     keys = ["__calendar", "__day"]

@@ -32,6 +32,16 @@ def melt_wide_readings(
     ).where(F.col(value).isNotNull())
 
 
+def melt_slots(
+    df: DataFrame, id_columns: Sequence[str], labels: dict[str, int], *, slot: str, value: str
+) -> DataFrame:
+    """As `melt_wide_readings`, with a number per slot column in place of its name."""
+    pairs = [F.struct(F.lit(n).alias(slot), F.col(quoted(c)).alias(value)) for c, n in labels.items()]
+    return df.select(*[F.col(quoted(c)) for c in id_columns], F.inline(F.array(*pairs))).where(
+        F.col(value).isNotNull()
+    )
+
+
 def sort_canonical(
     df: DataFrame, keys: Sequence[str] = ("region", "building_name", "full_timestamp")
 ) -> DataFrame:

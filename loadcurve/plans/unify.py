@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from loadcurve.functions.values import clip_unit, unit_to_kwh
 from loadcurve.operators.aggregates import agg_weather_hourly
 from loadcurve.operators.joins import join_holiday_calendar, join_weather_hour
 from loadcurve.operators.normalize import normalize_minmax_columns, normalize_minmax_global
-from loadcurve.operators.reshape import melt_wide_readings, union_sources
+from loadcurve.operators.reshape import melt_slots, union_sources
 from loadcurve.sources.readers import scan_multi_file, scan_source
 
 
@@ -111,6 +112,15 @@ def unify_sources(
     return union_sources(frames)
 
 
+def _slot_minutes(name: str) -> int | None:
+    """Minutes after midnight of a slot column `HH:mm`; `24:00` is 1440, the next day's midnight."""
+    match = re.fullmatch(r"(\d{1,2}):(\d{1,2})", name.strip())
+    if match is None:
+        return None
+    minutes = int(match[1]) * 60 + int(match[2])
+    return minutes if int(match[2]) < 60 and minutes <= 1440 else None
+
+
 def wide_to_long_usage(
     wide: DataFrame,
     holidays: DataFrame | None = None,
@@ -120,12 +130,16 @@ def wide_to_long_usage(
 ) -> DataFrame:
     """Wide meter rows (one per station and day) to one row per slot, in kWh, with calendar columns."""
     lower = lowercase_trim_columns(drop_columns(wide, drop))
-    long = melt_wide_readings(lower, K.WIDE_ID_COLUMNS)
+    # The date is read once per wide row, before a row becomes many.
+    dated = lower.withColumn("date", parse_compact_date(F.col("date"))).where(F.col("date").isNotNull())
+    slots = {c: _slot_minutes(c) for c in lower.columns if c not in K.WIDE_ID_COLUMNS}
+    labels = {c: m for c, m in slots.items() if m is not None}
+    long = melt_slots(dated, K.WIDE_ID_COLUMNS, labels, slot="minutes", value="usage")
     typed = long.select(
         F.col(quoted("zone substation")).alias("building_name"),
-        timefns.timestamp_2400_rollover(parse_compact_date(F.col("date")), F.col("time")).alias(
-            "full_timestamp"
-        ),
+        (
+            F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes"))
+        ).alias("full_timestamp"),
         unit_to_kwh(coerce_numeric(long, "usage"), F.col("unit")).alias("usage_kwh"),
     ).where(F.col("full_timestamp").isNotNull() & F.col("usage_kwh").isNotNull())
     t = F.col("full_timestamp")

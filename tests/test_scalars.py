@@ -119,3 +119,9 @@ def test_seasons(spark):
 def test_pct_improve_guards_zero(spark):
     df = spark.createDataFrame([(2.0, 1.0), (0.0, 1.0), (None, 1.0)], "b double, m double")
     assert column(df.select(vals.pct_improve(F.col("b"), F.col("m")).alias("v"))) == [50.0, None, None]
+
+
+def test_slot_text(spark):
+    df = texts(spark, ["00:15", "24:00", " 7:05 ", "24:15", "12:60", "noon", "12", "00:15:00", "-1:00", None])
+    out = column(df.select(timefns.slot_minutes(F.col("v")).alias("v")))
+    assert out == [15, 1440, 425, None, None, None, None, None, None, None]
