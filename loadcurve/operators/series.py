@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loadcurve.functions import timefns
+from loadcurve.functions.columns import quoted
 from loadcurve.session import cut_lineage
 
 _SLICE, _SUB, _ROW, _SIZE = "__slice", "__sub", "__row", "__size"
@@ -117,7 +118,10 @@ def window_over_series(
     edge_rows = placed.where((F.col(_ROW) <= reach) | (to_end < reach))
     across = Window.partitionBy(*keys).orderBy(_SLICE, _SUB, _ROW)
     edges = edge_rows.withColumns(columns(across)).where(near_edge)
-    return inner.unionByName(edges).drop(*_WORK)
+    # Outputs of their own for the first branch let the optimizer tidy both subplans alike, so that
+    # the edges read the shuffle of the inner rows again.
+    names = [c for c in inner.columns if c not in _WORK]
+    return inner.select(*[F.col(quoted(c)).alias(c) for c in names]).unionByName(edges.drop(*_WORK))
 
 
 def with_positions(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadcurve import constants as K
 from loadcurve.functions import timefns
@@ -15,7 +16,7 @@ from loadcurve.functions.values import region_default
 from loadcurve.operators.aggregates import agg_weather_hourly
 from loadcurve.operators.joins import join_holiday_calendar, join_weather_hour
 from loadcurve.operators.normalize import (
-    encode_region, normalize_minmax_entity, normalize_minmax_global,
+    encode_region, normalize_minmax_entity, normalize_minmax_global, region_dimension,
 )
 from loadcurve.operators.series import window_over_hours, window_over_series
 
@@ -119,20 +120,19 @@ def build_features(
     """
     numeric = ["usage_kwh_norm", "apparent_temperature_norm", "precipitation"]
     flags = ["is_day", "is_holiday", "is_weekend"]
-    typed = readings.withColumns(
-        {c: coerce_numeric(readings, c) for c in numeric if c in readings.columns}
-        | {c: coerce_flag(readings, c) for c in flags if c in readings.columns}
-        | {
-            "full_timestamp": coerce_timestamp(readings, "full_timestamp"),
-            "region": region_default(F.col("region") if "region" in readings.columns else None),
-        }
-    ).dropna(subset=["building_name", "full_timestamp", "usage_kwh_norm", "apparent_temperature_norm"])
+    coerced = {c: coerce_numeric(readings, c) for c in numeric if c in readings.columns}
+    coerced |= {c: coerce_flag(readings, c) for c in flags if c in readings.columns}
+    coerced["region"] = region_default(F.col("region") if "region" in readings.columns else None)
+    if not isinstance(readings.schema["full_timestamp"].dataType, T.TimestampNTZType):
+        coerced["full_timestamp"] = coerce_timestamp(readings, "full_timestamp")
+    typed = readings.withColumns(coerced).dropna(subset=["building_name", "full_timestamp", "usage_kwh_norm", "apparent_temperature_norm"])
     keys = entity_keys(typed, region_in_key)
+    region_ids = region_dimension(typed) if regions is None else regions
     fit_where = None
     if fit_until is not None:
         fit_where = F.col("full_timestamp") <= F.lit(fit_until).cast("timestamp_ntz")
     scaled = normalize_minmax_entity(
-        encode_region(typed, regions), "usage_kwh_norm", "usage_pb", keys, fit_where=fit_where
+        typed, "usage_kwh_norm", "usage_pb", keys, fit_where=fit_where
     ).withColumnRenamed("usage_kwh_norm", "usage_kwh_norm_orig")
     lagged = add_lags(scaled, keys, mode=mode, **slicing)
     complete = lagged.dropna(
@@ -142,7 +142,7 @@ def build_features(
     dated = complete.withColumns(calendar).withColumn(
         "season", timefns.season_from_month(F.col("month"), hemisphere)
     )
-    return reorder_columns(dated, K.FEATURE_COLUMNS)
+    return reorder_columns(encode_region(dated, region_ids), K.FEATURE_COLUMNS)
 
 
 def load_weather(raw: DataFrame) -> DataFrame:
@@ -258,10 +258,11 @@ def prediction_features(
     if "is_holiday" not in df.columns:
         df = join_holiday_calendar(df, holidays)
     keys = entity_keys(df)
-    scaled = normalize_minmax_entity(encode_region(df, regions), "usage_kwh_norm", "usage_pb", keys)
+    region_ids = region_dimension(df) if regions is None else regions
+    scaled = normalize_minmax_entity(df, "usage_kwh_norm", "usage_pb", keys)
     lagged = add_lags(scaled, keys, mode=mode, target=False, **slicing)
     valid = lagged.dropna(subset=["lag_1h", "lag_24h", "rollmean_24h"])
-    last = latest_per_entity(valid, keys)
+    last = encode_region(latest_per_entity(valid, keys), region_ids)
     t = F.col("full_timestamp")
     return last.withColumns(
         timefns.calendar_parts(t)
