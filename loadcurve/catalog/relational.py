@@ -544,7 +544,7 @@ def lags_by_hours(spark: SparkSession, sf: str) -> DataFrame:
     scaled = normalize.normalize_minmax_entity(
         fx.unified(spark, sf), "usage_kwh_norm", "usage_pb", ["region", "building_name"]
     )
-    lagged = feat.add_lags(scaled, ["region", "building_name"], mode="hours")
+    lagged = feat.add_lags(scaled, ["region", "building_name"], mode="hours", unique_hours=True)
     columns = ["lag_1h", "lag_24h", "y_next"]
     return rounded(lagged.select("building_name", "full_timestamp", *columns), *columns)
 

@@ -86,13 +86,25 @@ def add_lags(
     target: bool = True,
     **slicing,
 ) -> DataFrame:
-    """Add lag, rolling-mean and target columns: `mode="rows"` by position, `"hours"` by elapsed time."""
+    """Add lag, rolling-mean and target columns: `mode="rows"` by position, `"hours"` by elapsed time.
+
+    By hours, the value of an hour with several rows is their highest; with `unique_hours=True`
+    (no such hour) the rows need not be combined first.
+    """
     ahead = 1 if target else 0
     if mode == "hours":
-        return window_over_hours(
-            df, keys, ts, lambda w: lag_columns_by_hours(w, usage, temperature, target),
-            before=K.ROLLING_ROWS, after=ahead,
-        )
+        def by_hours(frame: DataFrame, time: str) -> DataFrame:
+            return window_over_hours(
+                frame, keys, time, lambda w: lag_columns_by_hours(w, usage, temperature, target),
+                before=K.ROLLING_ROWS, after=ahead,
+            )
+
+        if slicing.get("unique_hours"):
+            return by_hours(df, ts)
+        hourly = df.withColumn("__at", timefns.floor_hour(F.col(ts)))
+        measured = [usage] + ([temperature] if temperature else [])
+        per_hour = hourly.groupBy(*keys, "__at").agg(*[F.max(c).alias(c) for c in measured])
+        return hourly.join(by_hours(per_hour, "__at").drop(*measured), [*keys, "__at"]).drop("__at")
     if mode != "rows":
         raise ValueError(f"unknown lag mode {mode!r}")
     ties = [usage] + ([temperature] if temperature else [])

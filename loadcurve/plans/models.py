@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 from loadcurve import constants as K
 from loadcurve.functions.columns import fill_absent_features
 from loadcurve.operators.aggregates import metric_mae_rmse
+from loadcurve.session import ensure_checkpoint_dir
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -55,6 +56,7 @@ def _fit(train: DataFrame, regressor, features: Sequence[str]) -> PipelineModel:
         stages.append(SQLTransformer(statement=_FILL_STATEMENT))
     stages.append(VectorAssembler(inputCols=_input_names(features), outputCol=_VECTOR))
     stages.append(regressor)
+    ensure_checkpoint_dir(train.sparkSession)
     columns = [*features, K.TARGET, *[c for c in ("__holdout",) if c in train.columns]]
     rows = train.select(*columns).where(F.col(K.TARGET).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -38,9 +38,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later branches read the same stored rows, also after executor loss."""
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let reliable checkpoints work where the cluster has not set their folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: later branches read the same stored rows, also after executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
