@@ -128,10 +128,10 @@ def downsample_every_nth(
     keys: Sequence[str] = ("building_name",),
     ts: str = "full_timestamp",
     max_points: int = 1000,
-    **slicing,
+    **series_options,
 ) -> DataFrame:
     """Every k-th row in time order, k = rows // max_points, for series longer than max_points."""
-    placed = with_positions(df, keys, ts, **slicing)
+    placed = with_positions(df, keys, ts, **series_options)
     step = F.greatest(F.floor(F.col("series_rows") / max_points), F.lit(1))
     step = F.when(F.col("series_rows") > max_points, step).otherwise(F.lit(1))
     return placed.where(F.col("position") % step == 0).drop("position", "series_rows")

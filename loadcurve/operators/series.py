@@ -1,9 +1,9 @@
 """Ordered row windows over long series, without one task per series.
 
-A building's series may be any length, and one building may hold a large share of all rows. Its rows
-are therefore cut into contiguous time slices; a slice is the unit that one task sorts. Row offsets
-within reach of a slice edge are worked out a second time over the edge rows alone (a few dozen per
-slice), which are ordered per building. The result equals a plain window over the whole series.
+A series with at most one row per hour is short (a century is 876,600 rows), and a plain window does.
+Where that is not known, series are counted first. One that is too long for a task is cut into
+contiguous ranges of its row order; a range is then what one task sorts. Row offsets within reach of
+a range's ends are worked out over the rows near the ends alone. The result equals a plain window.
 """
 
 from __future__ import annotations
@@ -16,74 +16,74 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loadcurve.functions import timefns
-from loadcurve.functions.columns import quoted
 from loadcurve.session import cut_lineage
 
-_SLICE, _SUB, _ROW, _SIZE = "__slice", "__sub", "__row", "__size"
-_WORK = [_SLICE, _SUB, _ROW, _SIZE]
+_RANGE, _ROW, _SIZE, _TIE = "__range", "__row", "__size", "__tie"
 
-MAX_SLICE_ROWS = 1_000_000
-BROADCAST_GROUPS = 100_000
+MAX_SERIES_ROWS = 1_000_000
+BROADCAST_SERIES = 100_000
 
 WindowColumns = Callable[[WindowSpec], dict[str, Column]]
 
 
-def _slice_number(ts: Column, width: str) -> Column:
-    if width == "year":
-        return F.year(ts)
-    if width == "month":
-        return F.year(ts) * 12 + F.month(ts)
-    if width == "day":
-        return F.unix_date(ts.cast("date"))
-    raise ValueError(f"unknown slice width {width!r}")
+def split_long_series(
+    df: DataFrame, keys: Sequence[str], max_rows: int = MAX_SERIES_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of series up to `max_rows`, and those of longer ones (None if there are none).
 
+    Series are counted with a combine before the shuffle. At most (all rows / `max_rows`) can be long.
+    """
+    names = [f"__long_{i}" for i in range(len(keys))]
+    long_keys = cut_lineage(
+        df.groupBy(*keys)
+        .count()
+        .where(F.col("count") > max_rows)
+        .select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    )
+    n_long = long_keys.count()
+    if n_long == 0:
+        return df, None
+    if n_long <= BROADCAST_SERIES:
+        long_keys = F.broadcast(long_keys)
+    is_long = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return df.join(long_keys, is_long, "left_anti"), df.join(long_keys, is_long, "left_semi")
+
+
+def _with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
+    """Add the number of the contiguous range of (keys, order) a row falls in.
 
-def with_slices(
+    A random last sort key lets even exact copies fall in several ranges. Rows are stored before
+    and after the cut, so that every later branch, and every retried task, sees the same ranges.
+    """
+    tied = cut_lineage(df.withColumn(_TIE, F.rand(17)))
+    ranges = max(2, 2 * -(-tied.count() // max_rows))
+    ranged = tied.repartitionByRange(ranges, *keys, *order, _TIE).withColumn(_RANGE, F.spark_partition_id())
+    return cut_lineage(ranged.drop(_TIE))
+
+
+def _over_ranges(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
     order: Sequence[str],
-    *,
-    width: str = "year",
-    unique_hours: bool = False,
-    max_slice_rows: int = MAX_SLICE_ROWS,
+    columns: WindowColumns,
+    before: int,
+    after: int,
+    max_rows: int,
 ) -> DataFrame:
-    """Add the slice columns.
-
-    With `unique_hours` the caller knows that no series has two rows in one hour, so a year is
-    8,784 rows at most. Otherwise slice sizes are counted, and the rows of slices above
-    `max_slice_rows` are split further into ranges of the full row order; a random last sort key
-    spreads exact copies over the ranges too.
-    """
-    sliced = df.withColumn(_SLICE, _slice_number(F.col(ts), width))
-    whole = sliced.withColumn(_SUB, F.lit(0))
-    if unique_hours:
-        return whole
-    group = [*keys, _SLICE]
-    hot_names = [f"__hot_{i}" for i in range(len(group))]
-    oversized = cut_lineage(
-        sliced.groupBy(*group)
-        .count()
-        .where(F.col("count") > max_slice_rows)
-        .select(*[F.col(c).alias(h) for c, h in zip(group, hot_names)])
-    )
-    n_oversized = oversized.count()
-    if n_oversized == 0:
-        return whole
-    if n_oversized <= BROADCAST_GROUPS:
-        oversized = F.broadcast(oversized)
-    is_hot = reduce(and_, [F.col(c).eqNullSafe(F.col(h)) for c, h in zip(group, hot_names)])
-    usual = sliced.join(oversized, is_hot, "left_anti").withColumn(_SUB, F.lit(0))
-    hot = cut_lineage(
-        sliced.join(oversized, is_hot, "left_semi").withColumn("__tie", F.rand(17))
+    in_range = Window.partitionBy(*keys, _RANGE)
+    w = in_range.orderBy(*order)
+    placed = _with_ranges(df, keys, order, max_rows).withColumns(
+        {_ROW: F.row_number().over(w), _SIZE: F.count(F.lit(1)).over(in_range)}
     )
-    ranges = max(2 * n_oversized, hot.count() // max_slice_rows * 2, 2)
-    split = (
-        hot.repartitionByRange(int(ranges), *group, *order, "__tie")
-        .withColumn(_SUB, F.spark_partition_id())
-        .drop("__tie")
-    )
-    return usual.unionByName(split)
+    to_end = F.col(_SIZE) - F.col(_ROW)
+    near_end = (F.col(_ROW) <= before) | (to_end < after)
+    inner = placed.withColumns(columns(w)).where(~near_end)
+
+    reach = before + after
+    end_rows = placed.where((F.col(_ROW) <= reach) | (to_end < reach))
+    across = Window.partitionBy(*keys).orderBy(_RANGE, _ROW)
+    ends = end_rows.withColumns(columns(across)).where(near_end)
+    return inner.unionByName(ends).drop(_RANGE, _ROW, _SIZE)
 
 
 def window_over_series(
@@ -95,33 +95,24 @@ def window_over_series(
     before: int,
     after: int,
     ties: Sequence[str] = (),
-    **slicing,
+    unique_hours: bool = False,
+    max_rows: int = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """Add window columns over each key's rows in time order.
 
     `columns(w)` builds the columns for a window specification; they may look back `before` rows
-    and ahead `after` rows. Rows with equal times are ordered by `ties`.
+    and ahead `after` rows. Rows with equal times are ordered by `ties`. With `unique_hours` the
+    caller knows that no series has two rows in one hour, and nothing is counted.
     """
     order = [ts, *ties]
-    sliced = with_slices(df, keys, ts, order, **slicing)
-    in_slice = Window.partitionBy(*keys, _SLICE, _SUB)
-    w = in_slice.orderBy(*order)
-    placed = sliced.withColumns(
-        {_ROW: F.row_number().over(w), _SIZE: F.count(F.lit(1)).over(in_slice)}
-    )
-    to_end = F.col(_SIZE) - F.col(_ROW)
-    near_edge = (F.col(_ROW) <= before) | (to_end < after)
-
-    inner = placed.withColumns(columns(w)).where(~near_edge)
-
-    reach = before + after
-    edge_rows = placed.where((F.col(_ROW) <= reach) | (to_end < reach))
-    across = Window.partitionBy(*keys).orderBy(_SLICE, _SUB, _ROW)
-    edges = edge_rows.withColumns(columns(across)).where(near_edge)
-    # Outputs of their own for the first branch let the optimizer tidy both subplans alike, so that
-    # the edges read the shuffle of the inner rows again.
-    names = [c for c in inner.columns if c not in _WORK]
-    return inner.select(*[F.col(quoted(c)).alias(c) for c in names]).unionByName(edges.drop(*_WORK))
+    plain = columns(Window.partitionBy(*keys).orderBy(*order))
+    if unique_hours:
+        return df.withColumns(plain)
+    usual, long = split_long_series(df, keys, max_rows)
+    if long is None:
+        return usual.withColumns(plain)
+    ranged = _over_ranges(long, keys, order, columns, before, after, max_rows)
+    return usual.withColumns(plain).unionByName(ranged)
 
 
 def with_positions(
@@ -132,29 +123,45 @@ def with_positions(
     ties: Sequence[str] = (),
     position: str = "position",
     size: str = "series_rows",
-    **slicing,
+    unique_hours: bool = False,
+    max_rows: int = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """Add each row's 0-based position in its series and the series length."""
     order = [ts, *ties]
-    sliced = with_slices(df, keys, ts, order, **slicing)
-    part = [*keys, _SLICE, _SUB]
-    sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE, _SUB)
-    offsets = sizes.select(
-        *part,
-        F.coalesce(
-            F.sum("__n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias(size),
-    )
-    placed = sliced.withColumn(
-        _ROW, F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    whole = Window.partitionBy(*keys)
+    plain = {
+        position: (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint"),
+        size: F.count(F.lit(1)).over(whole),
+    }
+    if unique_hours:
+        return df.withColumns(plain)
+    usual, long = split_long_series(df, keys, max_rows)
+    if long is None:
+        return usual.withColumns(plain)
+    ranged = _with_ranges(long, keys, order, max_rows)
+    part = [*keys, _RANGE]
+    earlier = whole.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per series and range.
+    offsets = (
+        ranged.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(
+            *part,
+            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__n").over(whole).alias(size),
+        )
     )
-    return (
-        placed.join(offsets, part)
+    within = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    placed = (
+        ranged.withColumn(_ROW, within)
+        .join(offsets, part)
         .withColumn(position, F.col("__before") + F.col(_ROW) - 1)
-        .drop("__before", *_WORK)
+        .drop("__before", _RANGE, _ROW)
     )
+    return usual.withColumns(plain).unionByName(placed)
+
+
+_YEAR = "__year"
 
 
 def window_over_hours(
@@ -165,29 +172,25 @@ def window_over_hours(
     *,
     before: int,
     after: int,
-    width: str = "year",
 ) -> DataFrame:
     """Add window columns whose frames are ranges of elapsed hours (a missing hour stays missing).
 
-    `columns(w)` gets a window ordered by hours since 1970. Rows within `before` hours of the
-    slice end are also handed to the next slice, and rows within `after` hours of the slice start
-    to the previous one, so a single shuffle by (key, slice) is enough.
+    `columns(w)` gets a window ordered by hours since 1970. The rows of a series are dealt by year;
+    those within `before` hours of a year's end also go to the next year, and those within `after`
+    hours of its start to the previous one. So a single shuffle by (key, year) is enough.
     """
     t = F.col(ts)
-    own = _slice_number(t, width)
-    neighbours = F.array_distinct(
+    years = F.array_distinct(
         F.array(
-            own,
-            _slice_number(timefns.shift_hours(t, before), width),
-            _slice_number(timefns.shift_hours(t, -after), width),
+            F.year(t), F.year(timefns.shift_hours(t, before)), F.year(timefns.shift_hours(t, -after))
         )
     )
-    spread = df.withColumns({"__own": own, "__hour": timefns.epoch_hour(t)}).withColumn(
-        _SLICE, F.explode(neighbours)
+    spread = df.withColumns({"__own": F.year(t), "__hour": timefns.epoch_hour(t)}).withColumn(
+        _YEAR, F.explode(years)
     )
-    w = Window.partitionBy(*keys, _SLICE).orderBy("__hour")
+    w = Window.partitionBy(*keys, _YEAR).orderBy("__hour")
     return (
         spread.withColumns(columns(w))
-        .where(F.col(_SLICE) == F.col("__own"))
-        .drop(_SLICE, "__own", "__hour")
+        .where(F.col(_YEAR) == F.col("__own"))
+        .drop(_YEAR, "__own", "__hour")
     )

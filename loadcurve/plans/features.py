@@ -84,7 +84,7 @@ def add_lags(
     usage: str = "usage_pb",
     temperature: str | None = "apparent_temperature_norm",
     target: bool = True,
-    **slicing,
+    **series_options,
 ) -> DataFrame:
     """Add lag, rolling-mean and target columns: `mode="rows"` by position, `"hours"` by elapsed time.
 
@@ -99,7 +99,7 @@ def add_lags(
                 before=K.ROLLING_ROWS, after=ahead,
             )
 
-        if slicing.get("unique_hours"):
+        if series_options.get("unique_hours"):
             return by_hours(df, ts)
         hourly = df.withColumn("__at", timefns.floor_hour(F.col(ts)))
         measured = [usage] + ([temperature] if temperature else [])
@@ -110,7 +110,7 @@ def add_lags(
     ties = [usage] + ([temperature] if temperature else [])
     return window_over_series(
         df, keys, ts, lambda w: lag_columns(w, usage, temperature, target),
-        before=K.ROLLING_ROWS, after=ahead, ties=ties, **slicing,
+        before=K.ROLLING_ROWS, after=ahead, ties=ties, **series_options,
     )
 
 
@@ -122,7 +122,7 @@ def build_features(
     hemisphere: str = "south",
     fit_until: str | None = None,
     regions: DataFrame | None = None,
-    **slicing,
+    **series_options,
 ) -> DataFrame:
     """Feature rows with next-hour target from unified readings.
 
@@ -146,7 +146,7 @@ def build_features(
     scaled = normalize_minmax_entity(
         typed, "usage_kwh_norm", "usage_pb", keys, fit_where=fit_where
     ).withColumnRenamed("usage_kwh_norm", "usage_kwh_norm_orig")
-    lagged = add_lags(scaled, keys, mode=mode, **slicing)
+    lagged = add_lags(scaled, keys, mode=mode, **series_options)
     complete = lagged.dropna(
         subset=["lag_1h", "lag_24h", "rollmean_24h", K.TARGET, "apparent_temperature_norm"]
     )
@@ -254,7 +254,7 @@ def prediction_features(
     regions: DataFrame | None = None,
     holidays: DataFrame | None = None,
     mode: str = "rows",
-    **slicing,
+    **series_options,
 ) -> DataFrame:
     """One feature row per building, for its newest hour with a full day of history.
 
@@ -272,7 +272,7 @@ def prediction_features(
     keys = entity_keys(df)
     region_ids = region_dimension(df) if regions is None else regions
     scaled = normalize_minmax_entity(df, "usage_kwh_norm", "usage_pb", keys)
-    lagged = add_lags(scaled, keys, mode=mode, target=False, **slicing)
+    lagged = add_lags(scaled, keys, mode=mode, target=False, **series_options)
     valid = lagged.dropna(subset=["lag_1h", "lag_24h", "rollmean_24h"])
     last = encode_region(latest_per_entity(valid, keys), region_ids)
     t = F.col("full_timestamp")

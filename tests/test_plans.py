@@ -20,19 +20,23 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def reused_rows(plan):
-    return [line for line in plan.splitlines() if "ReusedExchange" in line and "full_timestamp" in line]
+def row_shuffles(plan):
+    """Shuffles of the readings by building in the final plan."""
+    final = plan.split("== Initial Plan ==")[0]
+    return [x for x in final.splitlines() if re.search(r" Exchange hashpartitioning\(region#\d+, building_name#\d+", x)]
 
 
 def test_features_shuffle_the_rows_once(spark):
     df, _ = hourly_frame(spark, {"a": 100, "b": 80})
     path = scratch_path(spark, "plan_readings")
     df.write.parquet(path)
-    assert reused_rows(executed(build_features(spark.read.parquet(path), unique_hours=True)))
+    plan = executed(build_features(spark.read.parquet(path), unique_hours=True))
+    assert len(row_shuffles(plan)) == 1 and plan.split("== Initial Plan ==")[0].count("Sort [") == 1
+    assert len(row_shuffles(executed(build_features(spark.read.parquet(path))))) == 1
 
 
 def test_features_straight_from_raw_sources_shuffle_once(spark):
-    assert reused_rows(executed(build_features(fx.unified_plan(spark, SF), unique_hours=True)))
+    assert len(row_shuffles(executed(build_features(fx.unified_plan(spark, SF), unique_hours=True)))) == 1
 
 
 def test_columns_and_filters_reach_the_scan(spark):

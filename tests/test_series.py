@@ -1,4 +1,4 @@
-"""Sliced windows against a plain window, and against pandas."""
+"""Ranged windows against a plain window, and against pandas."""
 
 import numpy as np
 import pandas as pd
@@ -21,9 +21,9 @@ def _sorted(df, *extra):
 
 @pytest.mark.parametrize(
     "slicing",
-    [{"width": "month"}, {"width": "day"}, {"width": "year", "max_slice_rows": 40}, {"width": "year", "unique_hours": True}],
+    [{}, {"unique_hours": True}, {"max_rows": 1000}, {"max_rows": 40}, {"max_rows": 5}],
 )
-def test_slices_equal_plain_window(spark, slicing):
+def test_ranges_equal_plain_window(spark, slicing):
     df, _ = hourly_frame(spark, {"a": 700, "b": 30, "c": 24, "d": 1, "e": 1500}, gap=0.2)
     df = df.withColumnRenamed("usage_kwh_norm", "usage_pb")
     got = _sorted(add_lags(df, KEYS, **slicing))
@@ -34,7 +34,7 @@ def test_slices_equal_plain_window(spark, slicing):
 
 def test_lags_against_pandas(spark):
     df, pdf = hourly_frame(spark, {"a": 300, "b": 60}, gap=0.1)
-    got = _sorted(add_lags(df, KEYS, usage="usage_kwh_norm", width="day"))
+    got = _sorted(add_lags(df, KEYS, usage="usage_kwh_norm", max_rows=20))
     pdf = pdf.sort_values(["building_name", "full_timestamp"]).reset_index(drop=True)
     g = pdf.groupby("building_name")["usage_kwh_norm"]
     want = pd.DataFrame(
@@ -58,7 +58,7 @@ def test_copies_and_hot_building(spark):
     columns = lambda w: lag_columns(w)
     ties = ["usage_pb", "apparent_temperature_norm"]
     got = _sorted(
-        window_over_series(full, KEYS, "full_timestamp", columns, before=24, after=1, ties=ties, max_slice_rows=50), *LAGS
+        window_over_series(full, KEYS, "full_timestamp", columns, before=24, after=1, ties=ties, max_rows=50), *LAGS
     )
     want = _sorted(full.withColumns(lag_columns(Window.partitionBy(*KEYS).orderBy("full_timestamp", *ties))), *LAGS)
     assert len(got) == 390
@@ -68,8 +68,8 @@ def test_copies_and_hot_building(spark):
 def test_same_result_for_any_row_order(spark):
     df, _ = hourly_frame(spark, {"a": 400, "b": 90}, gap=0.3)
     df = df.withColumnRenamed("usage_kwh_norm", "usage_pb")
-    one = _sorted(add_lags(df.coalesce(1), KEYS, width="month"))
-    many = _sorted(add_lags(df.orderBy(F.rand(3)).repartition(7), KEYS, width="month"))
+    one = _sorted(add_lags(df.coalesce(1), KEYS, max_rows=100))
+    many = _sorted(add_lags(df.orderBy(F.rand(3)).repartition(7), KEYS, max_rows=100))
     pd.testing.assert_frame_equal(one, many)
 
 
@@ -77,7 +77,7 @@ def test_rolling_mean_needs_24_present_values(spark):
     df, _ = hourly_frame(spark, {"x23": 23, "x24": 24, "x25": 25, "hole": 60})
     missing = (F.col("building_name") == "hole") & (F.col("full_timestamp") == F.lit("2020-12-21 06:00:00").cast("timestamp_ntz"))
     df = df.withColumn("usage_pb", F.when(~missing, F.col("usage_kwh_norm"))).drop("usage_kwh_norm")
-    out = add_lags(df, KEYS, width="day").where("rollmean_24h is not null").groupBy("building_name").count()
+    out = add_lags(df, KEYS, max_rows=20).where("rollmean_24h is not null").groupBy("building_name").count()
     counts = {r["building_name"]: r["count"] for r in out.collect()}
     # The hole is row 30: windows ending before it are rows 24..30, those starting after it rows 55..59.
     assert counts == {"x25": 1, "hole": 7 + 5}
@@ -96,7 +96,7 @@ def test_hour_mode_leaves_gaps_missing(spark):
     np.testing.assert_allclose(got["rollmean_24h"].astype(float), want, rtol=1e-9)
 
 
-@pytest.mark.parametrize("slicing", [{"width": "day"}, {"max_slice_rows": 30}])
+@pytest.mark.parametrize("slicing", [{}, {"unique_hours": True}, {"max_rows": 30}])
 def test_positions(spark, slicing):
     df, pdf = hourly_frame(spark, {"a": 150, "b": 40}, gap=0.2)
     got = _sorted(with_positions(df, KEYS, "full_timestamp", **slicing))
@@ -107,7 +107,7 @@ def test_positions(spark, slicing):
 
 def test_downsample(spark):
     df, _ = hourly_frame(spark, {"long": 250, "short": 100})
-    out = downsample_every_nth(df, max_points=100, width="day")
+    out = downsample_every_nth(df, max_points=100, max_rows=20)
     counts = {r["building_name"]: r["count"] for r in out.groupBy("building_name").count().collect()}
     assert counts == {"long": 125, "short": 100}
 
