@@ -399,6 +399,22 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bins.histogram(fx.source(spark, sf, "orders"), "o_totalprice", 40), "bin_lo", "bin_hi")
 
 
+@query("splits_timeline", sql("""
+WITH t AS (SELECT epoch_us(full_timestamp) / 1e6 AS v FROM features),
+s AS (SELECT min(v) AS lo, max(v) AS hi FROM t),
+g AS (SELECT least(CAST(floor((v - lo) / (hi - lo) * 60) AS BIGINT), 59) AS b0, v, lo, hi FROM t, s),
+d AS (SELECT CASE WHEN v < lo + b0 * ((hi - lo) / 60) THEN b0 - 1 ELSE b0 END AS b1, v, lo, hi FROM g),
+u AS (SELECT CASE WHEN b1 < 59 AND v >= lo + (b1 + 1) * ((hi - lo) / 60) THEN b1 + 1 ELSE b1 END AS bin FROM d),
+c AS (SELECT i AS bin, lo + i * ((hi - lo) / 60) AS starts, count(u.bin) AS n
+      FROM range(60) r(i) CROSS JOIN s LEFT JOIN u ON u.bin = i GROUP BY i, lo, hi)
+SELECT bin, n, CASE WHEN starts <= epoch_us(train_end) / 1e6 THEN 'train' WHEN starts <= epoch_us(val_end) / 1e6 THEN 'val' ELSE 'test' END AS split
+FROM c, cutoffs
+"""))
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    features = fx.features(spark, sf)
+    return diag.splits_timeline(features, quantile_cutoffs(features)).select("bin", "n", "split")
+
+
 def _quartile_sql(x: str) -> str:
     return ", ".join(
         f"quantile_cont({x}, {p}) AS {n}" for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))

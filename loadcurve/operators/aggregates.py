@@ -30,8 +30,11 @@ def agg_weather_hourly(
     by: Sequence[str] = (),
     precipitation_rule: str = "sum",
 ) -> DataFrame:
-    """One weather row per hour: mean temperature, summed (or highest) precipitation, any daylight."""
-    combine = {"sum": F.sum, "max": F.max}[precipitation_rule]
+    """One weather row per hour: mean temperature, summed (or highest) precipitation, any daylight.
+
+    A sum over no values is 0; a highest of no values stays missing.
+    """
+    combine = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "max": F.max}[precipitation_rule]
     return (
         df.withColumn("timestamp_hour", timefns.floor_hour(F.col(ts)))
         .groupBy(*by, "timestamp_hour")

@@ -72,10 +72,19 @@ def value_ranks(
         F.col("value").isNotNull()
     )
     n_rows = present.count() if rows is None else rows
-    placed = _in_ranges(present, _range_count(n_rows, rows_per_range))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ranges = _range_count(n_rows, rows_per_range)
+    if ranges == 1:
+        # No more distinct values in all than one range may hold.
+        running = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return (
+            present.groupBy(*by, "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumns({"before": F.sum("n").over(running) - F.col("n"), "total": F.sum("n").over(group)})
+        )
+    placed = _in_ranges(present, ranges)
     # One row per group and range, so a group has MAX_RANGES rows here at most.
     counts = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *by,

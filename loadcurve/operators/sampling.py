@@ -47,8 +47,9 @@ def sample_split_cap(
     near = join_lookup(hashed.select(split, "__hash"), counts, [split]).where(
         F.col("__hash") < share * F.lit(_HASH_RANGE)
     )
+    expected = int(sum(1.5 * c + 1000 for c in caps.values()))
     limits = (
-        value_ranks(near, "__hash", [split])
+        value_ranks(near, "__hash", [split], rows=max(expected, 1))
         .where(F.col("before") + F.col("n") <= cap)
         .groupBy(split)
         .agg(F.max("value").alias("__limit"))

@@ -12,9 +12,10 @@ from loadcurve.functions import timefns
 from loadcurve.functions.columns import quoted
 from loadcurve.functions.values import abs_error, residual
 from loadcurve.operators.aggregates import MONTHS, mae_by, pivot_mean
-from loadcurve.operators.bins import bin_equal_width, bin_quantile, box_stats, unit_edges
+from loadcurve.operators.bins import bin_equal_width, bin_quantile, box_stats, histogram, unit_edges
 from loadcurve.operators.ranks import value_ranks
 from loadcurve.operators.sized import join_lookup
+from loadcurve.plans.splits import filter_split
 
 
 def add_errors(predictions: DataFrame) -> DataFrame:
@@ -97,6 +98,20 @@ def error_cdf(predictions: DataFrame, **options) -> DataFrame:
     )
 
 
+def splits_timeline(
+    df: DataFrame, cutoffs: DataFrame, *, ts: str = "full_timestamp", bins: int = 60
+) -> DataFrame:
+    """Rows per equal stretch of time, with the split each stretch begins in."""
+    seconds = df.select(timefns.epoch_seconds(F.col(ts)).alias("s"))
+    counts = histogram(seconds, "s", bins).select(
+        "bin",
+        timefns.from_epoch_seconds(F.col("bin_lo")).alias("time_from"),
+        timefns.from_epoch_seconds(F.col("bin_hi")).alias("time_to"),
+        "n",
+    )
+    return filter_split(counts, cutoffs, ts="time_from")
+
+
 def kde_1d(
     df: DataFrame,
     x: str,

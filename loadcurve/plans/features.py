@@ -215,8 +215,9 @@ def _scoring_readings(usage: DataFrame, region: str, weather: DataFrame | None)
         out["apparent_temperature_norm"] = coerce_numeric(usage, temperature)
         if precipitation is not None:
             out["precipitation"] = coerce_numeric(usage, precipitation)
-        if "is_day" in columns:
-            out["is_day"] = coerce_flag(usage, "is_day")
+        is_day = resolve_column(columns, K.IS_DAY)
+        if is_day is not None:
+            out["is_day"] = coerce_flag(usage, is_day)
     df = usage.select(*[c.alias(n) for n, c in out.items()]).where(F.col("full_timestamp").isNotNull())
     if usage_norm is None:
         df = normalize_minmax_global(df, "usage_kwh_norm", "usage_kwh_norm", floor=K.ENTITY_FLOOR)

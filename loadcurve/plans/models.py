@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from statistics import mean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -239,17 +240,14 @@ def permutation_importance(
         .groupBy("__f", "__r")
         .agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
     )
-    # From here on there are features x repeats + 1 rows.
-    per_feature = maes.groupBy("__f").agg(F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std"))
-    base = per_feature.where(F.col("__f") == -1).select(F.col("mean").alias("base"))
-    names = F.array(*[F.lit(f) for f in features])
-    return (
-        per_feature.where(F.col("__f") >= 0)
-        .crossJoin(F.broadcast(base))
-        .select(
-            F.element_at(names, F.col("__f") + 1).alias("feature"),
-            (F.col("mean") - F.col("base")).alias("importance_mean"),
-            F.col("std").alias("importance_std"),
-        )
-        .orderBy(F.desc("importance_mean"), "feature")
+    # features x repeats + 1 numbers.
+    found = {(r["__f"], r["__r"]): r["mae"] for r in maes.collect()}
+    base = found.get((-1, 0))
+    rows = []
+    for i, name in enumerate(features):
+        rises = [found[i, r] - base for r in range(repeats)] if base is not None else []
+        rows.append((name, mean(rises) if rises else None, pstdev(rises) if rises else None))
+    out = df.sparkSession.createDataFrame(
+        rows, "feature string, importance_mean double, importance_std double"
     )
+    return out.orderBy(F.desc("importance_mean"), "feature")
