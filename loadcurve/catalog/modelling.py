@@ -40,13 +40,13 @@ def _formula() -> models.Scorer:
     return models.column_scorer(F.expr(_formula_text()))
 
 
-def _split(spark: SparkSession, sf: str) -> DataFrame:
+def _split(spark: SparkSession, sf: str, *only: str) -> DataFrame:
     features = fx.features(spark, sf)
-    return filter_split(features, quantile_cutoffs(features))
+    return filter_split(features, quantile_cutoffs(features), only=only or None)
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(spark, sf).where(F.col("split") == "train")
+    return _split(spark, sf, "train")
 
 
 def _model(spark: SparkSession, sf: str, kind: str):
@@ -90,12 +90,12 @@ def boosted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("evaluate_models")
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    return models.evaluate_models(_split(spark, sf), _scorers(spark, sf))
+    return models.evaluate_models(_split(spark, sf, "val", "test"), _scorers(spark, sf))
 
 
 @query("predict_test")
 def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return models.predict_test(_split(spark, sf), _scorers(spark, sf)["boosted"])
+    return models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["boosted"])
 
 
 @query("predict_next_hour")
@@ -108,12 +108,12 @@ def next_hour(spark: SparkSession, sf: str) -> DataFrame:
 def save_load(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "model")
     models.save_model(_model(spark, sf, "forest"), path)
-    return models.predict_test(_split(spark, sf), models.model_scorer(models.load_model(path)))
+    return models.predict_test(_split(spark, sf, "test"), models.model_scorer(models.load_model(path)))
 
 
 @query("permutation_importance")
 def importance(spark: SparkSession, sf: str) -> DataFrame:
-    val = _split(spark, sf).where(F.col("split") == "val")
+    val = _split(spark, sf, "val")
     return models.permutation_importance(val, _scorers(spark, sf)["boosted"])
 
 
@@ -221,7 +221,7 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query("elasticity_by_model")
 def model_elasticity(spark: SparkSession, sf: str) -> DataFrame:
     """Elasticity and segment of every building under the fitted forest, on the test split."""
-    test = _split(spark, sf).where(F.col("split") == "test")
+    test = _split(spark, sf, "test")
     scorer = _scorers(spark, sf)["forest"]
     return explain.segment_by_quartile(explain.elasticity_by_entity(test, scorer))
 
@@ -229,4 +229,4 @@ def model_elasticity(spark: SparkSession, sf: str) -> DataFrame:
 @query("mae_of_forest_by_entity")
 def forest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Test MAE per building of the fitted forest, best first."""
-    return metric_mae_by_entity(models.predict_test(_split(spark, sf), _scorers(spark, sf)["forest"]))
+    return metric_mae_by_entity(models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["forest"]))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +42,18 @@ def split_label(ts: Column, train_end: Column, val_end: Column) -> Column:
     )
 
 
-def filter_split(df: DataFrame, cutoffs: DataFrame, *, ts: str = "full_timestamp") -> DataFrame:
-    """Add the `split` column from a one-row cutoff table."""
-    return (
-        attach_row(df, cutoffs.select("train_end", "val_end"), "__cutoffs")
-        .withColumn("split", split_label(F.col(ts), F.col("__cutoffs.train_end"), F.col("__cutoffs.val_end")))
-        .drop("__cutoffs")
-    )
+def filter_split(
+    df: DataFrame, cutoffs: DataFrame, *, ts: str = "full_timestamp", only: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the `split` column from a one-row cutoff table.
+
+    `only` keeps the rows of the named splits, by comparisons of the time with constants that the
+    scan can use to skip row groups.
+    """
+    t = F.col(ts)
+    train_end, val_end = F.col("__cutoffs.train_end"), F.col("__cutoffs.val_end")
+    rows = attach_row(df, cutoffs.select("train_end", "val_end"), "__cutoffs")
+    if only is not None:
+        bounds = {"train": t <= train_end, "val": (t > train_end) & (t <= val_end), "test": t > val_end}
+        rows = rows.where(reduce(or_, [bounds[name] for name in only]))
+    return rows.withColumn("split", split_label(t, train_end, val_end)).drop("__cutoffs")

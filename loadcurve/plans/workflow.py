@@ -48,12 +48,14 @@ def train(
     features = spark.read.parquet(f"{out}/features.parquet")
     profile_dataset(features).write.mode("overwrite").parquet(f"{out}/profile.parquet")
 
-    cutoffs = quantile_cutoffs(features)
-    cutoffs.write.mode("overwrite").parquet(f"{out}/cutoffs.parquet")
-    split = filter_split(features, spark.read.parquet(f"{out}/cutoffs.parquet"))
-    used = sample_split_cap(split, caps, ["building_name", "full_timestamp"]) if caps else split
-
-    rows = used.where(F.col("split") == "train")
+    quantile_cutoffs(features).write.mode("overwrite").parquet(f"{out}/cutoffs.parquet")
+    cutoffs = spark.read.parquet(f"{out}/cutoffs.parquet")
+    if caps:
+        capped = sample_split_cap(filter_split(features, cutoffs), caps, ["building_name", "full_timestamp"])
+        capped.drop("split").write.mode("overwrite").parquet(f"{out}/capped_features.parquet")
+    used = spark.read.parquet(f"{out}/capped_features.parquet") if caps else features
+
+    rows = filter_split(used, cutoffs, only=["train"])
     fitted = {
         FOREST: models.train_random_forest(rows, **(forest or {})),
         BOOSTED: models.train_gradient_boosting(rows, **(boosted or {})),
@@ -63,7 +65,7 @@ def train(
     scorers = {NAIVE: models.column_scorer(F.col("lag_1h"))}
     scorers |= {name: models.model_scorer(model) for name, model in fitted.items()}
 
-    metrics = models.evaluate_models(used, scorers)
+    metrics = models.evaluate_models(filter_split(used, cutoffs, only=["val", "test"]), scorers)
     sink_metrics(metric_rows(metrics, ["model", "split"], ["mae", "rmse"]), f"{out}/metrics")
     metrics.write.mode("overwrite").parquet(f"{out}/metrics.parquet")
     metrics = spark.read.parquet(f"{out}/metrics.parquet")
@@ -72,12 +74,13 @@ def train(
     scorer = scorers[best.first()["model"]]
 
     if importance:
-        val = used.where(F.col("split") == "val")
+        val = filter_split(used, cutoffs, only=["val"])
         sink_csv(models.permutation_importance(val, scorers[BOOSTED]), f"{out}/importance")
-    models.predict_test(used, scorer).write.mode("overwrite").parquet(f"{out}/predictions.parquet")
+    test = filter_split(used, cutoffs, only=["test"])
+    models.predict_test(test, scorer).write.mode("overwrite").parquet(f"{out}/predictions.parquet")
     sink_csv(metric_mae_by_entity(spark.read.parquet(f"{out}/predictions.parquet")), f"{out}/building_mae")
 
-    elasticity = explain.elasticity_by_entity(split.where(F.col("split") == "test"), scorer)
+    elasticity = explain.elasticity_by_entity(filter_split(features, cutoffs, only=["test"]), scorer)
     elasticity.write.mode("overwrite").parquet(f"{out}/elasticity.parquet")
     segmented = explain.segment_by_quartile(spark.read.parquet(f"{out}/elasticity.parquet"))
     sink_csv(segmented.orderBy("elasticity"), f"{out}/segments")

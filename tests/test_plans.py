@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loadcurve.operators.aggregates import metric_mae_by_entity
 from loadcurve.plans.features import build_features
+from loadcurve.plans.splits import filter_split, quantile_cutoffs
 from loadcurve.plans.unify import standardize_readings
 from loadcurve.session import scratch_path
 from loadcurve.sources import fixtures as fx
@@ -61,3 +62,14 @@ def test_no_python_in_the_data_path(spark):
 def test_small_lookups_do_not_shuffle_the_readings(spark):
     plan = executed(fx.unified_plan(spark, SF))
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_split_bounds_reach_the_scan(spark):
+    features = fx.features(spark, SF)
+    cutoffs = quantile_cutoffs(features)
+    test = filter_split(features, cutoffs, only=["test"])
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(full_timestamp", executed(test.select("lag_1h")))
+    for names in (["train"], ["val"], ["test"], ["val", "test"]):
+        kept = filter_split(features, cutoffs, only=names)
+        assert kept.count() == filter_split(features, cutoffs).where(F.col("split").isin(names)).count() > 0
+        assert {r[0] for r in kept.select("split").distinct().collect()} == set(names)
