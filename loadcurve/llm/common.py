@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadcurve.session import scratch_path
+
 #: Remainders of crc32(doc_id as text) by this number; remainder 0 is never learned from.
 FOLDS = 5
 _HASH_SPACE = 1 << 31
@@ -57,6 +59,13 @@ _ARROW = {
 }
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: worked out once, and read again by all that follows and by tasks that run anew."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hash_share(key: Sequence[str], share: float, seed: int) -> Column:
     """True for about this share of the keys, the same ones in every run."""
     bound = min(_HASH_SPACE, int(share * _HASH_SPACE))

@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from loadcurve.llm.common import BoundedCache, without
-from loadcurve.session import cut_lineage
+from loadcurve.llm.common import BoundedCache, stored, without
 
 CAPACITY = 2048
 END_ID = 0
@@ -193,7 +192,7 @@ def places(sequences: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 def ranked(pieces: DataFrame, by: str) -> DataFrame:
     """Add `__rank`, from 0 without gaps among rows of equal `by`. Blocks of stored rows are counted, then ranked each."""
-    rows = cut_lineage(pieces.withColumn("__row", F.monotonically_increasing_id())).withColumn("__block", F.shiftright("__row", BLOCK_BITS))
+    rows = stored(pieces.withColumn("__row", F.monotonically_increasing_id())).withColumn("__block", F.shiftright("__row", BLOCK_BITS))
     before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(by, "__block").agg(F.count("*").alias("__n"))
     starts = counts.select(by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
