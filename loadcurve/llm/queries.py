@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadcurve.llm import factorization, fixity, language, packing, quality_rules, secret_scan, sharding, tiling, token_counts
+from loadcurve.llm import factorization, fixity, language, near_join, packing, quality_rules, secret_scan, sharding, tiling, token_counts
 from loadcurve.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,8 @@ def _(spark, sf_dir):
 @query("op10_string_tiling")
 def _(spark, sf_dir):
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_jaccard_join")
+def _(spark, sf_dir):
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
