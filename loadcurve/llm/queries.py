@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loadcurve.llm import factorization, fixity, language, near_join, packing, quality_rules, secret_scan, sharding, tiling, token_counts
 from loadcurve.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
 
 @query("op1_quality_rules")
 def _(spark, sf_dir):
