@@ -288,17 +288,18 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; with `key`, a bigint column that names rows, that column too."""
+    """doc_id, n_shingles and component_id of every row; with `key`, a bigint column that names rows, also `key` and
+    `root`, the name of the component (ids that repeat do not tell components apart)."""
     named = without(docs, ["key"] if key != "key" else [])
     named = named.withColumn("key", F.col(key) if key else F.xxhash64("doc_id", "text"))
     members, roots = similar_sets(named)
     least = members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("id")).join(roots, "set", "left")
     least = least.withColumn("root", F.coalesce("root", "set"))
     smallest = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = least.join(smallest, "root").select("set", "component_id")
+    of_set = least.join(smallest, "root").select("set", "root", "component_id")
     out = members.join(of_set, "set", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
-    return out.select(*columns, *(["key"] if key else []))
+    return out.select(*columns, *(["key", "root"] if key else []))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -310,8 +311,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
     found = near_duplicates(keyed.select("doc_id", "text", "__row"), key="__row").where("n_shingles > 0")
     found = stored(found)
-    winner = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))).alias("w"))
-    judged = found.join(winner, found["component_id"].eqNullSafe(winner["component_id"])).select("key", (F.col("key") == F.col("w.k")).alias("stays"))
+    winner = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))).alias("w"))
+    judged = found.join(winner, "root").select("key", (F.col("key") == F.col("w.k")).alias("stays"))
     judged = stored(judged.groupBy("key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
     dropped = stored(judged.where("not stays").select(F.col("key").alias("__row")))
     repeated = stored(judged.where("stays and n > 1").select(F.col("key").alias("__row")))
