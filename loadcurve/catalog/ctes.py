@@ -148,7 +148,7 @@ WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rollmean_24h IS NOT NULL AN
 """)
 
 cte("preds", """
-SELECT building_name, full_timestamp, y_next AS y_true, lag_1h AS y_pred FROM features
+SELECT region, building_name, full_timestamp, y_next AS y_true, lag_1h AS y_pred FROM features
 """)
 
 cte("cutoffs", """
@@ -164,10 +164,10 @@ FROM features f, cutoffs
 """)
 
 cte("merged", """
-SELECT p.*, f.apparent_temperature_norm, f.precipitation, f.season, f.region, f.hour
-FROM preds p JOIN features f USING (building_name, full_timestamp)
+SELECT p.*, f.apparent_temperature_norm, f.precipitation, f.season, f.hour
+FROM preds p JOIN features f USING (region, building_name, full_timestamp)
 """)
 
 cte("building_mae", """
-SELECT building_name, avg(abs(y_true - y_pred)) AS mae FROM preds GROUP BY 1
+SELECT region, building_name, avg(abs(y_true - y_pred)) AS mae FROM preds GROUP BY 1, 2
 """)

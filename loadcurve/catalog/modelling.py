@@ -69,7 +69,7 @@ def _scorers(spark: SparkSession, sf: str) -> dict[str, models.Scorer]:
 
 
 @query("forecast_naive", sql(f"""
-SELECT building_name, full_timestamp, {sql_r6('y_true', 'y_true')}, {sql_r6('y_pred', 'y_pred')} FROM preds
+SELECT region, building_name, full_timestamp, {sql_r6('y_true', 'y_true')}, {sql_r6('y_pred', 'y_pred')} FROM preds
 """))
 def naive(spark: SparkSession, sf: str) -> DataFrame:
     scorer = models.column_scorer(F.col("lag_1h"))
@@ -118,14 +118,14 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 cte("formula_curves", f"""
-SELECT building_name, full_timestamp, g / 10.0 AS grid, {_formula_text(t='(g / 10.0)')} AS y_pred
+SELECT region, building_name, full_timestamp, g / 10.0 AS grid, {_formula_text(t='(g / 10.0)')} AS y_pred
 FROM features, range(11) r(g)
 """)
 cte("formula_slopes", """
-SELECT building_name, full_timestamp, regr_slope(y_pred, grid) AS slope FROM formula_curves GROUP BY 1, 2
+SELECT region, building_name, full_timestamp, regr_slope(y_pred, grid) AS slope FROM formula_curves GROUP BY 1, 2, 3
 """)
 cte("formula_elasticity", """
-SELECT building_name, median(slope) AS elasticity, count(*) AS n_rows_used FROM formula_slopes GROUP BY 1
+SELECT region, building_name, median(slope) AS elasticity, count(*) AS n_rows_used FROM formula_slopes GROUP BY 1, 2
 """)
 cte("formula_segments", """
 SELECT e.*, CASE WHEN elasticity >= q75 THEN 'High' WHEN elasticity <= q25 THEN 'Low' ELSE 'Moderate' END AS segment
@@ -155,14 +155,14 @@ def _elasticity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("elasticity_by_entity", sql(f"""
-SELECT building_name, {sql_r6('elasticity', 'elasticity')}, n_rows_used FROM formula_elasticity
+SELECT region, building_name, {sql_r6('elasticity', 'elasticity')}, n_rows_used FROM formula_elasticity
 """))
 def elasticity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_elasticity(spark, sf), "elasticity")
 
 
 @query("segment_by_quartile", sql(f"""
-SELECT building_name, {sql_r6('elasticity', 'elasticity')}, n_rows_used, segment FROM formula_segments
+SELECT region, building_name, {sql_r6('elasticity', 'elasticity')}, n_rows_used, segment FROM formula_segments
 """))
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(explain.segment_by_quartile(_elasticity(spark, sf)), "elasticity")

@@ -60,11 +60,10 @@ def _building_mae(spark: SparkSession, sf: str) -> DataFrame:
 @query("join_weather_hour", sql(f"""
 SELECT building_name, full_timestamp, {sql_r6('usage_kwh', 'usage_kwh')},
        {sql_r6('apparent_temperature', 'apparent_temperature')}, {sql_r6('precipitation', 'precipitation')}, is_day
-FROM readings JOIN weather ON timestamp_hour = full_timestamp WHERE timestamp_hour >= TIMESTAMP '2024-01-03 00:00:00'
+FROM readings JOIN weather ON timestamp_hour = full_timestamp
 """))
 def join_weather(spark: SparkSession, sf: str) -> DataFrame:
-    partial = fx.weather(spark, sf).where("timestamp_hour >= TIMESTAMP_NTZ'2024-01-03 00:00:00'")
-    joined = joins.join_weather_hour(fx.readings(spark, sf), partial).drop("timestamp_hour", "region")
+    joined = joins.join_weather_hour(fx.readings(spark, sf), fx.weather(spark, sf)).drop("timestamp_hour", "region")
     return rounded(joined, "usage_kwh", "apparent_temperature", "precipitation")
 
 
@@ -118,12 +117,12 @@ def preds_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("join_building_region", sql(f"""
-SELECT m.building_name, {sql_r6('mae', 'mae')}, region FROM building_mae m
-LEFT JOIN (SELECT building_name, min(region) AS region FROM features GROUP BY 1) USING (building_name)
+SELECT m.building_name, {sql_r6('mae', 'mae')}, g.region FROM building_mae m
+LEFT JOIN (SELECT building_name, min(region) AS region FROM features GROUP BY 1) g USING (building_name)
 """))
 def building_region(spark: SparkSession, sf: str) -> DataFrame:
     mapping = agg.building_region_map(fx.features(spark, sf))
-    return rounded(joins.join_building_region(_building_mae(spark, sf), mapping), "mae")
+    return rounded(joins.join_building_region(_building_mae(spark, sf).drop("region"), mapping), "mae")
 
 
 @query("cross_join_grid", sql("""
@@ -265,7 +264,7 @@ def mae_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_model_metrics(spark, sf), "mae", "rmse")
 
 
-@query("metric_mae_by_entity", sql(f"SELECT building_name, {sql_r6('mae', 'mae')} FROM building_mae"))
+@query("metric_mae_by_entity", sql(f"SELECT region, building_name, {sql_r6('mae', 'mae')} FROM building_mae"))
 def mae_by_entity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_building_mae(spark, sf), "mae")
 
@@ -501,9 +500,9 @@ def correlations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(agg.correlation_matrix(fx.features(spark, sf), _CORR_COLUMNS), "corr")
 
 
-@query("hourly_profile", sql("SELECT building_name, " + ", ".join(
+@query("hourly_profile", sql("SELECT region, building_name, " + ", ".join(
     f"round(coalesce(avg(CASE WHEN hour = {h} THEN usage_pb END), 0), 6) + 0.0 AS h{h}" for h in agg.HOURS
-) + " FROM features GROUP BY 1"))
+) + " FROM features GROUP BY 1, 2"))
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(agg.hourly_profile(fx.features(spark, sf)), *[f"h{h}" for h in agg.HOURS])
 
@@ -679,7 +678,7 @@ def top_bottom(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.top_bottom_sensitivity(balances)
 
 
-_SERIES_SQL = f"SELECT building_name, full_timestamp, {sql_r6('y_true', 'y_true')}, {sql_r6('y_pred', 'y_pred')} FROM preds "
+_SERIES_SQL = f"SELECT region, building_name, full_timestamp, {sql_r6('y_true', 'y_true')}, {sql_r6('y_pred', 'y_pred')} FROM preds "
 
 
 @query("worst_entities_series", sql(
@@ -717,12 +716,15 @@ def split_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sample_per_entity", sql(f"""
 SELECT building_name, full_timestamp FROM features
-QUALIFY row_number() OVER (PARTITION BY building_name ORDER BY {_hash_sql(_TIME_TEXT)}) <= 20
+QUALIFY row_number() OVER (PARTITION BY region, building_name ORDER BY {_hash_sql('region', 'building_name', _TIME_TEXT)}) <= 20
 """))
 def per_entity(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_per_entity(fx.features(spark, sf), 20).select("building_name", "full_timestamp")
 
 
-@query("sample_rows")
+@query("sample_rows", sql(f"""
+SELECT region, building_name, full_timestamp, {sql_r6('y_true', 'y_true')}, {sql_r6('y_pred', 'y_pred')} FROM preds
+WHERE {_hash_sql('region', 'building_name', _TIME_TEXT)} < 0.2::DOUBLE * 4503599627370496
+"""))
 def some_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_rows(fx.predictions(spark, sf), 0.2)
+    return rounded(sampling.sample_rows(fx.predictions(spark, sf), 0.2), "y_true", "y_pred")

@@ -86,3 +86,13 @@ def fill_absent_features(df: DataFrame, features: Sequence[str], value: float =
     """A constant column for every model feature the frame lacks."""
     missing = {f: F.lit(float(value)) for f in features if f not in df.columns}
     return df.withColumns(missing) if missing else df
+
+
+def entity_keys(df: DataFrame, region_in_key: bool = True) -> list[str]:
+    """A building is identified within its region; `region_in_key=False` merges equal names."""
+    return ["region", "building_name"] if region_in_key and "region" in df.columns else ["building_name"]
+
+
+def shared_entity_keys(left: DataFrame, right: DataFrame) -> list[str]:
+    """The key of a building that both frames have."""
+    return entity_keys(left) if "region" in right.columns else ["building_name"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.functions import timefns
-from loadcurve.functions.columns import quoted
+from loadcurve.functions.columns import entity_keys, quoted
 from loadcurve.functions.values import abs_error
 from loadcurve.operators.onerow import attach_row
 from loadcurve.operators.ranks import exact_quantiles
@@ -70,11 +70,11 @@ def profile_missingness(df: DataFrame) -> DataFrame:
 
 
 def profile_missing_matrix(
-    df: DataFrame, keys: Sequence[str], *, max_columns: int = 30
+    df: DataFrame, keys: Sequence[str], *, max_columns: int | None = None
 ) -> DataFrame:
-    """0/1 missing marks per row and column in long form, for the most incomplete columns."""
+    """0/1 missing marks per row and column in long form; with `max_columns`, for the most incomplete columns."""
     columns = list(df.columns)
-    if len(columns) > max_columns:
+    if max_columns is not None and len(columns) > max_columns:
         columns = [r["column_name"] for r in profile_missingness(df).limit(max_columns).collect()]
     key_columns = [F.col(quoted(k)).alias(f"key_{k}") for k in keys]
     marks = [F.col(quoted(c)).isNull().cast("int").alias(c) for c in columns]
@@ -107,8 +107,9 @@ def mae_by(predictions: DataFrame, by: dict[str, Column]) -> DataFrame:
     return predictions.groupBy(*[c.alias(n) for n, c in by.items()]).agg(F.avg(error).alias("mae"))
 
 
-def metric_mae_by_entity(predictions: DataFrame, by: Sequence[str] = ("building_name",)) -> DataFrame:
+def metric_mae_by_entity(predictions: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """MAE per building, best first."""
+    by = list(by or entity_keys(predictions))
     return mae_by(predictions, {c: F.col(c) for c in by}).orderBy("mae", *by)
 
 
@@ -153,9 +154,10 @@ def usage_heatmap_hour_month(features: DataFrame, x: str = "usage_pb") -> DataFr
 
 
 def hourly_profile(
-    features: DataFrame, keys: Sequence[str] = ("building_name",), x: str = "usage_pb"
+    features: DataFrame, keys: Sequence[str] | None = None, x: str = "usage_pb"
 ) -> DataFrame:
     """Mean usage of each building at each hour of the day, wide; hours without data are 0."""
+    keys = list(keys or entity_keys(features))
     wide = pivot_mean(features, {k: F.col(k) for k in keys}, F.col("hour"), HOURS, F.col(x), "h")
     return wide.na.fill(0.0, [f"h{h}" for h in HOURS])
 
@@ -179,7 +181,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     without variance gives NULL.
     """
     columns = list(columns or numeric_columns(df))
-    x = {c: F.col(quoted(c)).cast("double") for c in columns}
+    # NaN is a missing value here.
+    x = {c: F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")) for c in columns}
     first = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)],

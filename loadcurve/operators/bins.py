@@ -101,7 +101,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str], **options) -> DataF
     iqr = F.col("q3") - F.col("q1")
     inside = (x >= F.col("q1") - 1.5 * iqr) & (x <= F.col("q3") + 1.5 * iqr)
     return (
-        join_lookup(df.select(*by, x), quartiles, by)
+        join_lookup(df.select(*by, x), quartiles, by, null_safe=True)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, x)).alias("whisker_lo"),

@@ -119,6 +119,12 @@ def _gb_days(year: Column) -> list[Column]:
     ]
 
 
+def is_holiday_by_rule(calendar: Column, day: Column) -> Column:
+    """Whether a date is a holiday of its calendar, worked out from the rules of its year."""
+    nsw, gb = (F.array(*days(F.year(day))) for days in (_nsw_days, _gb_days))
+    return F.coalesce(F.array_contains(F.array_compact(F.when(calendar == "NSW", nsw).otherwise(gb)), day), F.lit(False))
+
+
 def _holidays_of(years: DataFrame) -> DataFrame:
     y = F.col("year")
     calendars = F.array(
@@ -145,10 +151,12 @@ def calendar_dimension(df: DataFrame, ts: str = "full_timestamp") -> DataFrame:
     return _holidays_of(years)
 
 
+#: Years of the standing calendar.
+STANDING_YEARS = (1900, 2199)
 _standing: dict[tuple[str, int, int], DataFrame] = {}
 
 
-def standing_calendar(spark: SparkSession, first: int = 1900, last: int = 2199) -> DataFrame:
+def standing_calendar(spark: SparkSession, first: int = STANDING_YEARS[0], last: int = STANDING_YEARS[1]) -> DataFrame:
     """(calendar, holiday_date) for a fixed span of years, computed once per application."""
     key = (spark.sparkContext.applicationId, first, last)
     if key not in _standing:

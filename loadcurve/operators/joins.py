@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcurve.functions import timefns
-from loadcurve.operators.holidays import calendar_of_region, standing_calendar
+from loadcurve.functions.columns import shared_entity_keys
+from loadcurve.operators.holidays import STANDING_YEARS, calendar_of_region, is_holiday_by_rule, standing_calendar
 from loadcurve.operators.sized import assert_unique_key, join_lookup
 
 
@@ -47,7 +48,8 @@ def join_holiday_calendar(
     """Flag rows whose date is a holiday of their region (NSW, else GB).
 
     `holidays` is a dimension of (calendar, holiday_date). By default it is the standing calendar
-    of 1900 to 2199: a fixed table of about 9,000 rows, so the data are not read for it.
+    of 1900 to 2199, a fixed table of about 9,000 rows, so the data are not read for it; dates
+    of other years are worked out row by row from the same rules.
     """
     own = holidays is not None
     holidays = holidays if own else standing_calendar(df.sparkSession)
@@ -59,8 +61,12 @@ def join_holiday_calendar(
     keyed = df.withColumns({"__calendar": calendar_of_region(region), "__day": F.col(ts).cast("date")})
     keys = ["__calendar", "__day"]
     joined = join_lookup(keyed, marked, keys, "left") if own else keyed.join(F.broadcast(marked), keys, "left")
+    hit = F.coalesce(F.col("__hit"), F.lit(0))
+    if not own:
+        standing = F.year("__day").between(*STANDING_YEARS) | F.col("__day").isNull()
+        hit = F.when(standing, hit).otherwise(is_holiday_by_rule(F.col("__calendar"), F.col("__day")).cast("int"))
     return (
-        joined.withColumn(out, F.coalesce(F.col("__hit"), F.lit(0)))
+        joined.withColumn(out, hit)
         .drop("__calendar", "__day", "__hit")
     )
 
@@ -74,15 +80,16 @@ def join_preds_features(
     predictions: DataFrame,
     features: DataFrame,
     columns: Sequence[str],
-    keys: Sequence[str] = ("building_name", "full_timestamp"),
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Predictions with the named feature columns (those that exist); predictions are all kept."""
+    keys = list(keys or [*shared_entity_keys(predictions, features), "full_timestamp"])
     wanted = [c for c in columns if c in features.columns and c not in predictions.columns]
     return predictions.join(features.select(*keys, *wanted), list(keys), "left")
 
 
 def join_building_region(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Attach `region` to per-building results."""
+    """Attach `region` to results that name a building only; where names repeat over regions, carry the region instead."""
     return join_lookup(df, mapping.select("building_name", "region"), ["building_name"], "left")
 
 
@@ -93,7 +100,8 @@ def cross_join_grid(df: DataFrame, values: Sequence[float], column: str) -> Data
 
 
 def unscored_entities(
-    inputs: DataFrame, scored: DataFrame, keys: Sequence[str] = ("building_name",)
+    inputs: DataFrame, scored: DataFrame, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Entities of the input that got no score."""
+    keys = list(keys or shared_entity_keys(inputs, scored))
     return inputs.select(*keys).distinct().join(scored.select(*keys).distinct(), list(keys), "left_anti")

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadcurve.functions.columns import entity_keys, quoted
 from loadcurve.operators.aggregates import metric_mae_by_entity
 from loadcurve.operators.ranks import value_ranks
 from loadcurve.operators.series import with_positions
 from loadcurve.operators.sized import join_lookup
+from loadcurve.session import cut_lineage
 
 # 13 hex digits of the digest: 52 bits, exact as a double too.
 _HASH_DIGITS = 13
@@ -35,47 +37,59 @@ def sample_split_cap(
     """At most `caps[split]` rows of each split, spread evenly over all keys.
 
     The rows with the lowest hashes are kept. The hash limit of a split is found by rank among a
-    preselected share of about 1.5 caps of its rows. Exact copies share a hash and stay or go
-    together.
+    preselected share of its rows, which grows until it holds the cap. Rows of one key share a hash;
+    of those at the limit as many are kept as there is room for.
     """
     hashed = df.where(F.col(split).isin(list(caps))).withColumn("__hash", sample_hash(keys, seed))
+    row = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
     cap = F
     for name, rows in caps.items():
         cap = cap.when(F.col(split) == name, F.lit(int(rows)))
-    counts = hashed.groupBy(split).agg(F.count(F.lit(1)).alias("__rows"))
-    share = (cap * 1.5 + 1000) / F.col("__rows")
-    near = join_lookup(hashed.select(split, "__hash"), counts, [split]).where(
-        F.col("__hash") < share * F.lit(_HASH_RANGE)
-    )
-    expected = int(sum(1.5 * c + 1000 for c in caps.values()))
-    limits = (
-        value_ranks(near, "__hash", [split], rows=max(expected, 1))
-        .where(F.col("before") + F.col("n") <= cap)
-        .groupBy(split)
-        .agg(F.max("value").alias("__limit"))
-    )
-    return (
-        join_lookup(hashed, limits, [split])
-        .where(F.col("__hash") <= F.col("__limit"))
-        .drop("__hash", "__limit")
+    counts = cut_lineage(hashed.groupBy(split).agg(F.count(F.lit(1)).alias("__rows")))
+    wanted = {r[split]: min(caps[r[split]], r["__rows"]) for r in counts.collect()}  # one for each split
+    times = 1.5
+    while True:
+        share = (cap * times + 1000) / F.col("__rows")
+        near = join_lookup(hashed.select(split, "__hash"), counts, [split]).where(
+            F.col("__hash") < share * F.lit(_HASH_RANGE)
+        )
+        held = {r[split]: r["n"] for r in near.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(held.get(name, 0) >= rows for name, rows in wanted.items()):
+            break
+        times *= 8
+    ranks = value_ranks(near, "__hash", [split], rows=max(1, sum(held.values())))
+    fits = F.col("before") + F.col("n") <= cap
+    limits = ranks.groupBy(split).agg(
+        F.max(F.when(fits, F.col("value"))).alias("__limit"),
+        F.min(F.when(~fits, F.struct("value", (cap - F.col("before")).alias("room")))).alias("__next"),
     )
+    placed = join_lookup(hashed, limits, [split]).withColumn("__row", row)
+    below = placed.where(F.col("__hash") <= F.coalesce("__limit", F.lit(-1)))
+    # Rows of the key at the limit: first some of each partition, then some of these.
+    at_limit = placed.where((F.col("__hash") == F.col("__next.value")) & (F.col("__next.room") > 0))
+    at_limit = at_limit.withColumn("__part", F.spark_partition_id())
+    for by in ([split, "__part"], [split]):
+        ranked = F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
+        at_limit = at_limit.withColumn("__rank", ranked).where(F.col("__rank") <= F.col("__next.room"))
+    return below.unionByName(at_limit.drop("__part", "__rank")).drop("__hash", "__limit", "__next", "__row")
 
 
 def sample_per_entity(
     df: DataFrame,
     n: int,
     *,
-    keys: Sequence[str] = ("building_name",),
+    keys: Sequence[str] | None = None,
     ts: str = "full_timestamp",
     seed: int = 42,
 ) -> DataFrame:
-    """At most n rows of each entity, the same ones on every run.
+    """At most n rows of each entity, the same ones on every run; each entity has hours of its own.
 
     Done in two rounds: the first keeps n rows of each of several hash parts of an entity, so that
     an entity with very many rows is not gathered in one task.
     """
-    order = [F.col("__hash"), F.col(ts)]
-    hashed = df.withColumn("__hash", sample_hash([ts], seed)).withColumn(
+    keys = list(keys or entity_keys(df))
+    order = [F.col("__hash"), F.col(ts), F.xxhash64(*[F.col(quoted(c)) for c in df.columns])]
+    hashed = df.withColumn("__hash", sample_hash([*keys, ts], seed)).withColumn(
         "__salt", F.pmod(F.xxhash64("__hash"), F.lit(_SALTS))
     )
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
@@ -89,9 +103,10 @@ def sample_per_entity(
     )
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """A random share of the rows, for scatter plots; aggregates use all rows."""
-    return df.sample(fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
+    """About this share of the rows, for scatter plots, by the hash of their key; aggregates use all rows."""
+    keys = list(keys or [*entity_keys(df), "full_timestamp"])
+    return df.where(sample_hash(keys, seed) < F.lit(fraction * _HASH_RANGE))
 
 
 def top_features(importance: DataFrame, n: int = 12) -> DataFrame:
@@ -100,39 +115,47 @@ def top_features(importance: DataFrame, n: int = 12) -> DataFrame:
 
 def top_bottom_sensitivity(elasticity: DataFrame, n: int = 12) -> DataFrame:
     """The n highest and the n lowest elasticities, marked by `side`."""
-    scored = elasticity.where(F.col("elasticity").isNotNull()).select("building_name", "elasticity")
-    high = scored.orderBy(F.desc("elasticity"), "building_name").limit(n)
-    low = scored.orderBy(F.asc("elasticity"), "building_name").limit(n)
+    keys = entity_keys(elasticity)
+    scored = elasticity.where(F.col("elasticity").isNotNull()).select(*keys, "elasticity")
+    high = scored.orderBy(F.desc("elasticity"), *keys).limit(n)
+    low = scored.orderBy(F.asc("elasticity"), *keys).limit(n)
     return high.withColumn("side", F.lit("high")).unionByName(low.withColumn("side", F.lit("low")))
 
 
 def _series_of(predictions: DataFrame, chosen: DataFrame) -> DataFrame:
     # `chosen` is a handful of buildings by construction (limit).
-    return predictions.join(F.broadcast(chosen.select("building_name")), "building_name", "left_semi")
+    keys = entity_keys(predictions)
+    return predictions.join(F.broadcast(chosen.select(*keys)), keys, "left_semi")
 
 
 def worst_entities_series(predictions: DataFrame, n: int = 3) -> DataFrame:
     """All predictions of the n buildings with the highest MAE."""
-    worst = metric_mae_by_entity(predictions).orderBy(F.desc("mae"), "building_name").limit(n)
+    worst = metric_mae_by_entity(predictions).orderBy(F.desc("mae"), *entity_keys(predictions)).limit(n)
     return _series_of(predictions, worst)
 
 
 def top_entities_by_count(predictions: DataFrame, n: int = 3) -> DataFrame:
     """All predictions of the n buildings with most rows."""
-    counts = predictions.groupBy("building_name").agg(F.count(F.lit(1)).alias("n"))
-    return _series_of(predictions, counts.orderBy(F.desc("n"), "building_name").limit(n))
+    keys = entity_keys(predictions)
+    counts = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _series_of(predictions, counts.orderBy(F.desc("n"), *keys).limit(n))
 
 
 def downsample_every_nth(
     df: DataFrame,
     *,
-    keys: Sequence[str] = ("building_name",),
+    keys: Sequence[str] | None = None,
     ts: str = "full_timestamp",
     max_points: int = 1000,
     **series_options,
 ) -> DataFrame:
-    """Every k-th row in time order, k = rows // max_points, for series longer than max_points."""
-    placed = with_positions(df, keys, ts, **series_options)
+    """Every k-th row in time order, k = rows // max_points, for series longer than max_points.
+
+    Rows of equal time are ordered by their other columns.
+    """
+    keys = list(keys or entity_keys(df))
+    ties = series_options.pop("ties", [quoted(c) for c in df.columns if c not in (*keys, ts)])
+    placed = with_positions(df, keys, ts, ties=ties, **series_options)
     step = F.greatest(F.floor(F.col("series_rows") / max_points), F.lit(1))
     step = F.when(F.col("series_rows") > max_points, step).otherwise(F.lit(1))
     return placed.where(F.col("position") % step == 0).drop("position", "series_rows")

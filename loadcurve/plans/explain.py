@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from loadcurve import constants as K
+from loadcurve.functions.columns import entity_keys
 from loadcurve.operators.aggregates import HOURS, hourly_profile, numeric_columns
 from loadcurve.operators.joins import cross_join_grid
 from loadcurve.operators.onerow import attach_row
 from loadcurve.operators.ranks import exact_medians, exact_quantiles
 from loadcurve.operators.sampling import sample_per_entity
+from loadcurve.operators.sized import join_lookup
 from loadcurve.plans.models import Scorer, present_features
+from loadcurve.session import cut_lineage
 
 TEMPERATURE = "apparent_temperature_norm"
 
@@ -50,30 +52,29 @@ def elasticity_by_entity(
     scorer: Scorer,
     *,
     grid_points: int = 11,
-    max_rows: int = 200,
-    keys: Sequence[str] = ("building_name",),
+    max_rows: int | None = None,
+    keys: Sequence[str] | None = None,
     inputs: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Median temperature slope per building over at most `max_rows` of its rows.
+    """Median temperature slope per building over all of its rows, or over a sample of `max_rows`.
 
     Rows with a missing input are left out. A curve's points stay in one partition until the slope
-    is taken, so one row per curve is shuffled; a building's median is over `max_rows` at most.
+    is taken, so one row per curve is shuffled, named by a hash of its inputs.
     """
+    keys = list(keys or entity_keys(features))
     points = max(3, grid_points)
     inputs = list(inputs or present_features(features))
     complete = features.dropna(subset=inputs)
-    sampled = sample_per_entity(complete, max_rows, keys=keys, seed=seed)
-    ids = [*keys, "full_timestamp", *[c for c in inputs if c != TEMPERATURE]]
-    curves = ice_curves(sampled, scorer, unit_grid(points), ids=ids)
-    return (
-        ice_slope(curves, ids, points)
-        .groupBy(*keys)
-        .agg(
-            F.percentile("slope", 0.5, F.col("n_rows")).alias("elasticity"),
-            F.sum("n_rows").alias("n_rows_used"),
-        )
-    )
+    if max_rows is not None:
+        complete = sample_per_entity(complete, max_rows, keys=keys, seed=seed)
+    others = [c for c in inputs if c != TEMPERATURE]
+    named = complete.withColumn("__curve", F.xxhash64("full_timestamp", *others))
+    ids = [*keys, "__curve"]
+    slopes = cut_lineage(ice_slope(ice_curves(named, scorer, unit_grid(points), ids=ids), ids, points))
+    rows = slopes.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows_used"))
+    medians = exact_quantiles(slopes, "slope", [0.5], keys, names=["elasticity"], weight="n_rows")
+    return join_lookup(rows, medians, keys, null_safe=True).select(*keys, "elasticity", "n_rows_used")
 
 
 def segment_by_quartile(df: DataFrame, column: str = "elasticity", out: str = "segment", **options) -> DataFrame:
@@ -159,9 +160,10 @@ def pca_2d(
         .transform(raw)
     )
     scores = PCA(k=2, inputCol="__centred", outputCol="__scores").fit(centred).transform(centred)
-    raw.unpersist()
     pair = vector_to_array("__scores")
-    return scores.select(*keys, pair[0].alias("pc1"), pair[1].alias("pc2"))
+    out = cut_lineage(scores.select(*keys, pair[0].alias("pc1"), pair[1].alias("pc2")))
+    raw.unpersist()
+    return out
 
 
 def kmeans_profiles(
@@ -170,13 +172,14 @@ def kmeans_profiles(
     k: int = 4,
     starts: int = 10,
     seed: int = 42,
-    keys: Sequence[str] = ("building_name",),
+    keys: Sequence[str] | None = None,
     parallelism: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Clusters of 24-hour profiles: (buildings with cluster, centres per cluster and hour).
 
     The start with the lowest cost of `starts` seeds wins; some starts run side by side.
     """
+    keys = list(keys or entity_keys(features))
     columns = [f"h{h}" for h in HOURS]
     profiles = VectorAssembler(inputCols=columns, outputCol="features").transform(
         hourly_profile(features, keys)
@@ -199,6 +202,6 @@ def kmeans_profiles(
         ],
         "cluster int, hour int, usage double",
     )
-    labels = best.transform(profiles).select(*keys, F.col("prediction").alias("cluster"))
+    labels = cut_lineage(best.transform(profiles).select(*keys, F.col("prediction").alias("cluster")))
     profiles.unpersist()
     return labels, centres

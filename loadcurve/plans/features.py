@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from loadcurve import constants as K
 from loadcurve.functions import timefns
 from loadcurve.functions.coerce import coerce_flag, coerce_numeric, coerce_timestamp
-from loadcurve.functions.columns import quoted, reorder_columns, require_column, resolve_column
+from loadcurve.functions.columns import entity_keys, quoted, reorder_columns, require_column, resolve_column
 from loadcurve.functions.values import region_default
 from loadcurve.operators.aggregates import agg_weather_hourly
 from loadcurve.operators.joins import join_holiday_calendar, join_weather_hour
@@ -24,11 +24,6 @@ FALLBACK_TEMPERATURE = 0.5
 FALLBACK_PRECIPITATION = 0.0
 
 
-def entity_keys(df: DataFrame, region_in_key: bool = True) -> list[str]:
-    """A building is identified within its region; `region_in_key=False` merges equal names."""
-    return ["region", "building_name"] if region_in_key and "region" in df.columns else ["building_name"]
-
-
 def lag_columns(
     w: WindowSpec, usage: str = "usage_pb", temperature: str | None = "apparent_temperature_norm",
     target: bool = True,
@@ -237,9 +232,10 @@ def _scoring_readings(usage: DataFrame, region: str, weather: DataFrame | None)
 
 
 def latest_per_entity(
-    df: DataFrame, keys: Sequence[str] = ("building_name",), ts: str = "full_timestamp"
+    df: DataFrame, keys: Sequence[str] | None = None, ts: str = "full_timestamp"
 ) -> DataFrame:
     """The newest row of each entity, as an aggregate (no sort)."""
+    keys = list(keys or entity_keys(df))
     rest = [c for c in df.columns if c not in keys]
     newest = df.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(F.col(ts), *[F.col(c) for c in rest if c != ts])).alias("r")

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from loadcurve import constants as K
-from loadcurve.functions.columns import fill_absent_features
+from loadcurve.functions.columns import entity_keys, fill_absent_features, quoted
 from loadcurve.operators.aggregates import metric_mae_rmse
 from loadcurve.session import ensure_checkpoint_dir
 
+#: Rows beyond which boosting stops early by default.
+EARLY_STOP_ROWS = 10_000
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 _VECTOR = "__inputs"
@@ -98,16 +101,21 @@ def train_gradient_boosting(
     min_leaf: int = 20,
     max_bins: int = 128,
     seed: int = 42,
-    holdout: float = 0.0,
+    holdout: float | None = None,
     features: Sequence[str] | None = None,
 ) -> PipelineModel:
-    """Boosted trees with squared error. `holdout` > 0 keeps that share of rows to stop early."""
+    """Boosted trees with squared error. `holdout` > 0 keeps that share of rows to stop early.
+
+    By default that is a tenth of the rows where there are more than EARLY_STOP_ROWS, else none.
+    """
     boosted = GBTRegressor(
         featuresCol=_VECTOR, labelCol=K.TARGET, predictionCol="y_pred", lossType="squared",
         maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_leaf,
         maxBins=max_bins, seed=seed,
     )
     features = features or present_features(train)
+    if holdout is None:
+        holdout = 0.1 if train.where(F.col(K.TARGET).isNotNull()).count() > EARLY_STOP_ROWS else 0.0
     if holdout > 0:
         # By content, so that the same rows are held out on every evaluation of the frame.
         bucket = F.pmod(F.xxhash64(*features, K.TARGET), F.lit(10_000))
@@ -157,9 +165,10 @@ def prediction_table(
     scorer: Scorer,
     *,
     target: str = K.TARGET,
-    keys: Sequence[str] = ("building_name", "full_timestamp"),
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Keys with `y_true` and `y_pred`."""
+    """Keys (region, building and time) with `y_true` and `y_pred`."""
+    keys = list(keys or [*entity_keys(features), "full_timestamp"])
     return scorer(features).select(
         *keys, F.col(target).cast("double").alias("y_true"), F.col("y_pred").cast("double").alias("y_pred")
     )
@@ -178,7 +187,7 @@ def predict_next_hour(
     return (
         scorer(filled)
         .withColumnRenamed("y_pred", "y_pred_next")
-        .select("building_name", "timestamp_last", "timestamp_next", "y_pred_next", *features)
+        .select(*entity_keys(latest), "timestamp_last", "timestamp_next", "y_pred_next", *features)
     )
 
 
@@ -187,13 +196,14 @@ def shuffled_within_blocks(
 ) -> DataFrame:
     """Add `donor_<r>`: the named columns of another row, for each repeat.
 
-    Rows are dealt at random to blocks. Within a block each row takes the values of its successor in
-    a random order (the last takes the first's), so every value is used exactly once. Blocks are
-    random, not by key, and so of even size.
+    Rows are dealt by a hash of their values to blocks. Within a block each row takes the values of its
+    successor in the order of another hash (the last takes the first's), so every value is used exactly
+    once, and the same rows meet on every partitioning. Blocks are of even size but for equal rows.
     """
-    out = df.withColumn("__block", F.floor(F.rand(seed) * blocks))
+    row = [F.col(quoted(c)) for c in df.columns]
+    out = df.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(blocks)))
     for r in range(repeats):
-        out = out.withColumn(f"__order_{r}", F.rand(seed + 1 + r))
+        out = out.withColumn(f"__order_{r}", F.xxhash64(F.lit(seed + 1 + r), *row))
     packed = F.struct(*columns)
     for r in range(repeats):
         w = Window.partitionBy("__block").orderBy(f"__order_{r}")

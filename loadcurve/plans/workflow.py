@@ -18,10 +18,11 @@ from loadcurve.plans import explain, models
 from loadcurve.plans.features import build_features, load_weather, prediction_features
 from loadcurve.plans.splits import filter_split, quantile_cutoffs
 from loadcurve.plans.unify import unify_sources
+from loadcurve.session import cut_lineage
 from loadcurve.sources.readers import scan_source
 from loadcurve.sources.writers import metric_rows, sink_csv, sink_metrics, sink_parquet
 
-NAIVE, FOREST, BOOSTED = "Naive", "RF", "HGBR"
+NAIVE, FOREST, BOOSTED = "Naive", "RF", "GBT"
 
 
 def train(
@@ -51,7 +52,7 @@ def train(
     quantile_cutoffs(features).write.mode("overwrite").parquet(f"{out}/cutoffs.parquet")
     cutoffs = spark.read.parquet(f"{out}/cutoffs.parquet")
     if caps:
-        capped = sample_split_cap(filter_split(features, cutoffs), caps, ["building_name", "full_timestamp"])
+        capped = sample_split_cap(filter_split(features, cutoffs), caps, ["region", "building_name", "full_timestamp"])
         capped.drop("split").write.mode("overwrite").parquet(f"{out}/capped_features.parquet")
     used = spark.read.parquet(f"{out}/capped_features.parquet") if caps else features
 
@@ -109,7 +110,10 @@ def forecast(
     latest = prediction_features(
         usage, region, weather, regions=spark.read.parquet(f"{trained}/regions.parquet"), **feature_options
     )
-    # A region that training has not seen gets the fill value of an absent feature.
-    ready = fill_absent_features(latest, models.K.MODEL_FEATURES).na.fill(0, ["region_id"])
+    ready = cut_lineage(fill_absent_features(latest, models.K.MODEL_FEATURES))
+    if not ready.limit(1).count():
+        raise ValueError(f"no building of {usage_path} has a full day of history to forecast from")
+    if ready.where("region_id is null").limit(1).count():
+        raise ValueError(f"training has not seen region {region}")
     sink_csv(models.predict_next_hour(ready, scorer), out)
     return scan_source(spark, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,17 +26,35 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "loadcurve
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a private one only where none is set."""
+    """The cluster's shared folder (`spark.checkpoint.dir`); a private one only for a local session without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="loadcurve-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written and read back within a job."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this session, at the end of a job when no result is read any more; their number."""
+    own = [path for s, path in _scratch if s is spark]
+    _scratch[:] = [(s, path) for s, path in _scratch if s is not spark]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in own:
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(own)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

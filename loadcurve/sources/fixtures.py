@@ -106,7 +106,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Persistence forecasts of all feature rows."""
     return forecast_naive(features(spark, sf)).select(
-        "building_name", "full_timestamp", F.col("y_next").alias("y_true"), "y_pred"
+        "region", "building_name", "full_timestamp", F.col("y_next").alias("y_true"), "y_pred"
     )
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.functions.columns import quoted
+from loadcurve.operators.sized import join_lookup
+from loadcurve.session import cut_lineage
 
-PREAMBLE_SEARCH_LINES = 20
 PREAMBLE_FALLBACK_ROW = 3
 
 
@@ -112,33 +113,29 @@ def scan_weather_skip_preamble(
 ) -> Iterator[DataFrame]:
     """Weather CSV files with lines before the header, as text frames, one per distinct header.
 
-    The header is the first of the leading lines that has a cell equal to `header_cell`
-    (case-blind); without one it is the fourth line.
+    The header is the first line of a file's first block that has a cell equal to `header_cell`
+    (case-blind), however many lines stand before it; without one it is the fourth line, and
+    `prepare_weather` raises if that names no weather columns. One small row per file, size-checked, is
+    joined to the lines, so lines are not shuffled; only the distinct headers reach the driver.
     """
     lines = _lines(spark, pattern)
     cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(F.translate(c, '"', "")))
     leading = lines.where(F.col("block_start") == 0)
-    starts = leading.groupBy("file").agg(
-        F.min("line_id").alias("first_id"),
-        F.min(F.when(F.array_contains(cells, header_cell), F.col("line_id"))).alias("named_id"),
+    named = F.when(F.array_contains(cells, header_cell), F.struct("line_id", "value"))
+    starts = cut_lineage(
+        leading.groupBy("file").agg(F.min("line_id").alias("first_id"), F.min(named).alias("named"))
     )
-    in_reach = F.col("named_id") - F.col("first_id") < PREAMBLE_SEARCH_LINES
-    header_at = starts.select(
-        "file",
-        F.when(in_reach, F.col("named_id"))
-        .otherwise(F.col("first_id") + PREAMBLE_FALLBACK_ROW)
-        .alias("header_id"),
-    )
-    joined = lines.join(header_at, "file")
-    headers = joined.where(
-        (F.col("block_start") == 0) & (F.col("line_id") == F.col("header_id"))
-    ).select("file", F.col("value").alias("header"))
-    files: dict[str, list[str]] = defaultdict(list)
-    for row in headers.toLocalIterator():
-        files[row["header"]].append(row["file"])
+    found = starts.where("named is not null").select("file", "named.*").toDF("file", "header_id", "header")
+    unnamed = starts.where("named is null").select("file", (F.col("first_id") + PREAMBLE_FALLBACK_ROW).alias("line_id"))
+    if unnamed.limit(1).count():
+        fourth = join_lookup(leading, unnamed, ["file", "line_id"]).select("file", "line_id", "value")
+        found = found.unionAll(fourth)
+    headers = cut_lineage(found)
+    layouts = [r["header"] for r in headers.select("header").distinct().collect()]
+    joined = join_lookup(lines, headers, ["file"])
     data = joined.where((F.col("block_start") > 0) | (F.col("line_id") > F.col("header_id")))
-    for header, paths in sorted(files.items()):
+    for header in sorted(layouts):
         names = [n.strip().lower() for n in _split_header(header)]
         ddl = ", ".join(f"{quoted(n)} STRING" for n in names)
-        rows = data if len(files) == 1 else data.where(F.col("file").isin(paths))
+        rows = data if len(layouts) == 1 else data.where(F.col("header") == header)
         yield rows.select(F.from_csv("value", ddl).alias("r")).select("r.*")

@@ -42,7 +42,7 @@ def fitted(split):
     train = split.where("split = 'train'")
     return {
         "RF": models.train_random_forest(train, num_trees=20, max_depth=8, max_bins=32),
-        "HGBR": models.train_gradient_boosting(train, max_iter=20, max_depth=4, step_size=0.2, max_bins=32, holdout=0.1),
+        "GBT": models.train_gradient_boosting(train, max_iter=20, max_depth=4, step_size=0.2, max_bins=32, holdout=0.1),
     }
 
 
@@ -57,16 +57,16 @@ def test_models_beat_persistence(split, scorers):
     assert len(mae) == 6
     for part in ("val", "test"):
         assert mae["RF", part] < 0.5 * mae["Naive", part]
-        assert mae["HGBR", part] < 0.5 * mae["Naive", part]
-    best = pick_best_model(metrics, ["HGBR", "RF"]).first()
-    assert best["model"] == min(("HGBR", "RF"), key=lambda m: mae[m, "val"])
+        assert mae["GBT", part] < 0.5 * mae["Naive", part]
+    best = pick_best_model(metrics, ["GBT", "RF"]).first()
+    assert best["model"] == min(("GBT", "RF"), key=lambda m: mae[m, "val"])
     table = {r["model"]: (r["val_mae"], r["test_mae"]) for r in model_comparison_table(metrics).collect()}
     assert table["Naive"] == (mae["Naive", "val"], mae["Naive", "test"])
 
 
 def test_tie_goes_to_the_earlier_candidate(spark):
-    metrics = spark.createDataFrame([("RF", "val", 0.1), ("HGBR", "val", 0.1), ("x", "val", 0.0)], "model string, split string, mae double")
-    assert pick_best_model(metrics, ["HGBR", "RF"]).first()["model"] == "HGBR"
+    metrics = spark.createDataFrame([("RF", "val", 0.1), ("GBT", "val", 0.1), ("x", "val", 0.0)], "model string, split string, mae double")
+    assert pick_best_model(metrics, ["GBT", "RF"]).first()["model"] == "GBT"
 
 
 def test_save_and_load_give_the_same_predictions(split, fitted, tmp_path):
@@ -86,8 +86,8 @@ def test_inputs_are_taken_by_name(split, fitted):
 
 
 def test_next_hour(readings, scorers):
-    out = models.predict_next_hour(prediction_features(readings, unique_hours=True), scorers["HGBR"])
-    assert out.columns == ["building_name", "timestamp_last", "timestamp_next", "y_pred_next", *K.MODEL_FEATURES]
+    out = models.predict_next_hour(prediction_features(readings, unique_hours=True), scorers["GBT"])
+    assert out.columns == ["region", "building_name", "timestamp_last", "timestamp_next", "y_pred_next", *K.MODEL_FEATURES]
     rows = out.collect()
     assert len(rows) == 8 and all(r["timestamp_next"] - r["timestamp_last"] == timedelta(hours=1) for r in rows)
 

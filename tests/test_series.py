@@ -134,4 +134,6 @@ def test_split_cap_with_copies_stays_under_the_cap(spark):
     copies = df.limit(1).crossJoin(spark.range(500)).drop("id")
     rows = df.unionByName(copies).withColumn("split", F.lit("train"))
     out = sample_split_cap(rows, {"train": 50}, ["building_name", "full_timestamp"])
-    assert 0 <= out.count() <= 50
+    assert out.count() == 50
+    only = copies.withColumn("split", F.lit("train")).repartition(5)
+    assert sample_split_cap(only, {"train": 100}, ["building_name", "full_timestamp"]).count() == 100

@@ -37,7 +37,7 @@ def test_train_then_forecast(spark, tmp_path):
         forest=small, boosted={"max_iter": 3, "max_depth": 3, "max_bins": 16}, unique_hours=True,
         caps={"train": 900, "val": 100, "test": 100},
     )
-    assert {(r["model"], r["split"]) for r in metrics.collect()} == {(m, s) for m in ("Naive", "RF", "HGBR") for s in ("val", "test")}
+    assert {(r["model"], r["split"]) for r in metrics.collect()} == {(m, s) for m in ("Naive", "RF", "GBT") for s in ("val", "test")}
     assert spark.read.parquet(f"{out}/features.parquet").count() == 5 * (300 - 25)
     assert spark.read.option("header", True).csv(f"{out}/segments").count() == 5
     assert spark.read.option("header", True).csv(f"{out}/importance").count() == 14
