@@ -73,7 +73,8 @@ def hash_share(key: Sequence[str], share: float, seed: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 17) -> DataFrame:
-    """Rows of `docs` with their label as column `__label`: about `most` at the most, chosen by a hash of the id.
+    """Rows of `docs` with their label as column `__label`: of about `most` ids at the most, chosen by a hash of the id.
+    Callers limit the rows, should ids repeat.
 
     Only ids outside the held-out fold and labels that are not null count. Labels are one per id (the
     largest, where they repeat), and fewer than `most` in all, so that they are broadcast and no text is shuffled.
@@ -84,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, s
     )
     share = most / max(1, known.count())
     chosen = known.where(hash_share(["doc_id"], share, seed)) if share < 1 else known
-    return without(docs, ["__label"]).join(F.broadcast(chosen.limit(2 * most)), "doc_id").limit(2 * most)
+    return without(docs, ["__label"]).join(F.broadcast(chosen.limit(2 * most)), "doc_id")
 
 
 def split_words(text: str) -> list[bytes]:

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Machine | f
     """A machine fitted on a sample of about `most` labelled rows, or the constant score without both labels."""
     fields = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]
     sample = labelled_sample(_with_length(docs), labels, "quality", most)
-    pdf = annotate(sample, ["text", "__length"], fields, _pack, ["doc_id", "__label"]).toPandas().sort_values("doc_id", kind="stable")
+    pdf = annotate(sample, ["text", "__length"], fields, _pack, ["doc_id", "__label"]).limit(2 * most).toPandas().sort_values("doc_id", kind="stable")
     y = (pdf["__label"].to_numpy() > 0).astype(float)
     if len(set(y)) < 2:
         return float(y[0]) if len(y) else 0.5

@@ -99,15 +99,16 @@ def fit_coder(x: np.ndarray, languages: list[str], steps: int = 80, rate: float
     names = sorted(set(languages))
     words = code(len(names))
     of = np.array([names.index(name) for name in languages])
-    target = words[of]
-    weight = (1 / np.bincount(of))[of][:, None] / len(names)
-    w, b = np.zeros((x.shape[1], target.shape[1])), np.zeros(target.shape[1])
+    target = words[of].astype(x.dtype)
+    weight = ((1 / np.bincount(of))[of][:, None] / len(names)).astype(x.dtype)
+    w, b = np.zeros((x.shape[1], target.shape[1]), x.dtype), np.zeros(target.shape[1], x.dtype)
     ahead, ahead_b = w, b
-    scale = 20.0  # profiles have length 1: their margins need large weights
+    scale = x.dtype.type(20)  # profiles have length 1: their margins need large weights
+    step, shrink = x.dtype.type(rate), x.dtype.type(ridge)
     for k in range(steps):
         pull = -weight * target / (1 + np.exp(np.clip(target * scale * (x @ ahead + ahead_b), -30, 30)))
-        new, new_b = ahead - rate * (x.T @ pull + ridge * ahead), ahead_b - rate * pull.sum(axis=0)
-        momentum = k / (k + 3)
+        new, new_b = ahead - step * (x.T @ pull + shrink * ahead), ahead_b - step * pull.sum(axis=0)
+        momentum = x.dtype.type(k / (k + 3))
         ahead, ahead_b = new + momentum * (new - w), new_b + momentum * (new_b - b)
         w, b = new, new_b
     right = (weight * (target * (x @ w + b) > 0)).sum(axis=0)
@@ -124,13 +125,15 @@ def fit(docs: DataFrame, most: int = FIT_ROWS) -> Coder | None:
     shares = F.lit(False)
     for name, n in counts.items():
         shares = shares | ((F.col("lang") == name) & hash_share(["doc_id"], most / len(counts) / n, 23))
-    chosen = known.where(shares).limit(2 * most)
+    chosen = known.where(shares)
     fields = [T.StructField("profile", T.BinaryType())]
-    pdf = annotate(chosen, ["text"], fields, _profiles, ["doc_id", "lang"]).where("profile is not null").toPandas()
+    pdf = annotate(chosen, ["text"], fields, _profiles, ["doc_id", "lang"]).where("profile is not null").limit(2 * most).toPandas()
     if not len(pdf):
         return None
     pdf = pdf.sort_values(["doc_id", "lang"], kind="stable")
-    x = np.stack([np.frombuffer(p, np.float16) for p in pdf["profile"]]).astype(np.float32)
+    x = np.empty((len(pdf), BUCKETS), np.float32)
+    for row, p in zip(x, pdf.pop("profile"), strict=True):
+        row[:] = np.frombuffer(p, np.float16)
     return fit_coder(x, list(pdf["lang"]))
 
 

@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Trees | Non
     rows = annotate(
         labelled_sample(docs, labels, "quality", most), ["text"], [T.StructField("features", T.ArrayType(T.DoubleType()))],
         _features, ["doc_id", "__label"],
-    ).toPandas()
+    ).limit(2 * most).toPandas()
     rows = rows.sort_values(["doc_id", "__label"], kind="stable")
     y = (rows["__label"].to_numpy() > 0).astype(float)
     if len(set(y)) < 2:
