@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from loadcurve import constants as K
 from loadcurve.catalog.ctes import cte, sql
-from loadcurve.catalog.registry import query, rounded, sql_r6
-from loadcurve.operators.aggregates import metric_mae_by_entity
+from loadcurve.catalog.registry import query, r6, rounded, sql_r6
+from loadcurve.operators.aggregates import HOURS, hourly_profile, metric_mae_by_entity
+from loadcurve.operators.onerow import attach_row
 from loadcurve.plans import explain, models
 from loadcurve.plans.features import prediction_features
 from loadcurve.plans.splits import filter_split, quantile_cutoffs
-from loadcurve.session import scratch_path
+from loadcurve.session import cut_lineage, scratch_path
 from loadcurve.sources import fixtures as fx
 
 # A forecast by formula, so that curves, slopes and segments can be checked in SQL.
@@ -29,10 +30,6 @@ def _formula_text(t: str = "apparent_temperature_norm", h: str = "hour", p: str
     return re.sub(r"(0\.\d+)", r"\1e0", _FORMULA).format(t=t, h=h, p=p)
 
 
-# Small settings for the checks; the defaults of the training functions are the full ones.
-FOREST = {"num_trees": 10, "max_depth": 5, "max_bins": 32}
-BOOSTED = {"max_iter": 5, "max_depth": 4, "max_bins": 32}
-
 _fitted: dict[tuple[str, str, str], object] = {}
 
 
@@ -54,9 +51,9 @@ def _model(spark: SparkSession, sf: str, kind: str):
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _fitted:
         if kind == "forest":
-            _fitted[key] = models.train_random_forest(_train(spark, sf), **FOREST)
+            _fitted[key] = models.train_random_forest(_train(spark, sf))
         else:
-            _fitted[key] = models.train_gradient_boosting(_train(spark, sf), **BOOSTED)
+            _fitted[key] = models.train_gradient_boosting(_train(spark, sf))
     return _fitted[key]
 
 
@@ -76,45 +73,107 @@ def naive(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.prediction_table(fx.features(spark, sf), scorer), "y_true", "y_pred")
 
 
-@query("train_random_forest")
+# What a fitted model predicts is not for SQL to say. These queries return what must hold of the predictions:
+# their keys and targets, and that they keep to the range of the targets in training (which averages of
+# targets do, and boosted sums do within a small overshoot).
+_OVERSHOOT = 0.25
+
+
+def _checked(spark: SparkSession, sf: str, predictions: DataFrame, column: str = "y_pred") -> DataFrame:
+    limits = _train(spark, sf).agg(F.min(K.TARGET).alias("lo"), F.max(K.TARGET).alias("hi"))
+    slack = _OVERSHOOT * (F.col("__limits.hi") - F.col("__limits.lo"))
+    inside = F.col(column).between(F.col("__limits.lo") - slack, F.col("__limits.hi") + slack)
+    marked = attach_row(predictions, limits, "__limits").withColumn("in_range", F.coalesce(inside, F.lit(False)))
+    return marked.drop("__limits", column)
+
+
+def _keys_sql(split: str, fact: str) -> str:
+    return sql(f"""
+SELECT region, building_name, full_timestamp, {sql_r6('y_next', 'y_true')}, TRUE AS {fact}
+FROM split_features WHERE split = '{split}'
+""")
+
+
+@query("train_random_forest", _keys_sql("train", "in_range"))
 def forest(spark: SparkSession, sf: str) -> DataFrame:
     scorer = models.model_scorer(_model(spark, sf, "forest"))
-    return models.prediction_table(_train(spark, sf), scorer)
+    return rounded(_checked(spark, sf, models.prediction_table(_train(spark, sf), scorer)), "y_true")
 
 
-@query("train_gradient_boosting")
+@query("train_gradient_boosting", _keys_sql("train", "in_range"))
 def boosted(spark: SparkSession, sf: str) -> DataFrame:
     scorer = models.model_scorer(_model(spark, sf, "boosted"))
-    return models.prediction_table(_train(spark, sf), scorer)
+    return rounded(_checked(spark, sf, models.prediction_table(_train(spark, sf), scorer)), "y_true")
 
 
-@query("evaluate_models")
+@query("evaluate_models", sql("""
+SELECT model, split, count(*) AS n, TRUE AS agrees, CASE WHEN model = 'naive' THEN round(avg(abs(y_next - lag_1h)), 6) + 0.0 END AS naive_mae
+FROM split_features, (VALUES ('naive'), ('forest'), ('boosted')) m(model) WHERE split <> 'train' GROUP BY 1, 2
+"""))
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    return models.evaluate_models(_split(spark, sf, "val", "test"), _scorers(spark, sf))
+    """MAE and RMSE by model and split: the naive MAE, and whether all agree with sums over stored predictions."""
+    rows, scorers = _split(spark, sf, "val", "test"), _scorers(spark, sf)
+    metrics = models.evaluate_models(rows, scorers)
+    scored = cut_lineage(models.score_models(rows, scorers).select("model", "split", (F.col("y_pred") - F.col(K.TARGET)).alias("e")))
+    again = scored.groupBy("model", "split").agg(
+        (F.sum(F.abs("e")) / F.count("e")).alias("a"), F.sqrt(F.sum(F.col("e") * F.col("e")) / F.count("e")).alias("q")
+    )
+    agrees = (F.abs(F.col("mae") - F.col("a")) < 1e-9) & (F.abs(F.col("rmse") - F.col("q")) < 1e-9)
+    naive_mae = F.when(F.col("model") == "naive", r6("mae")).alias("naive_mae")
+    return metrics.join(again, ["model", "split"]).select("model", "split", "n", agrees.alias("agrees"), naive_mae)
+
+
+@query("predict_test", _keys_sql("test", "in_range"))
+def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    out = models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["boosted"])
+    return rounded(_checked(spark, sf, out), "y_true")
 
 
-@query("predict_test")
-def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["boosted"])
+_SCORED_FEATURES = ["lag_1h", "lag_24h", "rollmean_24h", "apparent_temperature_norm", "temp_lag_1h", "temp_lag_24h", "precipitation"]
 
 
-@query("predict_next_hour")
+@query("predict_next_hour", sql("""
+SELECT region, building_name, full_timestamp AS timestamp_last, full_timestamp + INTERVAL 1 HOUR AS timestamp_next,
+       CAST(hour(full_timestamp) AS INTEGER) AS hour, CAST(isodow(full_timestamp) - 1 AS INTEGER) AS day_of_week,
+       CAST(month(full_timestamp) AS INTEGER) AS month, is_day, is_weekend, is_holiday, region_id, TRUE AS in_range, """
+    + ", ".join(sql_r6(c, c) for c in _SCORED_FEATURES) + """
+FROM lagged WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rollmean_24h IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY region, building_name ORDER BY full_timestamp DESC) = 1
+"""))
 def next_hour(spark: SparkSession, sf: str) -> DataFrame:
     latest = prediction_features(fx.unified(spark, sf), unique_hours=True)
-    return models.predict_next_hour(latest, _scorers(spark, sf)["boosted"])
+    out = models.predict_next_hour(latest, _scorers(spark, sf)["boosted"])
+    return rounded(_checked(spark, sf, out, "y_pred_next"), *_SCORED_FEATURES)
 
 
-@query("model_save_load")
+@query("model_save_load", _keys_sql("test", "same"))
 def save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the model that was stored and read again predicts the same for each test row."""
     path = scratch_path(spark, "model")
     models.save_model(_model(spark, sf, "forest"), path)
-    return models.predict_test(_split(spark, sf, "test"), models.model_scorer(models.load_model(path)))
+    both = {"first": models.model_scorer(_model(spark, sf, "forest")), "again": models.model_scorer(models.load_model(path))}
+    keys = ["region", "building_name", "full_timestamp"]
+    scored = models.score_models(_split(spark, sf, "test"), both).groupBy(*keys).agg(
+        F.max(K.TARGET).alias("y_true"), (F.min("y_pred") == F.max("y_pred")).alias("same")
+    )
+    return rounded(scored, "y_true")
+
+
+_FORMULA_INPUTS = ["lag_1h", "rollmean_24h", "lag_24h", "apparent_temperature_norm", "hour", "precipitation"]
 
 
-@query("permutation_importance")
+@query("permutation_importance", sql(f"""
+SELECT feature, feature IN ({', '.join(f"'{c}'" for c in _FORMULA_INPUTS)}) AS matters, n_rows
+FROM (SELECT unnest([{', '.join(f"'{c}'" for c in K.MODEL_FEATURES)}]) AS feature), (SELECT count(*) AS n_rows FROM split_features WHERE split = 'val')
+"""))
 def importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Which inputs matter to a forecast by formula: shuffling any other changes nothing at all."""
     val = _split(spark, sf, "val")
-    return models.permutation_importance(val, _scorers(spark, sf)["boosted"])
+    found = models.permutation_importance(val, _formula())
+    matters = (F.col("importance_mean") != 0) | (F.col("importance_std") != 0)
+    return attach_row(found.select("feature", matters.alias("matters")), val.agg(F.count(F.lit(1)).alias("n_rows")), "__n").select(
+        "feature", "matters", "__n.n_rows"
+    )
 
 
 cte("formula_curves", f"""
@@ -205,28 +264,94 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(named[0].unionByName(named[1]).unionByName(named[2]), "grid", "y_pred")
 
 
-@query("pca_2d")
+@query("pca_2d", sql("""
+SELECT count(*) AS n, 0.0::DOUBLE AS mean_1, 0.0::DOUBLE AS mean_2, TRUE AS uncorrelated, TRUE AS in_order, TRUE AS least_error FROM features
+WHERE usage_pb IS NOT NULL AND apparent_temperature_norm IS NOT NULL AND precipitation IS NOT NULL AND is_day IS NOT NULL
+"""))
 def components(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the two scores: centred, uncorrelated, the first wider, and together at least as wide as any two columns."""
     columns = ["usage_pb", "hour", "day_of_week", "month", "apparent_temperature_norm", "precipitation",
                "is_day", "is_weekend", "is_holiday", "region_id"]
-    return explain.pca_2d(fx.features(spark, sf), columns, keys=["building_name", "full_timestamp"])
+    features = fx.features(spark, sf)
+    scores = explain.pca_2d(features, columns, keys=["building_name", "full_timestamp"])
+    spreads = features.dropna(subset=columns).agg(*[F.var_pop(F.col(c).cast("double")).alias(c) for c in columns])
+    widest = spreads.select(F.sort_array(F.array(*columns), asc=False).alias("v"))
+    facts = scores.agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("pc1")).alias("mean_1"), r6(F.avg("pc2")).alias("mean_2"),
+        (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("in_order"),
+        (F.var_pop("pc1") + F.var_pop("pc2")).alias("held"),
+    )
+    least = F.col("held") >= (F.col("__w.v")[0] + F.col("__w.v")[1]) * (1 - 1e-9)
+    return attach_row(facts, widest, "__w").withColumn("least_error", least).drop("held", "__w")
+
+
+def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and centres, once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf, "clusters")
+    if key not in _fitted:
+        _fitted[key] = explain.kmeans_profiles(fx.features(spark, sf))
+    return _fitted[key]
 
 
-@query("kmeans_profiles")
+@query("kmeans_profiles", sql("SELECT DISTINCT region, building_name, TRUE AS nearest FROM features"))
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    labels, _ = explain.kmeans_profiles(fx.features(spark, sf))
-    return labels
-
-
-@query("elasticity_by_model")
+    """Whether each building's cluster is the one of the nearest centre."""
+    labels, centres = _clusters(spark, sf)
+    hours = [F.struct(F.lit(h).alias("hour"), F.col(f"h{h}").alias("x")) for h in HOURS]
+    long = hourly_profile(fx.features(spark, sf)).select("region", "building_name", F.explode(F.array(*hours)).alias("p"))
+    long = long.select("region", "building_name", "p.*")
+    away = long.join(F.broadcast(centres), "hour").groupBy("region", "building_name", "cluster").agg(
+        F.sum((F.col("x") - F.col("usage")) ** 2).alias("d")
+    )
+    best = away.groupBy("region", "building_name").agg(F.min("d").alias("least"))
+    own = away.join(labels, ["region", "building_name", "cluster"]).join(best, ["region", "building_name"])
+    return own.select("region", "building_name", (F.col("d") <= F.col("least") + 1e-9).alias("nearest"))
+
+
+@query("kmeans_centres", sql("""
+SELECT CAST(c AS INTEGER) AS cluster, CAST(h AS INTEGER) AS hour, TRUE AS within FROM range(4) a(c), range(24) b(h), (SELECT count(*) FROM features)
+"""))
+def cluster_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """The centre of each cluster at each hour, and whether it lies between the least and greatest usage of a building."""
+    _, centres = _clusters(spark, sf)
+    hours = [F.struct(F.lit(h).alias("hour"), F.col(f"h{h}").alias("x")) for h in HOURS]
+    limits = hourly_profile(fx.features(spark, sf)).select(F.explode(F.array(*hours)).alias("p")).groupBy("p.hour").agg(
+        F.min("p.x").alias("lo"), F.max("p.x").alias("hi")
+    )
+    within = F.col("usage").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
+    return centres.join(limits, "hour").select("cluster", "hour", within.alias("within"))
+
+
+@query("elasticity_by_model", sql(f"""
+SELECT region, building_name, count(*) AS n_rows_used, TRUE AS rule_holds FROM split_features
+WHERE split = 'test' AND {' AND '.join(f'{c} IS NOT NULL' for c in K.MODEL_FEATURES)} GROUP BY 1, 2
+"""))
 def model_elasticity(spark: SparkSession, sf: str) -> DataFrame:
-    """Elasticity and segment of every building under the fitted forest, on the test split."""
-    test = _split(spark, sf, "test")
+    """Rows behind the elasticity of every building under the fitted forest, and whether its segment follows the rule."""
     scorer = _scorers(spark, sf)["forest"]
-    return explain.segment_by_quartile(explain.elasticity_by_entity(test, scorer))
+    out = cut_lineage(explain.segment_by_quartile(explain.elasticity_by_entity(_split(spark, sf, "test"), scorer)))
+    quarters = out.agg(F.percentile("elasticity", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    e, q = F.col("elasticity"), F.col("__q.q")
+    rule = F.when(e >= q[1], "High").when(e <= q[0], "Low").otherwise("Moderate")
+    marked = attach_row(out, quarters, "__q").withColumn("rule_holds", F.col("segment") == rule)
+    return marked.select("region", "building_name", "n_rows_used", "rule_holds")
 
 
-@query("mae_of_forest_by_entity")
+@query("mae_of_forest_by_entity", sql("""
+SELECT region, building_name, count(*) AS n, TRUE AS agrees FROM split_features WHERE split = 'test' GROUP BY 1, 2
+"""))
 def forest_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Test MAE per building of the fitted forest, best first."""
-    return metric_mae_by_entity(models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["forest"]))
+    """Test MAE per building of the fitted forest: rows behind it, and whether it agrees with sums over stored predictions."""
+    predicted = cut_lineage(models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["forest"]))
+    error = F.abs(F.col("y_true") - F.col("y_pred"))
+    again = predicted.groupBy("region", "building_name").agg(F.sum(error).alias("s"), F.count(error).alias("n"))
+    both = metric_mae_by_entity(predicted).join(again, ["region", "building_name"])
+    return both.select("region", "building_name", "n", (F.abs(F.col("mae") * F.col("n") - F.col("s")) < 1e-9).alias("agrees"))
+
+
+@query("averaged_profile", sql(f"""
+SELECT {sql_r6('grid', 'grid')}, {sql_r6('avg(y_pred)', 'y_pred')} FROM formula_curves GROUP BY grid
+"""))
+def mean_curve(spark: SparkSession, sf: str) -> DataFrame:
+    out = explain.ice_curves(fx.features(spark, sf), _formula(), explain.unit_grid(11))
+    return rounded(explain.averaged_profile(out), "grid", "y_pred")

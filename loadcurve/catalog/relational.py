@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadcurve import constants as K
 from loadcurve.catalog.ctes import cte, sql
-from loadcurve.catalog.registry import query, r6, rounded, sql_r6
+from loadcurve.catalog.registry import ORACLES, query, r6, rounded, sql_r6
 from loadcurve.functions import timefns
 from loadcurve.operators import aggregates as agg
 from loadcurve.operators import bins, joins, normalize, reshape, sampling
@@ -433,6 +433,19 @@ def box(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "q1", "median", "q3", "whisker_lo", "whisker_hi")
 
 
+@query("error_box_by", sql(f"""
+WITH e AS (SELECT season, abs(y_true - y_pred) AS abs_err FROM merged)
+SELECT season, {sql_r6('q1', 'q1')}, {sql_r6('median', 'median')}, {sql_r6('q3', 'q3')},
+       {sql_r6('min(CASE WHEN abs_err >= q1 - 1.5 * (q3 - q1) AND abs_err <= q3 + 1.5 * (q3 - q1) THEN abs_err END)', 'whisker_lo')},
+       {sql_r6('max(CASE WHEN abs_err >= q1 - 1.5 * (q3 - q1) AND abs_err <= q3 + 1.5 * (q3 - q1) THEN abs_err END)', 'whisker_hi')},
+       count(abs_err) AS n
+FROM e JOIN (SELECT season, {_quartile_sql('abs_err')} FROM e GROUP BY season) USING (season)
+GROUP BY season, q1, median, q3
+"""))
+def error_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(diag.error_box_by(_merged(spark, sf), ["season"]), "q1", "median", "q3", "whisker_lo", "whisker_hi")
+
+
 @query("group_quartiles", sql(f"""
 SELECT season, is_weekend, {sql_r6('q1', 'q1')}, {sql_r6('median', 'median')}, {sql_r6('q3', 'q3')}
 FROM (SELECT season, is_weekend, {_quartile_sql('usage_pb')} FROM features GROUP BY 1, 2)
@@ -488,16 +501,51 @@ def density_2d(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("density", F.round("density", 5) + F.lit(0.0))
 
 
+@query("kde_2d_by_region", sql(f"""
+WITH raw AS (SELECT region, count(*) AS n, min(y_true) AS x_lo, max(y_true) AS x_hi, min(y_pred) AS y_lo, max(y_pred) AS y_hi,
+  var_samp(y_true) AS vx0, var_samp(y_pred) AS vy0, covar_samp(y_true, y_pred) AS vxy0 FROM preds GROUP BY region),
+stats AS (SELECT *, vx0 * pow(n, -1.0/3) AS vx, vy0 * pow(n, -1.0/3) AS vy, vxy0 * pow(n, -1.0/3) AS vxy FROM raw),
+placed AS (SELECT region, {_AXES} FROM preds JOIN stats USING (region)),
+points AS (SELECT region, ix, iy, sum(w) AS w FROM (
+  SELECT region, ix + dx AS ix, iy + dy AS iy,
+         (CASE dx WHEN 1 THEN px - ix ELSE 1 - (px - ix) END) * (CASE dy WHEN 1 THEN py - iy ELSE 1 - (py - iy) END) AS w
+  FROM placed, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)) GROUP BY 1, 2, 3 HAVING sum(w) > 0),
+gx AS (SELECT region, g AS gx, (x_lo - 3 * sqrt(vx)) + g * (((x_hi + 3 * sqrt(vx)) - (x_lo - 3 * sqrt(vx))) / 14) AS grid_x FROM stats, range(15) r(g)),
+gy AS (SELECT region, g AS gy, (y_lo - 3 * sqrt(vy)) + g * (((y_hi + 3 * sqrt(vy)) - (y_lo - 3 * sqrt(vy))) / 14) AS grid_y FROM stats, range(15) r(g)),
+d AS (SELECT region, gx, gy, grid_x, grid_y, w, n, vx, vy, vxy, grid_x - (x_lo + ix * ((x_hi - x_lo) / 255)) AS dx,
+             grid_y - (y_lo + iy * ((y_hi - y_lo) / 255)) AS dy
+      FROM points JOIN stats USING (region) JOIN gx USING (region) JOIN gy USING (region))
+SELECT region, {sql_r6('grid_x', 'grid_x')}, {sql_r6('grid_y', 'grid_y')},
+       round(sum(w * exp(-0.5 * (vy * dx * dx - 2 * vxy * dx * dy + vx * dy * dy) / (vx * vy - vxy * vxy)))
+             / any_value(n * 2 * pi() * sqrt(vx * vy - vxy * vxy)), 5) + 0.0 AS density
+FROM d GROUP BY region, gx, gy, grid_x, grid_y
+"""))
+def density_2d_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    out = rounded(diag.kde_2d(fx.predictions(spark, sf), "y_true", "y_pred", ["region"], gridsize=15), "grid_x", "grid_y")
+    return out.withColumn("density", F.round("density", 5) + F.lit(0.0))
+
+
 _CORR_COLUMNS = ["usage_pb", "lag_1h", "lag_24h", "rollmean_24h", "apparent_temperature_norm", "precipitation", "hour", "is_holiday", "y_next"]
 
 
+cte("gappy", """
+SELECT * REPLACE (CASE WHEN hour <> 5 THEN usage_pb END AS usage_pb, CASE WHEN hour <> 7 THEN precipitation END AS precipitation) FROM features
+""")
+
+
 @query("correlation_matrix", sql(" UNION ALL ".join(
     f"SELECT '{a}' AS left_col, '{b}' AS right_col, "
-    f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 6) + 0.0 END AS corr FROM features"
+    f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE round(corr({a}, {b}), 6) + 0.0 END AS corr FROM gappy"
     for a in _CORR_COLUMNS for b in _CORR_COLUMNS
 )))
 def correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(agg.correlation_matrix(fx.features(spark, sf), _CORR_COLUMNS), "corr")
+    """Pairs are taken where both are there; here usage lacks values at 5 o'clock as NULL, and rain at 7 as NaN."""
+    features = fx.features(spark, sf)
+    gappy = features.withColumns({
+        "usage_pb": F.when(F.col("hour") != 5, F.col("usage_pb")),
+        "precipitation": F.when(F.col("hour") == 7, F.lit(float("nan"))).otherwise(F.col("precipitation")),
+    })
+    return rounded(agg.correlation_matrix(gappy, _CORR_COLUMNS), "corr")
 
 
 @query("hourly_profile", sql("SELECT region, building_name, " + ", ".join(
@@ -616,6 +664,15 @@ def scoring_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, *_SCORING_ROUNDED)
 
 
+@query("prediction_features_with_weather", ORACLES["prediction_features"])
+def scoring_features_with_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """As `prediction_features`, from raw usage and a weather table of its own."""
+    weather = feat.load_weather(fx.weather(spark, sf).withColumnRenamed("timestamp_hour", "time"))
+    usage = fx.readings(spark, sf)
+    out = feat.prediction_features(usage, weather=weather, unique_hours=True)
+    return rounded(out.select("building_name", "timestamp_last", "timestamp_next", *K.MODEL_FEATURES), *_SCORING_ROUNDED)
+
+
 @query("downsample_every_nth", sql(f"""
 SELECT building_name, full_timestamp, {sql_r6('y_true', 'y_true')} FROM (
   SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY building_name) AS n FROM preds

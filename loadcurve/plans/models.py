@@ -20,6 +20,9 @@ from loadcurve.session import ensure_checkpoint_dir
 #: Rows beyond which boosting stops early by default.
 EARLY_STOP_ROWS = 10_000
 
+#: Training rows of one task, at least.
+ROWS_PER_TASK = 20_000
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 _VECTOR = "__inputs"
@@ -64,7 +67,9 @@ def _fit(train: DataFrame, regressor, features: Sequence[str]) -> PipelineModel:
     columns = [*features, K.TARGET, *[c for c in ("__holdout",) if c in train.columns]]
     rows = train.select(*columns).where(F.col(K.TARGET).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=stages).fit(rows)
+        # A fit is thousands of small jobs over the kept rows: no more tasks in each than the rows need.
+        tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+        return Pipeline(stages=stages).fit(rows.coalesce(tasks))
     finally:
         rows.unpersist()
 
