@@ -100,13 +100,24 @@ def dense_ids(words: Sequence) -> np.ndarray:
 
 
 class BoundedCache(dict):
-    """Values by key, worked out when first asked for; emptied when it holds too many."""
+    """Values by key, worked out when first asked for; emptied when it holds too many.
+
+    A worker runs the tasks of one operator after another: when another cache of this kind is filled, the one
+    filled before is emptied, so that a worker holds one at a time.
+    """
+
+    _filled: BoundedCache | None = None
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
         self._make, self._most = make, most
 
     def __missing__(self, key):
+        last = BoundedCache._filled
+        if last is not self:
+            if last is not None:
+                last.clear()
+            BoundedCache._filled = self
         if len(self) >= self._most:
             self.clear()
         value = self[key] = self._make(key)

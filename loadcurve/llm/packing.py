@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 #: Chunks of text whose ids a worker keeps.
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 600_000
 #: Rows of one block of the ranking: 2 to this power.
 BLOCK_BITS = 12
 
