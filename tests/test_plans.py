@@ -49,7 +49,7 @@ def test_columns_and_filters_reach_the_scan(spark):
 
 def test_metrics_read_only_their_columns(spark):
     plan = executed(metric_mae_by_entity(fx.predictions(spark, SF)))
-    assert re.search(r"ReadSchema: struct<building_name:string,lag_1h:double,y_next:double>", plan)
+    assert re.search(r"ReadSchema: struct<building_name:string,region:string,lag_1h:double,y_next:double>", plan)
 
 
 def test_no_python_in_the_data_path(spark):
