@@ -16,6 +16,8 @@ from loadcurve.session import scratch_path
 #: Remainders of crc32(doc_id as text) by this number; remainder 0 is never learned from.
 FOLDS = 5
 _HASH_SPACE = 1 << 31
+#: Rows whose texts a worker unpacks at a time.
+SLICE_ROWS = 512
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -29,6 +31,13 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """Arrow batches in parts of a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def annotate(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], kernel: Callable, keep: Sequence[str]) -> DataFrame:
     """The columns `keep`, and the new columns that `kernel` makes of the columns `needs`, one Arrow batch at a time.
 
@@ -43,9 +52,7 @@ def annotate(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField
     kinds = [_ARROW[f.dataType.simpleString()] for f in fields]
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             made = kernel(*[batch.column(i).to_pylist() for i in read])
             arrays = [pa.array(a, type=k) for a, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *arrays], names=out_names)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, found by PartEnum signatures.
 
 1. Each document gives the name of its set, a sketch of it, and its signatures (see `partenum`), packed by
-   ranges of their values. Equal sets of a batch give their signatures once.
+   ranges of their values. Equal sets near each other give their signatures once.
 2. Each range is sorted. Up to RUN sets that share a signature become candidate pairs. A signature that more sets
    share is common: its text is a passage that many have. A set that has fewer common signatures than its
    `slack` shares another one with every set it links to, so it needs no common ones. Only sets that are mostly
@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadcurve.llm.common import stored, without
+from loadcurve.llm.common import slices, stored, without
 from loadcurve.llm.components import components
 from loadcurve.llm.partenum import NEAR, fingerprint, shingles, signatures
 
 #: Sets that share a signature and are paired with each other; beyond, the signature is common.
 RUN = 5
 #: Signatures in a range, and in a packet before it is sent.
-RANGE = PACKET = 1_000_000
+RANGE, PACKET = 1_000_000, 400_000
+#: Names of sets that a task remembers, so that copies near each other give their signatures once.
+SEEN = 20_000
 #: Bytes of text that give a signature, about: only the number of ranges depends on it.
 BYTES_A_SIGNATURE = 8
 #: Shingles of a block of a candidate group.
@@ -106,8 +108,10 @@ def _send(ranges: int):
     def run(batches):
         made: list[tuple] = []
         waiting = 0
-        for batch in batches:
-            seen: set[int] = set()
+        seen: set[int] = set()
+        for batch in slices(batches):
+            if len(seen) > SEEN:
+                seen.clear()
             names, sizes, sketches = [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingles(text)
@@ -237,7 +241,7 @@ def _fits(df: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in slices(batches):
         made = [shingles(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["a", "shingles"])
 

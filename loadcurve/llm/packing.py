@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from loadcurve.llm.common import BoundedCache, stored, without
+from loadcurve.llm.common import BoundedCache, slices, stored, without
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 #: Chunks of text whose ids a worker keeps.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 400_000
 #: Rows of one block of the ranking: 2 to this power.
 BLOCK_BITS = 12
 
@@ -95,7 +95,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False,
 
     def run(batches):
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             source_rows, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for piece, start, length, ids in pieces_of(encode(text or "") + end, capacity):

@@ -33,7 +33,7 @@ PARTS_SHARE, PARTS_MORE = 0.37, 3
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _SHIFT, _HALF = np.uint64(33), np.uint64(32)
-_word = BoundedCache(xxhash.xxh3_64_intdigest, 400_000)
+_word = BoundedCache(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def _bands() -> np.ndarray:

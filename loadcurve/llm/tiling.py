@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadcurve.llm.common import BoundedCache
+from loadcurve.llm.common import BoundedCache, slices
 
 #: Words of a seed, and of the shortest tile.
 SEED_WORDS = 5
@@ -39,7 +39,7 @@ FILTER_BITS = 23
 
 _WORDS = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_hash = BoundedCache(xxhash.xxh3_64_intdigest, 400_000)
+_hash = BoundedCache(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -208,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     def against(held):
         def run(batches):
             block = _load(held, width)
-            for batch in batches:
+            for batch in slices(batches):
                 rows, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     hits = sorted((str(block.ids[k]), -c, n, most, block.ids[k]) for k, c, n, most in block.hits(tokens(text), coverage))
@@ -242,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     def clean(held):
         def run(batches):
             block = _load(held, width)
-            for batch in batches:
+            for batch in slices(batches):
                 keep = [not block.hits(tokens(t), coverage) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
