@@ -20,7 +20,8 @@ from loadcurve.operators.aggregates import agg_weather_hourly
 from loadcurve.operators.joins import join_holiday_calendar, join_weather_hour
 from loadcurve.operators.normalize import normalize_minmax_columns, normalize_minmax_global
 from loadcurve.operators.reshape import melt_slots, union_sources
-from loadcurve.sources.readers import scan_multi_file, scan_source
+from loadcurve.session import cut_lineage
+from loadcurve.sources.readers import path_exists, scan_multi_file, scan_source
 
 
 def _first_or_derived(df: DataFrame, candidates: Sequence[str], derived: Column) -> Column:
@@ -102,9 +103,12 @@ def dropna_subset(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def unify_sources(
-    spark: SparkSession, sources: Sequence[tuple[str, str]], **options
+    spark: SparkSession, sources: Sequence[tuple[str, str]], *, strict: bool = False, **options
 ) -> DataFrame:
-    """Load, standardize and stack (path, region) sources; missing paths are left out."""
+    """Load, standardize and stack (path, region) sources; missing paths are left out, or an error if `strict`."""
+    absent = [path for path, _ in sources if strict and not path_exists(spark, path)]
+    if absent:
+        raise FileNotFoundError(", ".join(absent))
     loaded = [(scan_source(spark, path), region) for path, region in sources]
     frames = [standardize_readings(df, region, **options) for df, region in loaded if df.columns]
     if not frames:
@@ -173,7 +177,8 @@ def prepare_weather(raw: DataFrame) -> DataFrame:
         coerce_numeric(named, "precipitation").alias("precipitation"),
         coerce_flag(named, "is_day").alias("is_day"),
     ).where(F.col("time").isNotNull())
-    hourly = agg_weather_hourly(typed, "time")
+    # Stored: its limits and the join read it, the raw weather is read once.
+    hourly = cut_lineage(agg_weather_hourly(typed, "time"))
     return normalize_minmax_global(
         hourly, "apparent_temperature", "apparent_temperature_norm", constant_value=0.0
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loadcurve.operators import aggregates as agg
 from loadcurve.operators import bins, joins, ranks, sampling
+from loadcurve.operators.sized import fits_broadcast
 from loadcurve.plans import explain, models
+from loadcurve.plans.unify import unify_sources
 from loadcurve.session import remove_scratch, scratch_path, shared_dir
 from loadcurve.sources.readers import scan_weather_skip_preamble
 from tests.helpers import hourly_frame
@@ -131,6 +133,16 @@ def test_long_preamble(spark, tmp_path):
     assert plan.count("FileScan text") == 1 and "hashpartitioning" not in plan
 
 
+def test_broadcast_is_bounded_in_bytes(spark):
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 3_000_000).alias("v"))
+    assert not fits_broadcast(wide) and fits_broadcast(wide.select("id")) and not fits_broadcast(spark.range(600_000).toDF("id"))
+
+
+def test_missing_source_is_an_error_if_strict(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        unify_sources(spark, [(f"{tmp_path}/no.csv", "NSW")], strict=True)
+
+
 def test_shared_folder(spark, monkeypatch):
     class Elsewhere:
         class conf:
