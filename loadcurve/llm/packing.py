@@ -14,6 +14,8 @@ ranked by stored row number; an empty table gives no rows; result columns replac
 from __future__ import annotations
 
 import base64
+import json
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 #: Chunks of text whose ids a worker keeps.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 300_000
 #: Rows of one block of the ranking: 2 to this power.
 BLOCK_BITS = 12
 
@@ -54,18 +56,30 @@ def encoder(vocabulary: str = VOCABULARY):
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    full = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    specials = [t.content for t in full.get_added_tokens_decoder().values()]
+    file = public_tokenizers.path(f"{vocabulary}.json")
+    with open(file, "rb") as described:
+        specials = [t["content"] for t in json.load(described)["added_tokens"]]
+    loaded: list = []  # the tokenizer itself, once a text needs it
+
+    def full(text: str) -> list[int]:
+        if not loaded:
+            loaded.append(Tokenizer.from_file(file))
+        return loaded[0].encode(text, add_special_tokens=False).ids
+
     unusual = regex.compile(r"[^\S \n]|  | \n|\n ")
 
     def whole(text: str) -> bytes:
         return quick.encode_to_numpy(text).astype("<u4").tobytes()
 
-    chunks = BoundedCache(lambda chunk: whole(" " + chunk), CACHED_CHUNKS)
+    def short(chunk: str) -> bytes:
+        ids = quick.encode_ordinary(" " + chunk)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    chunks = BoundedCache(short, CACHED_CHUNKS)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):
-            return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(full(text), "<u4").tobytes()
         if unusual.search(text) or text.startswith(" ") or text.endswith(" "):
             return whole(text)
         first, *rest = text.split(" ")
