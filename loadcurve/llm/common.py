@@ -100,6 +100,13 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def release_caches() -> None:
+    """Empty what the operator before has left in this worker; for operators without a cache."""
+    if BoundedCache._filled is not None:
+        BoundedCache._filled.clear()
+        BoundedCache._filled = None
+
+
 def dense_ids(words: Sequence) -> np.ndarray:
     """Equal words get equal numbers, from 0 without gaps."""
     number = dict(zip(dict.fromkeys(words), range(len(words)), strict=False))

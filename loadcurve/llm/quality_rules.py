@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadcurve.llm.common import annotate, character_classes, code_points, dense_ids, labelled_sample, split_words, without
+from loadcurve.llm.common import annotate, character_classes, code_points, dense_ids, labelled_sample, release_caches, split_words, without
 
 #: Words in a window of the repetition statistic.
 WINDOW = 8
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Trees | Non
 
 
 def _features(texts):
+    release_caches()
     return [[statistics(t)[1] for t in texts]]
 
 
@@ -193,6 +194,7 @@ class _Judge:
         self.trees, self.cutoff = trees, cutoff
 
     def __call__(self, texts):
+        release_caches()
         base, features = zip(*map(statistics, texts), strict=True)
         base, features = np.array(base, np.int64), np.array(features)
         n_words, repeats = base[:, 0], base[:, 4]
