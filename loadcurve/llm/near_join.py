@@ -127,7 +127,8 @@ def _send(ranges: int):
                     if waiting >= PACKET:
                         yield packet(made)
                         made, waiting = [], 0
-            place = [k % ranges for k in batch.column(1).to_pylist()]  # by row: copies are not dealt together
+            # By row and finely: copies are not dealt together, and few ranges of signatures do not make few tasks.
+            place = [ranges + k % (32 * ranges) for k in batch.column(1).to_pylist()]
             yield _table(_SENT, {"range": place, "doc_id": batch.column(0), "key": batch.column(1), "n": sizes, "set": names, "sketch": sketches}, len(names))
         if made:
             yield packet(made)
