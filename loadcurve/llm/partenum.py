@@ -8,7 +8,8 @@ In an instance the domain of shingles is partitioned by hash into n1 first-level
 For each first-level part every choice of `chosen` of its second-level parts gives a signature, the hash of the
 elements in these parts. An element that only one of two sets has spoils at most c = C(n2 - 1, chosen - 1)
 signatures, so two sets that differ in d elements share at least Q - c * d of the Q signatures of either that
-have an element. `slack` is what is left of this for the largest d that a set can meet as the larger of a pair.
+have an element. `slack` is what is left of this for the largest d that a set can meet in the instance: in that of
+its own band it may be the smaller of a pair, with a partner of up to 4/3 of its size.
 Where slack is not negative, one shared signature is certain, and `slack` more are; sets without it also give a
 signature for each element, in an instance of their own, where the same count holds.
 """
@@ -81,7 +82,7 @@ def signatures(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     if not p:
         return []
     band = int(np.searchsorted(BANDS, p))
-    instances = [(band, 2 * p // 7)]
+    instances = [(band, (p + p * NEAR[1] // NEAR[0]) // 7)]
     if band and -(-p * NEAR[0] // NEAR[1]) <= BANDS[band - 1]:
         instances.append((band - 1, int(p + BANDS[band - 1]) // 7))
     values = mix(h ^ _M2)

@@ -166,3 +166,61 @@ def test_odd_rows(spark):
     )
     kept = [r.text for r in nj.keep_one(documents(spark, ids)).collect()]
     assert sorted(map(str, kept)) == ["None", "None", "a b c d e f", "q", "r s"]
+
+
+def _kept(a, b):
+    """Whether the pair is met where just the signatures that both have are common: the hardest case for the join."""
+    of_a = {i: (s, slack) for s, i, slack in pe.signatures(a)}
+    for s, i, slack in pe.signatures(b):
+        if i in of_a and (shared := len(np.intersect1d(of_a[i][0], s))) and shared > max(slack, of_a[i][1]):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("width", [64, 62, 59])
+def test_every_superset_is_met(width):
+    """Of sets of each size up to 60; hashes below 2**62 or 2**59 fall into few parts."""
+    rng = np.random.default_rng(width)
+    for n in range(1, 61):
+        for p in range(n, n * 4 // 3 + 1):
+            for _ in range(6):
+                b = np.unique(rng.integers(0, 2**width, p, dtype=np.uint64))
+                a = np.sort(rng.choice(b, n, replace=False))
+                assert nj.linked(n, n, p) and _kept(a, b) and _kept(b, a), (n, p)
+
+
+def _parts(text):
+    h = pe.shingles(text)
+    return ((h >> np.uint64(32)) * np.uint64(6) >> np.uint64(32)).tolist()
+
+
+def test_short_texts_and_their_supersets_are_linked(spark):
+    """Texts of 3 shingles and one more: all in one of 6 parts; and, of a passage that others share, the own ones in one part."""
+    word = lambda k: f"w{k}"
+    texts, found, k = [], 0, 0
+    while found < 3:
+        k += 8
+        words = [word(k + j) for j in range(8)]
+        if len(set(_parts(" ".join(words)))) == 1:
+            texts += [" ".join(words[:7]), " ".join(words)]
+            found += 1
+    passage = [f"p{j}" for j in range(6)]
+    own = set(_parts(" ".join(passage)))
+    while found < 6:
+        k += 2
+        text = " ".join([*passage, word(k), word(k + 1)])
+        both = set(_parts(" ".join(text.split()[2:])))
+        if len(both) == 1 and not both & own:
+            texts += [text.rsplit(" ", 1)[0], text]
+            found += 1
+    texts += [" ".join([*passage, f"other{j}"]) for j in range(8)]
+    rng = random.Random(7)
+    shared = prose(rng, 30)
+    for n in range(1, 61):  # by words at the end, without and with a passage that many have
+        for more in {n // 3, (n + 3) // 6}:
+            first = "" if n % 2 else shared[: rng.randrange(len(shared))] + " "
+            text = (first + " ".join(word(rng.randrange(10**9)) for _ in range(n + 4))).split()[: n + 4]
+            texts += [" ".join(text), " ".join([*text, *(word(rng.randrange(10**9)) for _ in range(more))])]
+    texts = dict(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in nj.near_duplicates(documents(spark, list(texts.values()))).collect()}
+    assert got == plain_components(texts)[0]
