@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives, in DataFrame and SQL functions only.
 
-Candidates are long runs of letters, digits and the marks of encoded values, in the words of a text. Each
-gets features: its length, the transitions between kinds of characters in it, the share of it that words of a
+Candidates are long runs of letters, digits and the marks of encoded values, in the words of a text; values of
+8 or more characters, marks included, that are assigned or quoted right after a key word; and passwords of any
+length in addresses (`user:pass@host`). Each gets features: its length, the transitions between kinds of characters in it, the share of it that words of a
 dictionary cover, marks of paths, and what its neighbouring words are. A forest fitted on labelled findings
 tells secrets from the rest. Its trees are written out as CASE expressions, so scoring happens inside
 the row: no explode, join or shuffle of texts, and nothing is lost whatever the ids are.
@@ -29,6 +30,14 @@ from loadcurve.llm.common import stored, without
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 SPACE = r"[\x20\x09-\x0D]+"
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
+#: A value (group 2) assigned or quoted right after a key word: to the closing quote, or to the space less closing marks.
+VALUE = r"""(?<=")[^\s"]{8,}|(?<=')[^\s']{8,}|(?<=`)[^\s`]{8,}|(?<!["'`])[^\s"'`]\S{6,}[^\s"'`,;.)\]}>]"""
+GIVEN = KEY_WORDS + r"""[^\s=:"'`]{0,40}["'`)\]]{0,3}\s*+(?:[:=]+>?\s*+[(\[{]*+["'`]?+|["'`])(""" + VALUE + ")"
+GIVEN_LAST = GIVEN + r"(?=\S*$)"
+#: A password (group 1) in an address.
+ADDRESS = r"://[^\s/:@]*:([^\s/]+)@"
+#: Least characters of a value that is replaced wherever it stands; shorter ones only in their address.
+SHORT = 8
 HARMLESS_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/|readme)"
 #: Words of the dictionary, and their least and most letters.
 DICTIONARY_WORDS = 200
@@ -40,7 +49,7 @@ CUTOFF = 0.5
 
 FEATURES = [
     "length", "kind_changes", "case_changes", "digit_share", "capital_share", "distinct_share", "dictionary_share",
-    "path_marks", "path_harmless", "key_near", "assigned", "quoted", "words_near",
+    "path_marks", "path_harmless", "key_near", "assigned", "quoted", "words_near", "mark_share", "in_address",
 ]
 
 
@@ -79,13 +88,17 @@ def _features(value: Column, before: Column, word: Column, neighbours: list[Colu
         flag(near.rlike(r"[=:]\W*$")),
         flag(before.rlike("[\"'`]$")),
         sum((flag(F.lower(n).rlike(rf"^(?:{known})\W?$")) for n in neighbours), F.lit(0.0)),
+        count("[^A-Za-z0-9+/_=-]") / size,
+        flag(before.rlike("://[^/:@]*:$")),
     ]
     return [c.cast("double").alias(n) for c, n in zip(columns, FEATURES, strict=True)]
 
 
 def with_words(docs: DataFrame) -> DataFrame:
     """Add `__words`, the words of the texts that hold a candidate: split once for all that looks at them."""
-    return without(docs, ["__words"]).withColumn("__words", F.when(F.col("text").rlike(CANDIDATE), F.split("text", SPACE)))
+    text = F.col("text")
+    holds = text.rlike(CANDIDATE) | text.rlike(GIVEN) | text.rlike(ADDRESS)
+    return without(docs, ["__words"]).withColumn("__words", F.when(holds, F.split("text", SPACE)))
 
 
 def findings(known: list[str], path: str | None = None) -> Column:
@@ -100,22 +113,49 @@ def findings(known: list[str], path: str | None = None) -> Column:
 
         around = [neighbour(-2), neighbour(-1), neighbour(1)]
 
-        def of_value(v: Column, k: Column) -> Column:
-            before = F.call_function("substring_index", w, v, F.lit(1))
-            return F.struct(i.cast("int").alias("word"), k.cast("int").alias("part"), v.alias("value"), F.struct(*_features(v, before, w, around, where, pattern)).alias("f"))
+        runs = F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0))
 
-        return F.transform(F.regexp_extract_all(w, F.lit(CANDIDATE), F.lit(0)), of_value)
+        def run(v: Column) -> Column:
+            return F.struct(v.alias("v"), F.call_function("substring_index", w, v, F.lit(1)).alias("before"))
 
-    numbered = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike(CANDIDATE))
+        def given(m: Column) -> Column:
+            v = F.regexp_extract(m, GIVEN + "$", 2)
+            return F.struct(v.alias("v"), F.substring(m, F.lit(1), F.length(m) - F.length(v)).alias("before"))
+
+        def in_address(m: Column) -> Column:
+            v = F.regexp_extract(m, ADDRESS, 1)
+            return F.struct(v.alias("v"), F.substring(m, F.lit(1), F.length(m) - F.length(v) - 1).alias("before"))
+
+        def of_value(x: Column, k: Column) -> Column:
+            return F.struct(i.cast("int").alias("word"), k.cast("int").alias("part"), x["v"].alias("value"), F.struct(*_features(x["v"], x["before"], w, around, where, pattern)).alias("f"))
+
+        more = F.concat(
+            F.transform(F.regexp_extract_all(with_two(w, i), F.lit(GIVEN_LAST), F.lit(0)), given),
+            F.transform(F.regexp_extract_all(w, F.lit(ADDRESS), F.lit(0)), in_address),
+        )
+        return F.transform(F.concat(F.transform(runs, run), F.filter(more, lambda x: ~F.array_contains(runs, x["v"]))), of_value)
+
+    def with_two(w: Column, i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i - F.lit(2)), F.get(words, i - F.lit(1)), w)
+
+    def holds(x: Column) -> Column:
+        w = x["w"]
+        return w.rlike(CANDIDATE) | ((F.length(w) >= SHORT) & with_two(w, x["i"]).rlike(GIVEN_LAST)) | (w.contains("@") & w.rlike(ADDRESS))
+
+    numbered = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), holds)
     return F.flatten(F.transform(numbered, lambda x: of_word(x["w"], x["i"])))
 
 
 def weak_labels(f: Column) -> Column:
-    """1 for a mixed value that a key word is assigned, 0 for one of letters or digits only or made of dictionary words; else null."""
+    """1 for a mixed value that a key word is assigned and for a password in an address, 0 for one of letters or digits
+    only or made of dictionary words, or a plain short word after a key word; else null."""
     mixed = (f["digit_share"] >= 0.1) & (f["digit_share"] < 1) & (f["kind_changes"] >= 0.05) & (f["length"] >= 20)
     named = (f["key_near"] == 1) & (f["assigned"] == 1)
     plain = (f["digit_share"] == 0) | (f["digit_share"] == 1) | ((f["dictionary_share"] >= 0.5) & ~named)
-    return F.when(mixed & named, 1.0).when(plain & ~named, 0.0)
+    given = (f["length"] < 20) & (f["key_near"] == 1) & ((f["assigned"] == 1) | (f["quoted"] == 1))
+    short = given & (f["digit_share"] > 0) & (f["digit_share"] < 1) & (f["kind_changes"] > 0)
+    a_word = given & (f["digit_share"] == 0) & (f["mark_share"] == 0) & (f["path_marks"] == 0) & (f["case_changes"] * f["length"] <= 1)
+    return F.when((mixed & named) | short | (f["in_address"] == 1), 1.0).when((plain & ~named & ~given) | a_word, 0.0)
 
 
 def fit(found: DataFrame, most: int = FIT_ROWS, seed: int = 11):
@@ -197,8 +237,13 @@ def redact(docs: DataFrame, path: str | None = None, mark: str = "[secret]") ->
     columns = docs.columns
     scanned = scan(docs, path)
     values = F.array_distinct(F.transform(F.filter("findings", lambda x: x["is_secret"]), lambda x: x["value"]))
+
+    def replaced(text: Column, v: Column) -> Column:
+        inside = F.replace(text, F.concat(F.lit(":"), v, F.lit("@")), F.lit(f":{mark}@"))
+        return F.when(F.length(v) < SHORT, inside).otherwise(F.replace(text, v, F.lit(mark)))
+
     longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    cleaned = F.aggregate(longest_first, F.col("text"), lambda text, v: F.replace(text, v, F.lit(mark)))
+    cleaned = F.aggregate(longest_first, F.col("text"), replaced)
     has = F.size(values) > 0
     changed = scanned.withColumn("__clean", F.when(has, cleaned))
     out = {"text": F.coalesce("__clean", "text")}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -87,3 +88,23 @@ def test_odd_rows(spark, corpus):
     plain = documents(spark, ["no findings here", None])
     assert sc.secrets(plain).count() == 0 and sorted(str(r.text) for r in sc.redact(plain).collect()) == ["None", "no findings here"]
     assert {r.doc_id for r in sc.secrets(docs.where("doc_id % 4 = 0"), None).where("is_secret").collect()} == set(planted)
+
+
+GIVEN = [
+    ('password = "S3cure!Pass" and', "S3cure!Pass"), ("pwd=hunter2hunter, then", "hunter2hunter"), ("api_key: AKIA12x9", "AKIA12x9"),
+    ("DB_PASSWORD='p4ss#w0rd$x';", "p4ss#w0rd$x"), ('{"user":"me","password":"a1!b2@c3","n":1}', "a1!b2@c3"), ('secret "q7w8!e9r0t" of', "q7w8!e9r0t"),
+    ("see postgres://me:l3t@db.local/x and", "l3t"), ("from ftp://postgres:postgres@host/", "postgres"),
+]
+
+
+def test_short_and_marked_values_after_key_words(spark, corpus):
+    docs, _, planted = corpus
+    texts = [f"the {t} ion" for t, _ in GIVEN] + ["password: required ion", "the author: Shakespeare wrote", "l3t me http://host:8080/x a@b"]
+    rows = sc.secrets(docs.unionAll(documents(spark, texts, first=1000))).collect()
+    found = {(r.doc_id - 1000, r.digest) for r in rows if r.is_secret and r.doc_id >= 1000}
+    assert found == {(i, hashlib.sha256(v.encode()).hexdigest()) for i, (_, v) in enumerate(GIVEN)}
+    assert {r.doc_id for r in rows if r.is_secret and r.doc_id < 1000} == set(planted)
+    clean = {r.doc_id - 1000: r.text for r in sc.redact(docs.unionAll(documents(spark, texts, first=1000))).where("doc_id >= 1000").collect()}
+    for i, (t, v) in enumerate(GIVEN[:-1]):
+        assert clean[i] == f"the {t.replace(v, '[secret]')} ion"
+    assert "postgres" not in clean[len(GIVEN) - 1] and [clean[len(GIVEN) + k] for k in range(3)] == texts[len(GIVEN) :]
