@@ -102,9 +102,12 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def findings(known: list[str], path: str | None = None) -> Column:
-    """The candidates in the column `__words`: array of (word, part, value, features)."""
+    """The candidates in the column `__words`: array of (word, part, value, features). The words are bound once, not split anew for each."""
+    return F.get(F.transform(F.array(F.col("__words")), lambda words: _of_words(words, known, path)), F.lit(0))
+
+
+def _of_words(words: Column, known: list[str], path: str | None) -> Column:
     pattern = f"(?:{'|'.join(known)})" if known else "(?!)"
-    words = F.col("__words")
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
 
     def of_word(w: Column, i: Column) -> Column:
