@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loadcurve.llm import collocation_queries as _collocation_queries
+from loadcurve.llm import manifest_queries as _manifest_queries
+from loadcurve.llm import vector_queries as _vector_queries
 from loadcurve.llm import factorization, fixity, language, near_join, packing, quality_rules, secret_scan, sharding, tiling, token_counts
 from loadcurve.llm.registry import ORACLES, QUERIES, query, table
 
