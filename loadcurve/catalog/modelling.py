@@ -73,57 +73,133 @@ def naive(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.prediction_table(fx.features(spark, sf), scorer), "y_true", "y_pred")
 
 
-# What a fitted model predicts is not for SQL to say. These queries return what must hold of the predictions:
-# their keys and targets, and that they keep to the range of the targets in training (which averages of
-# targets do, and boosted sums do within a small overshoot).
+# What a fitted model predicts is not for SQL to say. These queries return what must hold of the predictions: their keys and
+# targets, that they keep to the range of the targets in training (which averages of targets do, and boosted sums do within a
+# small overshoot), and what no constant forecast meets: predictions vary, and on the rows learned from they err less than the mean.
 _OVERSHOOT = 0.25
+#: Share of the error of the training mean that a model's error on its training rows stays below.
+_FIT_SHARE = 0.9
 
 
 def _checked(spark: SparkSession, sf: str, predictions: DataFrame, column: str = "y_pred") -> DataFrame:
-    limits = _train(spark, sf).agg(F.min(K.TARGET).alias("lo"), F.max(K.TARGET).alias("hi"))
+    predictions = cut_lineage(predictions)
+    limits = _train(spark, sf).agg(F.min(K.TARGET).alias("lo"), F.max(K.TARGET).alias("hi"), F.stddev_pop(K.TARGET).alias("sd"))
+    varies = predictions.agg(F.stddev_pop(column).alias("sd"))
     slack = _OVERSHOOT * (F.col("__limits.hi") - F.col("__limits.lo"))
     inside = F.col(column).between(F.col("__limits.lo") - slack, F.col("__limits.hi") + slack)
-    marked = attach_row(predictions, limits, "__limits").withColumn("in_range", F.coalesce(inside, F.lit(False)))
-    return marked.drop("__limits", column)
+    marked = attach_row(attach_row(predictions, limits, "__limits"), varies, "__made")
+    marked = marked.withColumns({"in_range": F.coalesce(inside, F.lit(False)), "varies": F.col("__made.sd") > 0.01 * F.col("__limits.sd")})
+    return marked.drop("__limits", "__made", column)
 
 
-def _keys_sql(split: str, fact: str) -> str:
+def _fit_checked(spark: SparkSession, sf: str, kind: str, trees: int) -> DataFrame:
+    """The training rows with the facts of their predictions, and the number of trees."""
+    predictions = cut_lineage(models.prediction_table(_train(spark, sf), models.model_scorer(_model(spark, sf, kind))))
+    means = predictions.agg(F.avg("y_true").alias("m"))
+    errors = attach_row(predictions, means, "__mean").agg(
+        F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("own"), F.avg(F.abs(F.col("y_true") - F.col("__mean.m"))).alias("mean")
+    )
+    fits = (F.col("__errors.own") < _FIT_SHARE * F.col("__errors.mean")).alias("fits")
+    out = attach_row(_checked(spark, sf, predictions), errors, "__errors")
+    return out.select("*", fits, F.lit(trees).alias("n_trees")).drop("__errors")
+
+
+def _keys_sql(split: str, *facts: str) -> str:
     return sql(f"""
-SELECT region, building_name, full_timestamp, {sql_r6('y_next', 'y_true')}, TRUE AS {fact}
+SELECT region, building_name, full_timestamp, {sql_r6('y_next', 'y_true')}, {', '.join(facts)}
 FROM split_features WHERE split = '{split}'
 """)
 
 
-@query("train_random_forest", _keys_sql("train", "in_range"))
+_IN_RANGE = ("TRUE AS in_range", "TRUE AS varies")
+
+
+@query("train_random_forest", _keys_sql("train", *_IN_RANGE, "TRUE AS fits", "200 AS n_trees"))
 def forest(spark: SparkSession, sf: str) -> DataFrame:
-    scorer = models.model_scorer(_model(spark, sf, "forest"))
-    return rounded(_checked(spark, sf, models.prediction_table(_train(spark, sf), scorer)), "y_true")
+    return rounded(_fit_checked(spark, sf, "forest", _model(spark, sf, "forest").stages[-1].getNumTrees), "y_true")
 
 
-@query("train_gradient_boosting", _keys_sql("train", "in_range"))
+@query("train_gradient_boosting", _keys_sql("train", *_IN_RANGE, "TRUE AS fits", "300 AS n_trees"))
 def boosted(spark: SparkSession, sf: str) -> DataFrame:
-    scorer = models.model_scorer(_model(spark, sf, "boosted"))
-    return rounded(_checked(spark, sf, models.prediction_table(_train(spark, sf), scorer)), "y_true")
+    return rounded(_fit_checked(spark, sf, "boosted", len(_model(spark, sf, "boosted").trees)), "y_true")
+
+
+# A target that trees can meet exactly: steps of two whole-numbered inputs, and a level of its own where an input is missing.
+_STEPS = "CASE WHEN {d} = 2 THEN 0.9e0 WHEN {h} < 12 THEN 0.25e0 ELSE 0.5e0 END"
+_STEP_INPUTS = ["hour", "rain", "lag_1h"]
+
+
+def _step_model(spark: SparkSession, sf: str):
+    """One tree of full step over the training rows; `rain` is missing on the days of their own level."""
+    rows = _split(spark, sf).withColumn("rain", F.when(F.col("day_of_week") != 2, F.lit(0.5)))
+    rows = rows.withColumn(K.TARGET, F.expr(_STEPS.format(d="day_of_week", h="hour")))
+    key = (spark.sparkContext.applicationId, sf, "steps")
+    if key not in _fitted:
+        train = rows.where("split = 'train'")
+        _fitted[key] = models.train_gradient_boosting(train, max_iter=1, max_depth=4, step_size=1.0, features=_STEP_INPUTS)
+    return rows, models.model_scorer(_fitted[key])
+
+
+@query("boosted_step_function", sql(f"""
+SELECT region, building_name, full_timestamp, {sql_r6(_STEPS.format(d='day_of_week', h='hour'), 'y_pred')} FROM split_features
+"""))
+def step_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions for every row of a tree that is fitted to steps of its inputs, missing values among them: the steps themselves."""
+    rows, scorer = _step_model(spark, sf)
+    return rounded(scorer(rows).select("region", "building_name", "full_timestamp", "y_pred"), "y_pred")
+
+
+@query("response_steps", sql(f"""
+SELECT region, building_name, full_timestamp, g AS grid, {sql_r6(_STEPS.format(d='day_of_week', h='g'), 'y_pred')}
+FROM split_features, range(24) r(g) WHERE split = 'test'
+"""))
+def steps_of_response(spark: SparkSession, sf: str) -> DataFrame:
+    """The response of every test row to the hour, from one walk through the tree, as one row for each hour."""
+    rows, scorer = _step_model(spark, sf)
+    hours = [float(h) for h in range(24)]
+    curves = explain.ice_steps(rows.where("split = 'test'"), scorer, hours, column="hour")
+    long = curves.select("region", "building_name", "full_timestamp", F.posexplode("response").alias("grid", "y_pred"))
+    return rounded(long.withColumn("grid", F.col("grid").cast("bigint")), "y_pred")
+
+
+@query("response_slopes", sql("""
+SELECT model, region, building_name, full_timestamp, TRUE AS agrees, TRUE AS varies
+FROM split_features, (VALUES ('forest'), ('boosted')) m(model) WHERE split = 'test'
+"""))
+def slopes_of_response(spark: SparkSession, sf: str) -> DataFrame:
+    """For each test row and fitted model, whether the slope of its response is that of its curve point by point."""
+    grid, keys = explain.unit_grid(11), ["region", "building_name", "full_timestamp"]
+    rows, parts = cut_lineage(_split(spark, sf, "test")), []
+    for name in ("forest", "boosted"):
+        scorer = _scorers(spark, sf)[name]
+        own = explain.response_slopes(rows, scorer, grid).select(*keys, F.col("slope").alias("own"))
+        curves = explain.ice_slope(explain.ice_curves(rows, scorer, grid, ids=keys), keys, len(grid))
+        both = cut_lineage(own.join(curves, keys))
+        facts = both.agg(F.stddev_pop("own").alias("sd"))
+        agrees = (F.abs(F.col("own") - F.col("slope")) < 1e-9).alias("agrees")
+        parts.append(attach_row(both, facts, "__f").select(F.lit(name).alias("model"), *keys, agrees, (F.col("__f.sd") > 0).alias("varies")))
+    return parts[0].unionByName(parts[1])
 
 
 @query("evaluate_models", sql("""
-SELECT model, split, count(*) AS n, TRUE AS agrees, CASE WHEN model = 'naive' THEN round(avg(abs(y_next - lag_1h)), 6) + 0.0 END AS naive_mae
+SELECT model, split, count(*) AS n, TRUE AS agrees, TRUE AS varies, CASE WHEN model = 'naive' THEN round(avg(abs(y_next - lag_1h)), 6) + 0.0 END AS naive_mae
 FROM split_features, (VALUES ('naive'), ('forest'), ('boosted')) m(model) WHERE split <> 'train' GROUP BY 1, 2
 """))
 def evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """MAE and RMSE by model and split: the naive MAE, and whether all agree with sums over stored predictions."""
+    """MAE and RMSE by model and split: the naive MAE, whether all agree with sums over stored predictions, and whether those vary."""
     rows, scorers = _split(spark, sf, "val", "test"), _scorers(spark, sf)
     metrics = models.evaluate_models(rows, scorers)
-    scored = cut_lineage(models.score_models(rows, scorers).select("model", "split", (F.col("y_pred") - F.col(K.TARGET)).alias("e")))
+    scored = cut_lineage(models.score_models(rows, scorers).select("model", "split", K.TARGET, "y_pred", (F.col("y_pred") - F.col(K.TARGET)).alias("e")))
     again = scored.groupBy("model", "split").agg(
-        (F.sum(F.abs("e")) / F.count("e")).alias("a"), F.sqrt(F.sum(F.col("e") * F.col("e")) / F.count("e")).alias("q")
+        (F.sum(F.abs("e")) / F.count("e")).alias("a"), F.sqrt(F.sum(F.col("e") * F.col("e")) / F.count("e")).alias("q"),
+        (F.stddev_pop("y_pred") > 0.01 * F.stddev_pop(K.TARGET)).alias("varies"),
     )
     agrees = (F.abs(F.col("mae") - F.col("a")) < 1e-9) & (F.abs(F.col("rmse") - F.col("q")) < 1e-9)
     naive_mae = F.when(F.col("model") == "naive", r6("mae")).alias("naive_mae")
-    return metrics.join(again, ["model", "split"]).select("model", "split", "n", agrees.alias("agrees"), naive_mae)
+    return metrics.join(again, ["model", "split"]).select("model", "split", "n", agrees.alias("agrees"), "varies", naive_mae)
 
 
-@query("predict_test", _keys_sql("test", "in_range"))
+@query("predict_test", _keys_sql("test", *_IN_RANGE))
 def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
     out = models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["boosted"])
     return rounded(_checked(spark, sf, out), "y_true")
@@ -135,7 +211,7 @@ _SCORED_FEATURES = ["lag_1h", "lag_24h", "rollmean_24h", "apparent_temperature_n
 @query("predict_next_hour", sql("""
 SELECT region, building_name, full_timestamp AS timestamp_last, full_timestamp + INTERVAL 1 HOUR AS timestamp_next,
        CAST(hour(full_timestamp) AS INTEGER) AS hour, CAST(isodow(full_timestamp) - 1 AS INTEGER) AS day_of_week,
-       CAST(month(full_timestamp) AS INTEGER) AS month, is_day, is_weekend, is_holiday, region_id, TRUE AS in_range, """
+       CAST(month(full_timestamp) AS INTEGER) AS month, is_day, is_weekend, is_holiday, region_id, TRUE AS in_range, TRUE AS varies, """
     + ", ".join(sql_r6(c, c) for c in _SCORED_FEATURES) + """
 FROM lagged WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rollmean_24h IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY region, building_name ORDER BY full_timestamp DESC) = 1
@@ -146,7 +222,7 @@ def next_hour(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_checked(spark, sf, out, "y_pred_next"), *_SCORED_FEATURES)
 
 
-@query("model_save_load", _keys_sql("test", "same"))
+@query("model_save_load", _keys_sql("test", "TRUE AS same"))
 def save_load(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the model that was stored and read again predicts the same for each test row."""
     path = scratch_path(spark, "model")
@@ -323,30 +399,33 @@ def cluster_centres(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("elasticity_by_model", sql(f"""
-SELECT region, building_name, count(*) AS n_rows_used, TRUE AS rule_holds FROM split_features
+SELECT region, building_name, count(*) AS n_rows_used, TRUE AS rule_holds, TRUE AS varies FROM split_features
 WHERE split = 'test' AND {' AND '.join(f'{c} IS NOT NULL' for c in K.MODEL_FEATURES)} GROUP BY 1, 2
 """))
 def model_elasticity(spark: SparkSession, sf: str) -> DataFrame:
     """Rows behind the elasticity of every building under the fitted forest, and whether its segment follows the rule."""
     scorer = _scorers(spark, sf)["forest"]
     out = cut_lineage(explain.segment_by_quartile(explain.elasticity_by_entity(_split(spark, sf, "test"), scorer)))
-    quarters = out.agg(F.percentile("elasticity", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    quarters = out.agg(F.percentile("elasticity", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop("elasticity").alias("sd"))
     e, q = F.col("elasticity"), F.col("__q.q")
     rule = F.when(e >= q[1], "High").when(e <= q[0], "Low").otherwise("Moderate")
     marked = attach_row(out, quarters, "__q").withColumn("rule_holds", F.col("segment") == rule)
-    return marked.select("region", "building_name", "n_rows_used", "rule_holds")
+    return marked.select("region", "building_name", "n_rows_used", "rule_holds", (F.col("__q.sd") > 0).alias("varies"))
 
 
 @query("mae_of_forest_by_entity", sql("""
-SELECT region, building_name, count(*) AS n, TRUE AS agrees FROM split_features WHERE split = 'test' GROUP BY 1, 2
+SELECT region, building_name, count(*) AS n, TRUE AS agrees, TRUE AS varies FROM split_features WHERE split = 'test' GROUP BY 1, 2
 """))
 def forest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Test MAE per building of the fitted forest: rows behind it, and whether it agrees with sums over stored predictions."""
     predicted = cut_lineage(models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["forest"]))
     error = F.abs(F.col("y_true") - F.col("y_pred"))
-    again = predicted.groupBy("region", "building_name").agg(F.sum(error).alias("s"), F.count(error).alias("n"))
+    again = predicted.groupBy("region", "building_name").agg(
+        F.sum(error).alias("s"), F.count(error).alias("n"), F.stddev_pop("y_pred").alias("sd")
+    )
     both = metric_mae_by_entity(predicted).join(again, ["region", "building_name"])
-    return both.select("region", "building_name", "n", (F.abs(F.col("mae") * F.col("n") - F.col("s")) < 1e-9).alias("agrees"))
+    agrees = (F.abs(F.col("mae") * F.col("n") - F.col("s")) < 1e-9).alias("agrees")
+    return both.select("region", "building_name", "n", agrees, ((F.col("sd") > 0) | (F.col("n") == 1)).alias("varies"))
 
 
 @query("averaged_profile", sql(f"""

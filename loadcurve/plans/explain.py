@@ -20,7 +20,7 @@ from loadcurve.operators.onerow import attach_row
 from loadcurve.operators.ranks import exact_medians, exact_quantiles
 from loadcurve.operators.sampling import sample_per_entity
 from loadcurve.operators.sized import join_lookup
-from loadcurve.plans.models import Scorer, present_features
+from loadcurve.plans.models import ModelScorer, Scorer, present_features
 from loadcurve.session import cut_lineage
 
 TEMPERATURE = "apparent_temperature_norm"
@@ -39,6 +39,20 @@ def ice_curves(
     return scorer(cross_join_grid(df, grid, column)).select(*ids, F.col(column).alias("grid"), "y_pred")
 
 
+def ice_steps(df: DataFrame, scorer: ModelScorer, grid: Sequence[float], *, column: str = TEMPERATURE, out: str = "response") -> DataFrame:
+    """Each row with its curve as an array, one value for each grid value, from one walk through the model's trees.
+
+    A tree's answer is constant between its thresholds, so a row with the whole range of the feature is led through each tree once;
+    rows are neither copied nor shuffled. Equal to `ice_curves` point by point.
+    """
+    return scorer.trees(df.sparkSession).with_response(df, column, grid, out)
+
+
+def response_slopes(df: DataFrame, scorer: ModelScorer, grid: Sequence[float], *, column: str = TEMPERATURE) -> DataFrame:
+    """Each row with the least-squares `slope` of its curve, as `ice_slope` of `ice_curves` gives it."""
+    return scorer.trees(df.sparkSession).with_slope(df, column, grid)
+
+
 def ice_slope(curves: DataFrame, ids: Sequence[str], points: int) -> DataFrame:
     """Least-squares slope of each curve; `n_rows` counts rows that share an id (copies)."""
     return curves.groupBy(*ids).agg(
@@ -59,8 +73,9 @@ def elasticity_by_entity(
 ) -> DataFrame:
     """Median temperature slope per building over all of its rows, or over a sample of `max_rows`.
 
-    Rows with a missing input are left out. A curve's points stay in one partition until the slope
-    is taken, so one row per curve is shuffled, named by a hash of its inputs.
+    Rows with a missing input are left out. Of a model of trees, each row's slope comes from one walk through the trees.
+    For other forecasts, a row is copied for each grid value; a curve's points stay in one partition until the slope is
+    taken, so one row per curve is shuffled, named by a hash of its inputs.
     """
     keys = list(keys or entity_keys(features))
     points = max(3, grid_points)
@@ -68,10 +83,16 @@ def elasticity_by_entity(
     complete = features.dropna(subset=inputs)
     if max_rows is not None:
         complete = sample_per_entity(complete, max_rows, keys=keys, seed=seed)
+    if isinstance(scorer, ModelScorer):
+        slopes = response_slopes(complete, scorer, unit_grid(points)).select(*keys, "slope", F.lit(1).cast("bigint").alias("n_rows"))
+        return _median_slopes(cut_lineage(slopes), keys)
     others = [c for c in inputs if c != TEMPERATURE]
     named = complete.withColumn("__curve", F.xxhash64("full_timestamp", *others))
     ids = [*keys, "__curve"]
-    slopes = cut_lineage(ice_slope(ice_curves(named, scorer, unit_grid(points), ids=ids), ids, points))
+    return _median_slopes(cut_lineage(ice_slope(ice_curves(named, scorer, unit_grid(points), ids=ids), ids, points)), keys)
+
+
+def _median_slopes(slopes: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = slopes.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows_used"))
     medians = exact_quantiles(slopes, "slope", [0.5], keys, names=["elasticity"], weight="n_rows")
     return join_lookup(rows, medians, keys, null_safe=True).select(*keys, "elasticity", "n_rows_used")

@@ -1,4 +1,4 @@
-"""Forecast models: baselines, MLlib forests and boosted trees, scoring and importance."""
+"""Forecast models: baselines, MLlib forests, histogram-boosted trees, scoring and importance."""
 
 from __future__ import annotations
 
@@ -7,31 +7,31 @@ from statistics import mean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from loadcurve import constants as K
 from loadcurve.functions.columns import entity_keys, fill_absent_features, quoted
 from loadcurve.operators.aggregates import metric_mae_rmse
-from loadcurve.session import ensure_checkpoint_dir
+from loadcurve.plans.boosting import fit_boosted_trees
+from loadcurve.plans.trees import FlatTrees, trees_of_forest
+from loadcurve.session import ensure_checkpoint_dir, let_workers_import
+from loadcurve.sources.readers import path_exists
 
-#: Rows beyond which boosting stops early by default.
-EARLY_STOP_ROWS = 10_000
-
-#: Training rows of one task, at least.
-ROWS_PER_TASK = 20_000
+#: Training rows of one task, at least, and memory for the statistics of the nodes that are split in one pass.
+ROWS_PER_TASK = 2_000
+NODE_MEMORY_MB = 1024
 
+Model = PipelineModel | FlatTrees
 Scorer = Callable[[DataFrame], DataFrame]
 
 _VECTOR = "__inputs"
 _PREPARED = {"precipitation": ["__precipitation", "__precipitation_missing"]}
-# Trees take no missing values: rain is filled with 0 and its absence is an input of its own.
-_FILL_STATEMENT = (
-    "SELECT *, coalesce(precipitation, 0D) AS __precipitation, "
-    "CAST(precipitation IS NULL AS DOUBLE) AS __precipitation_missing FROM __THIS__"
-)
+# A forest takes no missing values: rain is filled with 0 and its absence is an input of its own.
+_FILLED = {"__precipitation": "coalesce(precipitation, 0D)", "__precipitation_missing": "CAST(precipitation IS NULL AS DOUBLE)"}
+_FILL_STATEMENT = f"SELECT *, {', '.join(f'{e} AS {name}' for name, e in _FILLED.items())} FROM __THIS__"
 
 
 def column_scorer(prediction: Column) -> Scorer:
@@ -39,10 +39,29 @@ def column_scorer(prediction: Column) -> Scorer:
     return lambda df: df.withColumn("y_pred", prediction)
 
 
-def model_scorer(model: PipelineModel) -> Scorer:
-    """A scorer that applies a fitted pipeline; inputs are taken by name, in the stored order."""
-    extra = [_VECTOR, *_PREPARED["precipitation"]]
-    return lambda df: model.transform(df).drop(*extra)
+class ModelScorer:
+    """A scorer that applies a fitted model; inputs are taken by name, in the stored order."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._flat: FlatTrees | None = model if isinstance(model, FlatTrees) else None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.model, FlatTrees):
+            let_workers_import(df.sparkSession)
+            return self.model.score(df)
+        return self.model.transform(df).drop(_VECTOR, *_PREPARED["precipitation"])
+
+    def trees(self, spark: SparkSession) -> FlatTrees:
+        """The model as flat arrays; of a pipeline, from its stored form."""
+        let_workers_import(spark)
+        if self._flat is None:
+            self._flat = trees_of_forest(spark, self.model, _FILLED)
+        return self._flat
+
+
+def model_scorer(model: Model) -> ModelScorer:
+    return ModelScorer(model)
 
 
 def forecast_naive(features: DataFrame, column: str = "lag_1h") -> DataFrame:
@@ -64,14 +83,14 @@ def _fit(train: DataFrame, regressor, features: Sequence[str]) -> PipelineModel:
     stages.append(VectorAssembler(inputCols=_input_names(features), outputCol=_VECTOR))
     stages.append(regressor)
     ensure_checkpoint_dir(train.sparkSession)
-    columns = [*features, K.TARGET, *[c for c in ("__holdout",) if c in train.columns]]
-    rows = train.select(*columns).where(F.col(K.TARGET).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*features, K.TARGET).where(F.col(K.TARGET).isNotNull())
+    # A fit is many jobs over the kept rows: as many tasks in each as there are cores, but no more than the rows need.
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)))
+    kept = rows.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK) if rows.rdd.getNumPartitions() < tasks else rows.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # A fit is thousands of small jobs over the kept rows: no more tasks in each than the rows need.
-        tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
-        return Pipeline(stages=stages).fit(rows.coalesce(tasks))
+        return Pipeline(stages=stages).fit(kept)
     finally:
-        rows.unpersist()
+        kept.unpersist()
 
 
 def present_features(df: DataFrame, features: Sequence[str] = K.MODEL_FEATURES) -> list[str]:
@@ -92,7 +111,7 @@ def train_random_forest(
     forest = RandomForestRegressor(
         featuresCol=_VECTOR, labelCol=K.TARGET, predictionCol="y_pred", numTrees=num_trees,
         maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt",
-        maxBins=max_bins, seed=seed,
+        maxBins=max_bins, seed=seed, maxMemoryInMB=NODE_MEMORY_MB,
     )
     return _fit(train, forest, features or present_features(train))
 
@@ -104,37 +123,40 @@ def train_gradient_boosting(
     max_depth: int = 8,
     step_size: float = 0.05,
     min_leaf: int = 20,
-    max_bins: int = 128,
-    seed: int = 42,
+    max_bins: int = 255,
+    max_leaves: int = 31,
     holdout: float | None = None,
     features: Sequence[str] | None = None,
-) -> PipelineModel:
-    """Boosted trees with squared error. `holdout` > 0 keeps that share of rows to stop early.
+) -> FlatTrees:
+    """Histogram-boosted trees with squared error; missing inputs go to a learned side.
 
-    By default that is a tenth of the rows where there are more than EARLY_STOP_ROWS, else none.
+    All `max_iter` rounds are made at any number of rows. Only where `holdout` names a share of rows are these kept out, and the
+    rounds end when their error has not fallen by 1e-7 in ten rounds.
     """
-    boosted = GBTRegressor(
-        featuresCol=_VECTOR, labelCol=K.TARGET, predictionCol="y_pred", lossType="squared",
-        maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_leaf,
-        maxBins=max_bins, seed=seed,
-    )
     features = features or present_features(train)
-    if holdout is None:
-        holdout = 0.1 if train.where(F.col(K.TARGET).isNotNull()).count() > EARLY_STOP_ROWS else 0.0
-    if holdout > 0:
+    if not holdout:
+        held = None
+    else:
         # By content, so that the same rows are held out on every evaluation of the frame.
+        held = "__holdout"
         bucket = F.pmod(F.xxhash64(*features, K.TARGET), F.lit(10_000))
-        train = train.withColumn("__holdout", bucket < int(holdout * 10_000))
-        boosted = boosted.setValidationIndicatorCol("__holdout")
-    return _fit(train, boosted, features)
+        train = train.withColumn(held, bucket < int(holdout * 10_000))
+    return fit_boosted_trees(
+        train, K.TARGET, features, rounds=max_iter, max_depth=max_depth, step_size=step_size, min_leaf=min_leaf,
+        max_bins=max_bins, max_leaves=max_leaves, held_out=held,
+    )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    if isinstance(model, FlatTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Model:
+    spark = SparkSession.active()
+    return FlatTrees.load(spark, path) if path_exists(spark, f"{path}/nodes") else PipelineModel.load(path)
 
 
 def score_models(df: DataFrame, scorers: dict[str, Scorer]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it, unless the session says otherwise; other machines need it shipped (`--py-files`)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
