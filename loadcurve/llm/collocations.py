@@ -10,7 +10,7 @@ A prefix of k words gets a stripe only if it may itself be frequent, and an entr
 may be, too: all other phrases are below the least count, whatever follows. "May be" is asked of a bit table of a fixed size
 (`BITS`) that is made from the frequent phrases of the pass before; a false yes costs a row and changes no result. Stripes of very
 frequent prefixes, which the same table marks, are dealt over `SLOTS` parts by a hash of the next word, so no task holds all
-words that follow one word. Whole texts of all documents are counted, exactly, in 64 bits; scores are worked out in 38 digits.
+words that follow one word. The stripes of a chunk travel in one packet for each language and bucket of prefixes. Whole texts of all documents are counted, exactly, in 64 bits; scores are worked out in 38 digits.
 
 Defined results: a null text counts as empty, a null language as `und`; repeated rows count each; a table without frequent
 phrases gives no rows. Columns other than `lang` and `text` are not read.
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcurve.llm.common import release_caches, slices, stored
@@ -33,13 +33,17 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Text that is counted together in a task before its stripes are sent.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of the table of frequent phrases, 8 MB however many there are; a second one of this size marks the hot ones.
 BITS = 1 << 26
-#: From this count on, a prefix's stripe is dealt over SLOTS parts.
-HOT_COUNT = 50_000
+#: A prefix that makes up one of HOT_SHARE words or more (and HOT_LEAST in all) has its stripe dealt over SLOTS parts. There are at
+#: most HOT_SHARE of them, however large the corpus.
+HOT_SHARE, HOT_LEAST = 500, 1000
 SLOTS = 64
-STRIPES = "lang string, prefix string, slot int, nexts array<string>, counts array<bigint>"
+#: Buckets of prefixes, for each shuffle partition of the session.
+BUCKETS_EACH = 4
+#: A packet's stripes, one a line: the prefix, its next words and their counts (both joined by spaces, which no word holds), divided by tabs.
+PACKETS = "lang string, bucket int, stripes string"
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -97,8 +101,8 @@ def is_marked(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (held(one) & held(two)).astype(bool)
 
 
-def phrase_table(phrases: DataFrame):
-    """Broadcast bit tables (frequent, hot) of the phrases (lang, phrase, f); None where there is no phrase.
+def phrase_table(phrases: DataFrame, hot_from: int):
+    """Broadcast bit tables (all, those of a count of `hot_from`) of the phrases (lang, phrase, f); None where there is no phrase.
 
     The words of the tables are joined by OR in Spark; at most BITS / 64 of them reach the driver.
     """
@@ -111,7 +115,7 @@ def phrase_table(phrases: DataFrame):
             for k in range(longest):
                 rows = np.array([i for i, t in enumerate(texts) if len(t) > k], np.int64)
                 marks[rows] = follow(marks[rows], word_marks([texts[i][k] for i in rows]))
-            hot = batch.column(2).to_numpy() >= HOT_COUNT
+            hot = batch.column(2).to_numpy() >= hot_from
             for at in bit_places(marks):
                 bit = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(bit), pa.array(np.where(hot, bit, 0))], names=["place", "bits", "hot"])
@@ -126,8 +130,8 @@ def phrase_table(phrases: DataFrame):
     return phrases.sparkSession.sparkContext.broadcast(tables)
 
 
-def chunk_stripes(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndarray | None) -> pa.RecordBatch:
-    """The stripes of all prefixes of `length` words in these texts. `tables` as of `phrase_table`, for `length` words."""
+def chunk_packets(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """The stripes of all prefixes of `length` words in these texts, in packets. `tables` as of `phrase_table`, for `length` words."""
     w = Words(texts)
     langs = langs.fill_null("und").dictionary_encode()
     lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.doc]
@@ -141,6 +145,8 @@ def chunk_stripes(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndar
     else:
         good = np.ones(places, bool)
     at = np.flatnonzero(good)
+    if not len(at):
+        return pa.RecordBatch.from_pylist([], schema=_PACKET_SCHEMA)
     # the next word, or none: the last number
     after = np.minimum(at + length, len(word) - 1)
     on = (at + length < len(word)) & (w.piece[at] == w.piece[after])
@@ -152,29 +158,47 @@ def chunk_stripes(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndar
         prefix = np.unique(prefix * size + word[at + k], return_inverse=True)[1]
     pairs, counts = np.unique(prefix * size + following, return_counts=True)
     prefix_of, following = np.divmod(pairs, size)
-    example = np.zeros(prefix_of[-1] + 1 if len(pairs) else 0, np.int64)
+    example = np.zeros(prefix_of[-1] + 1, np.int64)
     example[prefix[::-1]] = at[::-1]
-    # parts of a stripe
-    slot = np.zeros(len(pairs), np.int64)
+    # parts of a stripe, and their bucket
     hot = is_marked(tables[1], marks[example]) if length else np.ones(len(example), bool)
-    slot[:] = np.where(hot[prefix_of], np.append(w.marks, np.uint64(0))[following] % np.uint64(SLOTS), 0)
-    order = np.argsort(prefix_of * SLOTS + slot, kind="stable")
-    group = (prefix_of * SLOTS + slot)[order]
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(begin, len(group)).astype(np.int32))
+    slot = np.where(hot[prefix_of], np.append(w.marks, np.uint64(0))[following] % np.uint64(SLOTS), np.uint64(0))
+    bucket = (follow(marks[example][prefix_of], slot) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((prefix_of, bucket, lang[example][prefix_of]))
+    prefix_of, following, bucket, counts = prefix_of[order], following[order], bucket[order], counts[order]
     words = pa.concat_arrays([w.texts, pa.array([""], pa.string())])
-    start = example[group[begin] // SLOTS]
+    stripe = _starts(prefix_of, bucket)
+    start = example[prefix_of[stripe]]
     names = [words.take(pa.array(word[start + k])) for k in range(length)]
-    prefixes = pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(begin), pa.string())
-    columns = [
-        langs.dictionary.take(pa.array(lang[start])), prefixes, pa.array((group[begin] % SLOTS).astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, words.take(pa.array(following[order]))), pa.ListArray.from_arrays(offsets, pa.array(counts[order])),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "slot", "nexts", "counts"])
+    prefixes = pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(stripe), pa.string())
+    joined = lambda values, starts, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values), mark)
+    lines = pc.binary_join_element_wise(
+        prefixes, joined(words.take(pa.array(following)), stripe, " "), joined(pa.array(counts).cast(pa.string()), stripe, " "), "\t"
+    )
+    packet = _starts(lang[start], bucket[stripe])
+    columns = [langs.dictionary.take(pa.array(lang[start[packet]])), pa.array(bucket[stripe[packet]].astype(np.int32)), joined(lines, packet, "\n")]
+    return pa.RecordBatch.from_arrays(columns, schema=_PACKET_SCHEMA)
+
+
+_PACKET_SCHEMA = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("stripes", pa.string())])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    changed = np.ones(len(columns[0]), bool)
+    changed[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(changed)
+
+
+def _entries(part: Column) -> Column:
+    """The entries of a packet's line, given as its three parts: structs of prefix, next word and count."""
+    pairs = F.arrays_zip(F.split(part[1], " ", -1).alias("next"), F.split(part[2], " ", -1).alias("f"))
+    return F.transform(pairs, lambda e: F.struct(part[0].alias("prefix"), e["next"].alias("next"), e["f"].alias("f")))
 
 
 def merged_stripes(docs: DataFrame, length: int, tables) -> DataFrame:
-    """Stripes of all documents: lang, prefix, slot, total, best (largest entry) and the entries of MIN_COUNT or more."""
+    """Stripes of all documents (in parts, if hot): lang, bucket, prefix, total, best (largest entry) and the entries of MIN_COUNT or more."""
+    buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         release_caches()
@@ -192,16 +216,19 @@ def merged_stripes(docs: DataFrame, length: int, tables) -> DataFrame:
         whole = pa.Table.from_batches(parts).combine_chunks()
         lang, text = (c.cast(pa.large_string()).combine_chunks() for c in whole.columns)
         lang, text = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (lang, text))
-        return chunk_stripes(lang.cast(pa.string()), text, length, None if tables is None else tables.value)
-
-    key = ["lang", "prefix", "slot"]
-    parts = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, STRIPES).repartition(*key)
-    entries = parts.select(*key, F.inline(F.arrays_zip("nexts", "counts")))
-    sums = entries.groupBy(*key, "nexts").agg(F.sum("counts").alias("f"))
-    extends = F.col("nexts") != ""
+        return chunk_packets(lang.cast(pa.string()), text, length, None if tables is None else tables.value, buckets)
+
+    packets = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, PACKETS).repartition("lang", "bucket")
+    key = ["lang", "bucket", "prefix"]
+    # lines are divided before the parts are used: an expression within a lambda is worked out for each element
+    parts = F.transform(F.split("stripes", "\n", -1), lambda line: F.split(line, "\t", -1))
+    packed = F.flatten(F.transform(parts, _entries))
+    entries = packets.select("lang", "bucket", F.inline(packed))
+    sums = entries.groupBy(*key, "next").agg(F.sum(F.col("f").cast("bigint")).alias("f"))
+    extends = F.col("next") != ""
     return sums.groupBy(*key).agg(
         F.sum("f").alias("total"), F.max(F.when(extends, F.col("f"))).alias("best"),
-        F.collect_list(F.when(extends & (F.col("f") >= MIN_COUNT), F.struct(F.col("nexts").alias("next"), "f"))).alias("entries"),
+        F.collect_list(F.when(extends & (F.col("f") >= MIN_COUNT), F.struct("next", "f"))).alias("entries"),
     )
 
 
@@ -216,7 +243,9 @@ def all_stripes(docs: DataFrame) -> list[DataFrame]:
     made, tables = [], None
     for length in range(MAX_WORDS):
         made.append(stored(merged_stripes(docs, length, tables)))
-        tables = phrase_table(extensions(made[-1]))
+        if not length:
+            words = made[0].agg(F.sum("total")).first()[0] or 0
+        tables = phrase_table(extensions(made[-1]), max(HOT_LEAST, words // HOT_SHARE))
         if tables is None:
             break
     return made
