@@ -3,10 +3,12 @@
 Windows of a few words that a document shares with an item are seeds. For items with enough of them,
 tiles are marked greedily: the longest match of unmarked words first, found by running Karp-Rabin hashes at
 falling lengths and compared word by word; the share of the item's words in tiles is its coverage. Tiles may
-lie in any order, so reordered passages count in full.
+lie in any order, so reordered passages count in full. The hash of a window of any length is a difference of two sums, so a length
+is tried in one pass over the words that are in seeds, and the next length is found by bisection: repeated words cost no more than others.
 
-Items are sent to the tasks in blocks of bounded size and every document is held against each block, so no
-document is shuffled and memory does not grow with either side.
+Items are sent to the tasks in blocks of bounded size. A task goes over its documents once, tokenizes each once, and holds it
+against all blocks, of which it keeps KEPT_BLOCKS unpacked; with more, documents wait until they fill DOCS_BYTES and each block is
+unpacked once for all of them. So no document is shuffled, memory does not grow with either side, and blocks do not show in the result.
 
 Words are runs of letters and digits in lower case. Defined cases: null and empty texts and items have no words
 and match nothing; items shorter than a seed must occur whole; equal items (id and text) count once, and items
@@ -17,7 +19,6 @@ reported as null; result columns are named after those of the two tables.
 from __future__ import annotations
 
 import re
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ SEED_WORDS = 5
 COVERAGE = 0.5
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 8 << 20
+#: Blocks that a worker keeps unpacked, and bytes of documents that go over the blocks together where there are more.
+KEPT_BLOCKS = 4
+DOCS_BYTES = 16 << 20
 #: Bits of the filter that most windows of a document fail: 2 to this power.
 FILTER_BITS = 23
 
@@ -59,48 +63,88 @@ def windows(t: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def longest_matches(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(length, place in the item, place in the document) of the maximal matches of at least `width` words."""
-    where: dict[int, list[int]] = {}
-    for j, h in enumerate(windows(doc, width).tolist()):
-        where.setdefault(h, []).append(j)
-    found = []
-    for i, h in enumerate(windows(item, width).tolist()):
-        for j in where.get(h, ()):
-            if i and j and item[i - 1] == doc[j - 1]:
-                continue  # inside a longer match
-            k = 0
-            while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k]:
-                k += 1
-            if k >= width:
-                found.append((k, i, j))
-    return found
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+class _Words:
+    """Words some of which are marked, with running hashes of windows of every length."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray):
+        n = len(words)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n, _ODD)))[:n]
+        self.words, self.free = words, free
+        self.sums = np.append(np.uint64(0), np.cumsum(words * powers))
+        self.back = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)))[:n]
+
+    def open_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where `length` unmarked words stand in a row, and the hashes of these."""
+        marked = np.append(0, np.cumsum(~self.free))
+        at = np.flatnonzero(marked[length:] == marked[: len(marked) - length]) if length < len(marked) else np.zeros(0, np.int64)
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+    def longest_run(self) -> int:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], self.free.astype(np.int8), [0]])))
+        return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def _longest_common(item: _Words, doc: _Words, least: int, most: int) -> int:
+    """The length of the longest unmarked match, from `least` to `most`; 0 if there is none."""
+    best = 0
+    while least <= most:
+        length = (least + most + 1) // 2
+        if np.isin(item.open_windows(length)[1], doc.open_windows(length)[1]).any():
+            best, least = length, length + 1
+        else:
+            most = length - 1
+    return best
+
+
+def _mark(item: _Words, doc: _Words, length: int) -> list[tuple[int, int]]:
+    """Mark the matches of this length, by place in the item, then in the document."""
+    at, hashes = item.open_windows(length)
+    places, own = doc.open_windows(length)
+    common = np.isin(own, hashes)
+    order = np.lexsort((places[common], own[common]))
+    places, own = places[common][order], own[common][order]
+    waiting = dict(zip(own[starts := np.flatnonzero(np.diff(own, prepend=~own[:1]))].tolist(), starts.tolist(), strict=True)) if len(own) else {}
+    made, end = [], -1
+    for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
+        k = waiting.get(h)
+        if k is None or i < end:  # `end`: the words up to it have been marked just now
+            continue
+        while k < len(own) and own[k] == h:
+            j = int(places[k])
+            if doc.free[j : j + length].all() and (item.words[i : i + length] == doc.words[j : j + length]).all():
+                item.free[i : i + length] = doc.free[j : j + length] = False
+                made.append((i, j))
+                end = i + length
+                break
+            k += 1
+        waiting[h] = k
+    return made
 
 
 def tile(doc: np.ndarray, item: np.ndarray, width: int = SEED_WORDS) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, place in the item, place in the document) of at least `width` words.
 
-    The longest match whose words are all unmarked is marked next; a match that has lost its ends to longer tiles
-    stays with what is left of it. Equal lengths go by place in the item, then in the document.
+    The longest match whose words are all unmarked is marked next; equal lengths go by place in the item, then in the
+    document. What is marked never gets longer matches, so lengths fall.
     """
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    waiting = longest_matches(doc, item, width)
-    tiles = []
-    while waiting:
-        waiting.sort(key=lambda m: (-m[0], m[1], m[2]))
-        length = waiting[0][0]
-        left = []
-        for k, i, j in waiting:
-            free = free_item[i : i + k] & free_doc[j : j + k]
-            if free.all() and k == length:
-                free_item[i : i + k] = free_doc[j : j + k] = False
-                tiles.append((k, i, j))
-            elif free.all():
-                left.append((k, i, j))
-            else:  # the free runs within it
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-                left += [(int(b - a), i + int(a), j + int(a)) for a, b in edges.reshape(-1, 2) if b - a >= width]
-        waiting = left
+    seeded = np.isin(windows(doc, width), windows(item, width))
+    if not seeded.any():
+        return []
+    cover = np.zeros(len(doc) + 1, np.int64)
+    cover[: len(seeded)] += seeded
+    cover[width : width + len(seeded)] -= seeded
+    # only words in seeds can be in tiles; between runs of them stands a marked place
+    places = np.flatnonzero(np.cumsum(cover)[:-1])
+    places = np.insert(places, np.flatnonzero(np.diff(places, prepend=places[0]) > 1), -1)
+    held = _Words(np.where(places >= 0, doc[places], np.uint64(0)), places >= 0)
+    own = _Words(item, np.ones(len(item), bool))
+    tiles, most = [], min(own.longest_run(), held.longest_run())
+    while length := _longest_common(own, held, width, most):
+        tiles += [(length, i, int(places[j])) for i, j in _mark(own, held, length)]
+        most = min(length - 1, own.longest_run(), held.longest_run())
     return tiles
 
 
@@ -164,37 +208,80 @@ class Block:
         return found
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The items in broadcast blocks of about `block_bytes`; one block is on the driver at a time."""
+class _Held:
+    """A broadcast block of items with a name of its own, so that workers can tell blocks apart."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, (id(broadcast), broadcast._jbroadcast.id())
+
+    def items(self) -> list[tuple[object, str]]:
+        items = self.broadcast.value
+        vars(self.broadcast).pop("_value", None)  # it stays in the worker's file, not in its memory
+        return items
+
+
+def blocks(benchmark: DataFrame, block_bytes: int | None = None) -> list[_Held]:
+    """The items in broadcast blocks of about `block_bytes` (BLOCK_BYTES); one block is on the driver at a time."""
     items = benchmark.select("item_id", "text").where(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
+    n = max(1, -(-int(total) // (block_bytes or BLOCK_BYTES)))
     context = benchmark.sparkSession.sparkContext
+    out = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield context.broadcast(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (str(r[0]), r[1])))
-
-
-_block: list = [None, None]
-
-
-def _load(held, width: int) -> Block:
-    """The block of this broadcast, built once for each worker."""
-    if _block[0] != held.id:
-        _block[:] = [held.id, Block(held.value, width)]
-    return _block[1]
-
-
-class _Held:
-    """A broadcast with a name of its own, so that workers can tell blocks apart."""
+            out.append(_Held(context.broadcast(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (str(r[0]), r[1])))))
+    return out
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, (id(broadcast), broadcast._jbroadcast.id())
 
-    @property
-    def value(self):
-        return self.broadcast.value
+_kept: dict = {}
+
+
+def _load(held: _Held, width: int) -> Block:
+    """The unpacked block; a worker keeps the last KEPT_BLOCKS."""
+    key = (held.id, width)
+    if key not in _kept:
+        while len(_kept) >= KEPT_BLOCKS:
+            del _kept[next(iter(_kept))]
+        _kept[key] = Block(held.items(), width)
+    return _kept[key]
+
+
+def _judged(held: list[_Held], width: int, coverage: float, place: int):
+    """A generator over Arrow batches: each part with its rows' hits (item id, coverage, tiles, longest tile), the best of each item, by item."""
+
+    def hits(part: pa.RecordBatch) -> list[list[tuple]]:
+        words = [tokens(t) for t in part.column(place).to_pylist()]
+        best: list[dict] = [{} for _ in words]
+        for h in held:
+            block = _load(h, width)
+            for own, w in zip(best, words, strict=True):
+                for k, c, n, most in block.hits(w, coverage):
+                    item, score = block.ids[k], (c, -n, most)
+                    if item not in own or score > own[item]:
+                        own[item] = score
+        return [[(item, c, -n, most) for item, (c, n, most) in sorted(own.items(), key=lambda x: str(x[0]))] for own in best]
+
+    def run(batches):
+        if len(held) <= KEPT_BLOCKS:
+            for part in slices(batches):
+                yield part, hits(part)
+            return
+        waiting, size = [], 0
+        for part in slices(batches):
+            waiting.append(part)
+            size += part.nbytes
+            if size >= DOCS_BYTES:
+                yield from together(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from together(waiting)
+
+    def together(parts):
+        for part in pa.Table.from_batches(parts).combine_chunks().to_batches():
+            yield part, hits(part)
+
+    return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = SEED_WORDS) -> DataFrame:
@@ -203,51 +290,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     item_field = T.StructField("item_id", benchmark.schema["item_id"].dataType)
     fields = [T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("longest_tile", T.IntegerType())]
     schema = T.StructType([source.schema["doc_id"], item_field, *fields])
-    kind = pa.int64() if isinstance(item_field.dataType, T.LongType) else pa.int32() if isinstance(item_field.dataType, T.IntegerType) else pa.string()
-
-    def against(held):
-        def run(batches):
-            block = _load(held, width)
-            for batch in slices(batches):
-                rows, found = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    hits = sorted((str(block.ids[k]), -c, n, most, block.ids[k]) for k, c, n, most in block.hits(tokens(text), coverage))
-                    for _, same in groupby(hits, key=lambda h: h[0]):
-                        _, c, n, most, item = next(same)
-                        rows.append(i)
-                        found.append((item, -c, n, most))
-                if rows:
-                    made = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), [kind, pa.float64(), pa.int32(), pa.int32()], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *made], names=schema.names)
-
-        return run
-
-    parts = [source.mapInArrow(against(_Held(b)), schema) for b in blocks(benchmark)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    if len(parts) == 1:
-        return out
-    best = F.max_by(F.struct("coverage", "n_tiles", "longest_tile"), F.struct("coverage", -F.col("n_tiles"))).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    kinds = [benchmark.select("item_id").limit(0).toArrow().schema.field(0).type, pa.float64(), pa.int32(), pa.int32()]
+    judged = _judged(blocks(benchmark), width, coverage, 1)
+
+    def run(batches):
+        for part, hits in judged(batches):
+            rows = [i for i, found in enumerate(hits) for _ in found]
+            if rows:
+                columns = zip(*[h for found in hits for h in found], strict=True)
+                made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *made], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = SEED_WORDS) -> DataFrame:
     """The documents that no item contaminates, with their columns as they were. Each row is judged by itself, without a join."""
-    out = docs
-    place = docs.columns.index("text")
+    judged = _judged(blocks(benchmark), width, coverage, docs.columns.index("text"))
 
-    def clean(held):
-        def run(batches):
-            block = _load(held, width)
-            for batch in slices(batches):
-                keep = [not block.hits(tokens(t), coverage) for t in batch.column(place).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(batches):
+        for part, hits in judged(batches):
+            yield part.filter(pa.array([not found for found in hits], pa.bool_()))
 
-        return run
-
-    for b in blocks(benchmark):
-        out = out.mapInArrow(clean(_Held(b)), docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

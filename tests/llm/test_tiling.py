@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -62,11 +63,30 @@ def _plans(rng, items):
     }
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_leaks_are_found_and_clean_texts_left(spark, benchmark, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(tl, "BLOCK_BYTES", 400)
+def test_repeated_words_take_no_longer():
+    """20,000 equal words against 2,000, and two words in turn: within a second each."""
+    for item, doc in (([1] * 2000, [1] * 20_000), ([1, 2] * 1000, [2, 1, 1] * 7000), ([1] * 300 + [2] * 7, [1] * 20_000)):
+        start = time.perf_counter()
+        tiles = tl.tile(np.array(doc, np.uint64), np.array(item, np.uint64))
+        assert time.perf_counter() - start < 1 and sum(k for k, _, _ in tiles) >= (300 if item[-1] != 2 or item[0] == item[1] else 0)
+    assert tl.tile(np.ones(20_000, np.uint64), np.ones(2000, np.uint64)) == [(2000, 0, 0)]
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_long_repetitive_tiles_match_the_definition(seed):
+    rng = random.Random(seed)
+    item = [rng.randrange(2) for _ in range(60)]
+    doc = [rng.randrange(2) for _ in range(70)] + item[20:50] + [1] * 9 + item[:25]
+    got = tl.tile(np.array(doc, np.uint64), np.array(item, np.uint64), 4)
+    assert got == plain_tiles(doc, item, 4)
+
+
+@pytest.mark.parametrize(("block_bytes", "least"), [(8 << 20, 1), (2500, 3), (400, 8)])
+def test_leaks_are_found_and_clean_texts_left(spark, benchmark, monkeypatch, block_bytes, least):
+    monkeypatch.setattr(tl, "BLOCK_BYTES", block_bytes)
     bench, items = benchmark
+    n = len(tl.blocks(bench))
+    assert n >= least and (n == 1) == (least == 1)
     texts = _plans(random.Random(1), items)
     docs = clashing(documents(spark, list(texts.values())))
     found = {(r.doc_id, r.item_id): r for r in tl.contaminated(docs, bench).collect()}
@@ -76,7 +96,9 @@ def test_leaks_are_found_and_clean_texts_left(spark, benchmark, monkeypatch, sma
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
 
 
-def test_odd_rows(spark, benchmark):
+@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
+def test_odd_rows(spark, benchmark, monkeypatch, block_bytes):
+    monkeypatch.setattr(tl, "BLOCK_BYTES", block_bytes)
     bench, _ = benchmark
     docs = documents(spark, odd_texts(random.Random(3)))
     assert tl.contaminated(docs, bench).count() == 0 and tl.decontaminate(docs, bench).count() == docs.count()
@@ -84,3 +106,5 @@ def test_odd_rows(spark, benchmark):
     assert tl.contaminated(docs.limit(0), bench).count() == 0
     again = documents(spark, [(1, "too short"), (1, "too short"), (None, "too short")])
     assert tl.contaminated(again, bench.unionAll(bench)).count() == 3
+    dates = bench.where("item_id = 30").selectExpr("date'2020-01-01' AS item_id", "text").unionAll(bench.where("item_id = 4").selectExpr("date'2020-01-02'", "text"))
+    assert {str(r.item_id) for r in tl.contaminated(again, dates).collect()} == {"2020-01-01"}
