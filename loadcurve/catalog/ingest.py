@@ -16,7 +16,7 @@ from loadcurve.plans.unify import (
 )
 from loadcurve.session import scratch_path
 from loadcurve.sources import fixtures as fx
-from loadcurve.sources import readers, writers
+from loadcurve.sources import heads, readers, writers
 
 _SLOT_SUMS = ", ".join(
     f"round(sum(CASE WHEN slot = '{s}' THEN value END), 6) AS \"{s}\"" for s in fx.SLOTS
@@ -88,6 +88,21 @@ def scan_multi_file(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_WIDE_HEADER = ",".join(["Year", "Zone Substation", "Date", "Unit", *fx.SLOTS])
+
+
+@query("scan_file_heads", sql(f"""
+SELECT DISTINCT lower(unit) AS folder, '{_WIDE_HEADER}' AS header, TRUE AS first_block_only FROM long_slots
+"""))
+def scan_file_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """The header of each folder's files, from a pass that reads no more than the first block of a file."""
+    files = heads.files_of(spark, _wide_files(spark, sf))
+    lines = heads.first_lines(spark, files, 4096)
+    folder = F.regexp_extract("file", "folder=([^/]*)/", 1)
+    first = lines.where("line = 0").groupBy(folder.alias("folder"), F.col("value").alias("header"))
+    return first.agg((F.max("bytes_read") <= 4096).alias("first_block_only"))
+
+
 @query("scan_weather_skip_preamble", sql(f"""
 SELECT strftime(timestamp_hour, '%Y-%m-%dT%H:%M') AS time, {sql_r6('apparent_temperature', 'apparent_temperature')},
        {sql_r6('precipitation', 'precipitation')}, is_day FROM weather

@@ -5,14 +5,16 @@ from __future__ import annotations
 import csv
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadcurve.functions.columns import quoted
 from loadcurve.operators.sized import join_lookup
 from loadcurve.session import cut_lineage
+from loadcurve.sources.heads import files_of, first_lines
 
 PREAMBLE_FALLBACK_ROW = 3
 
@@ -44,7 +46,7 @@ def scan_column_pruned(spark: SparkSession, path: str, columns: Sequence[str]) -
     return df.select([F.col(quoted(c)) for c in columns if c in df.columns])
 
 
-def _lines(spark: SparkSession, pattern: str) -> DataFrame:
+def _lines(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """Non-blank lines with file, block start and an id that rises within a block."""
     return (
         spark.read.text(pattern)
@@ -66,6 +68,22 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _files_by_header(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Names of the columns -> addresses of files; one row per file on the driver, which holds the list of paths for any scan."""
+    files = files_of(spark, pattern)
+    heads = first_lines(spark, files)
+    found = None if heads is None else {r["file"]: r["value"] for r in heads.where("line = 0").toLocalIterator()}
+    if found is None or any(f not in found for f in files):  # also an empty file, or a header of over a block
+        missing = [f for f in files if f not in (found or {})]
+        scanned = _lines(spark, [unquote(f) for f in missing]).where(F.col("block_start") == 0)
+        headers = scanned.groupBy("file").agg(F.min_by("value", "line_id").alias("header"))
+        found = (found or {}) | {r["file"]: r["header"] for r in headers.toLocalIterator()}
+    out: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for file, header in found.items():
+        out[tuple(_split_header(header))].append(unquote(file))
+    return dict(out)
+
+
 def scan_multi_file(
     spark: SparkSession,
     pattern: str,
@@ -76,25 +94,16 @@ def scan_multi_file(
 ) -> Iterator[DataFrame]:
     """The files of a glob as text frames, one frame per distinct header.
 
-    Empty files have no header and fall out; files lacking a `required` column (case-blind) are
-    skipped. `same_layout=True` promises that all files have one header and saves the header pass.
+    Headers come from the first block of each file (see `heads`); where the store does not allow that, or a header is longer
+    than a block, from a pass over the text. Empty files have no header and fall out; files lacking a `required` column
+    (case-blind) are skipped. `same_layout=True` promises that all files have one header and saves the header pass.
     """
     if not path_exists(spark, pattern):
         return
     if same_layout:
         groups = {tuple(spark.read.option("header", True).csv(pattern).columns): [pattern]}
     else:
-        headers = (
-            _lines(spark, pattern)
-            .where(F.col("block_start") == 0)
-            .groupBy("file")
-            .agg(F.min_by("value", "line_id").alias("header"))
-        )
-        # One row per file: the list of paths is on the driver for any scan.
-        files: dict[tuple[str, ...], list[str]] = defaultdict(list)
-        for row in headers.toLocalIterator():
-            files[tuple(_split_header(row["header"]))].append(row["file"])
-        groups = dict(files)
+        groups = _files_by_header(spark, pattern)
     for names, paths in sorted(groups.items()):
         lower = {n.strip().lower() for n in names}
         if not set(required) <= lower:
@@ -117,8 +126,20 @@ def scan_weather_skip_preamble(
     (case-blind), however many lines stand before it; without one it is the fourth line, and
     `prepare_weather` raises if that names no weather columns. One small row per file, size-checked, is
     joined to the lines, so lines are not shuffled; only the distinct headers reach the driver.
+
+    The first block is read by itself (see `heads`) and the data once: the lines up to the header are left out by their text, with
+    repeats of them in the first block. Where such a line could be one of data, having as many cells as the header, or the first block
+    cannot be read alone, lines are numbered in a pass of its own and left out by their number.
     """
+    files = files_of(spark, pattern) if path_exists(spark, pattern) else []
+    heads = _weather_heads(spark, files, header_cell) if files else None
     lines = _lines(spark, pattern)
+    if heads is not None:
+        layouts = [r["header"] for r in heads.select("header").distinct().collect()]
+        joined = join_lookup(lines.withColumn("file", _address("file")), heads, ["file"])
+        data = joined.where((F.col("block_start") > 0) | ~F.array_contains("before", F.col("value")))
+        yield from _weather_frames(data, layouts)
+        return
     cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(F.translate(c, '"', "")))
     leading = lines.where(F.col("block_start") == 0)
     named = F.when(F.array_contains(cells, header_cell), F.struct("line_id", "value"))
@@ -134,6 +155,33 @@ def scan_weather_skip_preamble(
     layouts = [r["header"] for r in headers.select("header").distinct().collect()]
     joined = join_lookup(lines, headers, ["file"])
     data = joined.where((F.col("block_start") > 0) | (F.col("line_id") > F.col("header_id")))
+    yield from _weather_frames(data, layouts)
+
+
+def _address(file: str) -> Column:
+    """An address with one slash after its scheme, of which file systems write one to three."""
+    return F.regexp_replace(file, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _weather_heads(spark: SparkSession, files: list[str], header_cell: str) -> DataFrame | None:
+    """file, header, and the lines up to the header (`before`); None where lines must be numbered instead."""
+    head = first_lines(spark, files)
+    if head is None:
+        return None
+    cells = F.transform(F.split(F.lower("value"), ","), lambda c: F.trim(F.translate(c, '"', "")))
+    named = F.when(F.array_contains(cells, header_cell), F.col("line"))
+    all_lines = F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines")
+    found = head.groupBy("file").agg(F.coalesce(F.min(named), F.lit(PREAMBLE_FALLBACK_ROW)).alias("at"), all_lines)
+    text = F.transform("lines", lambda x: x["value"])
+    found = found.select("file", F.get(text, F.col("at")).alias("header"), F.slice(text, F.lit(1), F.col("at") + 1).alias("before"))
+    found = cut_lineage(found.where("header is not null").withColumn("file", _address("file")))
+    width = lambda c: F.size(F.split(c, ","))
+    unsure = F.exists(F.slice("before", F.lit(1), F.size("before") - 1), lambda x: width(x) == width("header"))
+    known = found.agg(F.count(F.lit(1)).alias("n"), F.max(unsure).alias("unsure")).first()
+    return found if known["n"] == len(files) and not known["unsure"] else None
+
+
+def _weather_frames(data: DataFrame, layouts: list[str]) -> Iterator[DataFrame]:
     for header in sorted(layouts):
         names = [n.strip().lower() for n in _split_header(header)]
         ddl = ", ".join(f"{quoted(n)} STRING" for n in names)
