@@ -1,16 +1,19 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, found by PartEnum signatures.
 
 1. Each document gives the name of its set, a sketch of it, and its signatures (see `partenum`), packed by
-   ranges of their values. Equal sets near each other give their signatures once.
+   ranges of their values: 16 bytes each, signature and name, at any number of ranges. Equal sets near each other give
+   their signatures once. A signature that more than RUN sets of one packet share is known to be common there: its members
+   are dealt evenly, and its range gets one mark in their place, so that no range holds all owners of a frequent passage.
 2. Each range is sorted. Up to RUN sets that share a signature become candidate pairs. A signature that more sets
-   share is common: its text is a passage that many have. A set that has fewer common signatures than its
+   share, or that is marked, is common: its text is a passage that many have. A set that has fewer common signatures than its
    `slack` shares another one with every set it links to, so it needs no common ones. Only sets that are mostly
    made of common text are left; those that share a signature form candidate groups.
 3. Sketches (counts of shingles by hash) bound the number of differing shingles from below and drop pairs that cannot link.
 4. Candidate groups are joined exactly, on the whole sets. A group too large for one task is cut into blocks, and
    every two blocks meet in a task of their own. A group is left as soon as all its sets are linked.
 
-No link is lost, and no text is compared with more than those of its candidate group. Nothing but counts reaches the driver.
+No link is lost, and no text is compared with more than those of its candidate group; a group of B blocks is copied B
+times and meets in B (B + 1) / 2 tasks. Nothing but counts reaches the driver.
 
 Defined cases: null and empty texts have the empty set, which links with nothing; texts with fewer words than a shingle
 are one shingle; copies (also repeated rows) are linked; a null doc_id is passed over when the smallest id is
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from loadcurve.llm.common import slices, stored, without
 from loadcurve.llm.components import components
-from loadcurve.llm.partenum import NEAR, fingerprint, shingles, signatures
+from loadcurve.llm.partenum import NEAR, class_of, fingerprint, shingles, signatures
 
 #: Sets that share a signature and are paired with each other; beyond, the signature is common.
 RUN = 5
@@ -71,39 +74,48 @@ def linked(shared: int | np.ndarray, n: int, p: int | np.ndarray):
     return NEAR[1] * shared >= NEAR[0] * (n + p - shared)
 
 
-def may_link(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return NEAR[1] * np.minimum(n, p) >= NEAR[0] * np.maximum(n, p)
+def may_link(n: int, p: int) -> bool:
+    return NEAR[1] * min(n, p) >= NEAR[0] * max(n, p)
 
 
-_SENT = "range int, doc_id bigint, key bigint, n bigint, set bigint, sketch binary, signatures binary, owners binary, sets binary, sizes binary, tags binary"
-_FOUND = "kind int, doc_id bigint, key bigint, n bigint, a bigint, b bigint, tag int, slack int, sketch binary"
+_SENT = "range int, doc_id bigint, key bigint, n bigint, set bigint, sketch binary, slacks array<int>, signatures binary, names binary, common boolean"
+_FOUND = "kind int, doc_id bigint, key bigint, n bigint, a bigint, b bigint, sketch binary, slacks array<int>"
+#: In place of a set's name: the signature is common in some packet.
+MARK = np.iinfo(np.int64).min
+#: Instances of a set, by class of their signatures.
+CLASSES = 4
 
 
 def _table(ddl: str, columns: dict, rows: int) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     fields = [part.split() for part in ddl.split(", ")]
     arrays = [pa.array(columns[n], kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in fields]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
 def _send(ranges: int):
-    """Rows of documents, and packets of signatures with the sets that own them."""
+    """Rows of documents, and packets of signatures with the names of the sets that own them."""
 
-    def packet(made: list[tuple[np.ndarray, int, int, int, int]]):
-        values = np.concatenate([s for s, *_ in made])
-        owners = np.repeat(np.arange(len(made)), [len(s) for s, *_ in made])
+    def packet(made: list[tuple[np.ndarray, int]]):
+        values = np.concatenate([s for s, _ in made])
+        names = np.repeat(np.array([m[1] for m in made], np.int64), [len(s) for s, _ in made])
         order = np.argsort(values)
-        values, owners = values[order], owners[order]
-        names, sizes = np.array([m[1] for m in made], np.int64), np.array([m[2] for m in made], np.int32)
-        tags = np.array([m[3:] for m in made], np.int32)
+        values, names = values[order], names[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        lengths = np.diff(np.append(starts, len(values)))
+        many = lengths > RUN  # of one packet: the names are distinct
+        common = np.repeat(many, lengths)
+        if common.any():
+            yield _table(_SENT, {"range": [ranges + int(names[0] % (32 * ranges))], "signatures": [values[common].tobytes()], "names": [names[common].tobytes()], "common": [True]}, 1)
+            marks = values[starts[many]]
+            values, names = np.append(values[~common], marks), np.append(names[~common], np.full(len(marks), MARK))
+            order = np.argsort(values)
+            values, names = values[order], names[order]
         place = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        rows: dict[str, list] = {k: [] for k in ("range", "signatures", "owners", "sets", "sizes", "tags")}
         edges = np.flatnonzero(np.diff(place, prepend=-1))
-        for lo, hi in zip(edges, np.append(edges[1:], len(place)), strict=True):
-            own, at = np.unique(owners[lo:hi], return_inverse=True)
-            for k, v in zip(rows, (int(place[lo]), values[lo:hi], at.astype(np.uint32), names[own], sizes[own], tags[own]), strict=True):
-                rows[k].append(v if k == "range" else v.tobytes())
-        return _table(_SENT, rows, len(edges))
+        parts = list(zip(edges, np.append(edges[1:], len(place)), strict=True))
+        columns = {"signatures": [values[lo:hi].tobytes() for lo, hi in parts], "names": [names[lo:hi].tobytes() for lo, hi in parts]}
+        yield _table(_SENT, {"range": place[edges], "common": [False] * len(parts), **columns}, len(parts))
 
     def run(batches):
         made: list[tuple] = []
@@ -111,78 +123,89 @@ def _send(ranges: int):
         seen: set[int] = set()
         for batch in slices(batches):
             if len(seen) > SEEN:
+                yield from packet(made) if made else ()
+                made, waiting = [], 0
                 seen.clear()
-            names, sizes, sketches = [], [], []
+            names, sizes, sketches, slacks = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingles(text)
                 name = fingerprint(h)
                 names.append(name)
                 sizes.append(len(h))
                 sketches.append(sketch(h) if len(h) else None)
-                if len(h) and name not in seen:
+                found = signatures(h)
+                own = [-1] * CLASSES
+                for _, instance, slack in found:
+                    own[class_of(instance)] = slack
+                slacks.append(own)
+                if found and name not in seen:
                     seen.add(name)
-                    for values, instance, slack in signatures(h):
-                        made.append((values, name, len(h), instance, slack))
+                    for values, _, _ in found:
+                        made.append((values, name))
                         waiting += len(values)
                     if waiting >= PACKET:
-                        yield packet(made)
+                        yield from packet(made)
                         made, waiting = [], 0
             # By row and finely: copies are not dealt together, and few ranges of signatures do not make few tasks.
             place = [ranges + k % (32 * ranges) for k in batch.column(1).to_pylist()]
-            yield _table(_SENT, {"range": place, "doc_id": batch.column(0), "key": batch.column(1), "n": sizes, "set": names, "sketch": sketches}, len(names))
+            yield _table(_SENT, {"range": place, "doc_id": batch.column(0), "key": batch.column(1), "n": sizes, "set": names, "sketch": sketches, "slacks": slacks}, len(names))
         if made:
-            yield packet(made)
+            yield from packet(made)
 
     return run
 
 
 def _meet(batches):
     """Document rows as they are; candidate pairs; and the members of common signatures."""
-    values, names, sizes, tags = [], [], [], []
+    values, names = [], []
     for batch in batches:
         cols = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
         is_doc = pa.compute.is_valid(cols["set"])
         docs = batch.filter(is_doc)
         if docs.num_rows:
             own = {f: docs.column(i) for i, f in enumerate(docs.schema.names)}
-            yield _table(_FOUND, {"kind": [DOC] * docs.num_rows, "doc_id": own["doc_id"], "key": own["key"], "n": own["n"], "a": own["set"], "sketch": own["sketch"]}, docs.num_rows)
-        for row in batch.filter(pa.compute.invert(is_doc)).select(["signatures", "owners", "sets", "sizes", "tags"]).to_pylist():
-            at = np.frombuffer(row["owners"], np.uint32)
-            values.append(np.frombuffer(row["signatures"], np.uint64))
-            names.append(np.frombuffer(row["sets"], np.int64)[at])
-            sizes.append(np.frombuffer(row["sizes"], np.int32)[at])
-            tags.append(np.frombuffer(row["tags"], np.int32).reshape(-1, 2)[at])
+            kept = {"kind": [DOC] * docs.num_rows, "a": own["set"], **{c: own[c] for c in ("doc_id", "key", "n", "sketch", "slacks")}}
+            yield _table(_FOUND, kept, docs.num_rows)
+        for row in batch.filter(pa.compute.invert(is_doc)).select(["signatures", "names", "common"]).to_pylist():
+            part = np.frombuffer(row["signatures"], np.uint64), np.frombuffer(row["names"], np.int64)
+            if row["common"]:
+                yield _members(*part)
+            else:
+                values.append(part[0])
+                names.append(part[1])
     if not values:
         return
-    values, names, sizes, tags = map(np.concatenate, (values, names, sizes, tags))
+    values, names = map(np.concatenate, (values, names))
     order = np.lexsort((names, values))
-    values, names, sizes, tags = values[order], names[order], sizes[order], tags[order]
+    values, names = values[order], names[order]
     own = np.ones(len(values), bool)
     own[1:] = (values[1:] != values[:-1]) | (names[1:] != names[:-1])  # copies in other batches
-    values, names, sizes, tags = values[own], names[own], sizes[own], tags[own]
+    values, names = values[own], names[own]
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     lengths = np.diff(np.append(starts, len(values)))
+    marked = names[starts] == MARK  # the least name
     pairs = []
     for length in range(2, RUN + 1):
-        rows = starts[lengths == length]
+        rows = starts[(lengths == length) & ~marked]
         for i in range(length):
             for j in range(i + 1, length):
-                fit = may_link(sizes[rows + i], sizes[rows + j])
-                pairs.append(np.stack([names[rows + i][fit], names[rows + j][fit]], axis=1))
+                pairs.append(np.stack([names[rows + i], names[rows + j]], axis=1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     yield _table(_FOUND, {"kind": np.full(len(pairs), PAIR), "a": pairs[:, 0], "b": pairs[:, 1]}, len(pairs))
-    common = np.repeat(lengths > RUN, lengths)
+    common = np.repeat((lengths > RUN) | marked, lengths) & (names != MARK)
     if common.any():
-        yield _table(
-            _FOUND, {"kind": np.full(common.sum(), COMMON), "a": names[common], "b": values[common].astype(np.int64), "tag": tags[common, 0], "slack": tags[common, 1]},
-            int(common.sum()),
-        )
+        yield _members(values[common], names[common])
+
+
+def _members(values: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    return _table(_FOUND, {"kind": np.full(len(values), COMMON), "a": names, "b": values.astype(np.int64)}, len(values))
 
 
 def _near_sketches(batches):
     for batch in batches:
-        a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
-        keep = [least_difference(s, t) <= (n + p) * (NEAR[1] - NEAR[0]) // (NEAR[1] + NEAR[0]) for n, p, s, t in zip(na, nb, x, y, strict=True)]
+        _, _, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
+        most = (NEAR[1] - NEAR[0], NEAR[1] + NEAR[0])
+        keep = [may_link(n, p) and least_difference(s, t) <= (n + p) * most[0] // most[1] for n, p, s, t in zip(na, nb, x, y, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -255,15 +278,18 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(1, int(total) // (BYTES_A_SIGNATURE * RANGE))
     found = stored(source.mapInArrow(_send(ranges), _SENT).repartition(ranges, "range").mapInArrow(_meet, _FOUND))
 
-    members = found.where(F.col("kind") == DOC).select("doc_id", "key", "n", F.col("a").alias("set"), "sketch")
-    sketches = members.where("n > 0").select("set", "n", "sketch").dropDuplicates(["set"])
+    members = found.where(F.col("kind") == DOC).select("doc_id", "key", "n", F.col("a").alias("set"), "sketch", "slacks")
+    known = members.where("n > 0").select("set", "n", "sketch", "slacks").dropDuplicates(["set"])
+    sketches = known.drop("slacks")
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sketches.toDF(side, f"n_{side}", f"sketch_{side}"), side)
     near = pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near_sketches, "a bigint, b bigint")
 
-    common = found.where(F.col("kind") == COMMON).select("a", F.col("b").alias("signature"), "tag", "slack")
-    dependent = common.groupBy("a", "tag").agg(F.count("*").alias("n"), F.max("slack").alias("slack")).where("n > slack")
+    # a copy of a set may stand in several packets, so its members are made distinct
+    common = found.where(F.col("kind") == COMMON).select("a", F.col("b").alias("signature"), F.expr("cast(b & 3 as int)").alias("tag")).distinct()
+    counts = common.groupBy("a", "tag").agg(F.count("*").alias("n"))
+    dependent = counts.join(known.select(F.col("set").alias("a"), "slacks"), "a").where(F.col("n") > F.get("slacks", F.col("tag")))
     held = stored(common.join(dependent.select("a", "tag"), ["a", "tag"], "left_semi").select("a", "signature"))
     stars = held.join(held.groupBy("signature").agg(F.min("a").alias("b")), "signature").select("a", "b")
 
@@ -273,7 +299,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = stored(groups.join(blocks, "group"))
     whole = placed.agg(F.sum("total")).first()[0]
     if whole is None:
-        return members.drop("sketch"), spark.createDataFrame([], "set bigint, root bigint")
+        return members.drop("sketch", "slacks"), spark.createDataFrame([], "set bigint, root bigint")
     shingle_total = blocks.agg(F.sum("total")).first()[0]
     bundles = max(1, int(shingle_total) // BLOCK)
 
@@ -289,7 +315,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     dealt = sets.withColumn("block", block).withColumn("other", other).withColumn("meets", meets).select("meets", "group", "a", "shingles")
     edges = stored(dealt.groupBy("meets").applyInPandas(_link, "a bigint, b bigint"))
-    return members.drop("sketch"), stored(components(edges)).toDF("set", "root")
+    return members.drop("sketch", "slacks"), stored(components(edges)).toDF("set", "root")
 
 
 def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:

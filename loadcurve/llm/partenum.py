@@ -12,6 +12,9 @@ have an element. `slack` is what is left of this for the largest d that a set ca
 its own band it may be the smaller of a pair, with a partner of up to 4/3 of its size.
 Where slack is not negative, one shared signature is certain, and `slack` more are; sets without it also give a
 signature for each element, in an instance of their own, where the same count holds.
+
+The two lowest bits of a signature are the class of its instance: the parity of the band, and whether it is of elements. Of the
+up to four instances that a set takes part in, the class tells which one a signature is of, so it travels as bare 8 bytes.
 """
 
 from __future__ import annotations
@@ -76,6 +79,15 @@ def fingerprint(h: np.ndarray) -> int:
         return int(mix(np.array([total]))[0].astype(np.int64))
 
 
+def class_of(instance: int) -> int:
+    """0 to 3: differs between the instances of one set, and is the same for all sets of an instance."""
+    return (instance & 1) + 2 * (instance >= 1 << 8)
+
+
+def _classed(values: np.ndarray, instance: int) -> np.ndarray:
+    return (values & ~np.uint64(3)) | np.uint64(class_of(instance))
+
+
 def signatures(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     """(signatures, instance, slack) of each instance that the set takes part in."""
     p = len(h)
@@ -102,10 +114,10 @@ def signatures(h: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
             some = filled[:, choice].any(axis=1)
             place = (np.flatnonzero(some) * comb(SECOND, CHOSEN) + k + (instance << 40)).astype(np.uint64)
             made.append(mix(sums[some][:, choice].sum(axis=1, dtype=np.uint64) + place * _M3))
-        made = np.concatenate(made)
+        made = _classed(np.concatenate(made), instance)
         slack = len(made) - spoiled * most - 1
         out.append((made, instance, slack))
         if slack < 0:
             alone = mix(h + mix(np.array([instance + 1], np.uint64)))
-            out.append((alone, instance + (1 << 8), p - most - 1))
+            out.append((_classed(alone, instance + (1 << 8)), instance + (1 << 8), p - most - 1))
     return out
