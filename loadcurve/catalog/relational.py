@@ -14,8 +14,11 @@ from loadcurve.operators import bins, joins, normalize, reshape, sampling
 from loadcurve.operators.holidays import calendar_dimension
 from loadcurve.plans import diagnostics as diag
 from loadcurve.plans import features as feat
+from loadcurve.plans.models import column_scorer
 from loadcurve.plans.splits import filter_split, quantile_cutoffs
+from loadcurve.session import scratch_path
 from loadcurve.sources import fixtures as fx
+from loadcurve.streaming import next_hour
 
 MODELS = ["naive", "mean_24h", "lag_24h"]
 _MODEL_COLUMNS = {"naive": "lag_1h", "mean_24h": "rollmean_24h", "lag_24h": "lag_24h"}
@@ -612,6 +615,28 @@ def lags_by_hours(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(lagged.select("building_name", "full_timestamp", *columns), *columns)
 
 
+_STREAMED = ["lag_1h", "lag_24h", "rollmean_24h", "temp_lag_1h", "temp_lag_24h"]
+
+
+@query("stream_next_hour", sql(f"""
+SELECT region, building_name, full_timestamp AS timestamp_last, full_timestamp + INTERVAL 1 HOUR AS timestamp_next,
+       {', '.join(sql_r6(c, c) for c in _STREAMED)}, {sql_r6('0.6e0 * lag_1h + 0.4e0 * rollmean_24h', 'y_pred_next')}
+FROM lagged WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rollmean_24h IS NOT NULL
+"""))
+def streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts by formula for the hour after every reading, made as the readings arrive as a stream of files, from state."""
+    scaled = normalize.normalize_minmax_entity(fx.unified(spark, sf), "usage_kwh_norm", "usage_pb", ["region", "building_name"])
+    source, target, state = (scratch_path(spark, f"stream_{name}") for name in ("in", "out", "state"))
+    columns = ["region", "building_name", "full_timestamp", "usage_pb", "apparent_temperature_norm"]
+    scaled.select(*columns).write.parquet(source)
+    arriving = spark.readStream.schema(scaled.select(*columns).schema).parquet(source)
+    lagged = next_hour.stream_lags(arriving, usage="usage_pb")
+    scored = next_hour.stream_next_hour(lagged, column_scorer(F.expr("0.6D * lag_1h + 0.4D * rollmean_24h")))
+    scored.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(target).awaitTermination()
+    out = spark.read.schema(scored.schema).parquet(target)
+    return rounded(out.select("region", "building_name", "timestamp_last", "timestamp_next", *_STREAMED, "y_pred_next"), *_STREAMED, "y_pred_next")
+
+
 @query("temp_lag_features", _lag_sql("temp_lag_1h", "temp_lag_24h"))
 def temp_lags(spark: SparkSession, sf: str) -> DataFrame:
     return _lag_query(spark, sf, "temp_lag_1h", "temp_lag_24h")
