@@ -29,7 +29,13 @@ from loadcurve.llm.common import stored, without
 #: What a candidate is, and which words next to one speak for or against it.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 SPACE = r"[\x20\x09-\x0D]+"
-KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
+#: A key word starts a word, a part of one (DB_TOKEN, dbToken), or is one for passwords; and it ends there, but for a plural s.
+KEY_WORDS = (
+    r"((?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:token|secret|api.?key|access.?key|private.?key|auth(?:.?(?:key|token))?|authorization|credential|bearer)"
+    r"s?(?![a-z])(?!(?<=[A-Z])[A-Z])|(?i:passw(?:or)?ds?|passphrase|pwd)(?![a-z])(?!(?<=[A-Z])[A-Z]))"
+)
+#: Words that say of a value next to them that it names or checks something.
+NAMING_WORDS = r"(?i)(?<![a-z])(checksum|sha-?\d*|md5|digest|commit|revision|uuid|guid|etag|hash|fingerprint|build|version|isbn|doi|id)s?(?![a-z])"
 #: A value (group 2) assigned or quoted right after a key word: to the closing quote, or to the space less closing marks.
 VALUE = r"""(?<=")[^\s"]{8,}|(?<=')[^\s']{8,}|(?<=`)[^\s`]{8,}|(?<!["'`])[^\s"'`]\S{6,}[^\s"'`,;.)\]}>]"""
 GIVEN = KEY_WORDS + r"""[^\s=:"'`]{0,40}["'`)\]]{0,3}\s*+(?:[:=]+>?\s*+[(\[{]*+["'`]?+|["'`])(""" + VALUE + ")"
@@ -50,6 +56,7 @@ CUTOFF = 0.5
 FEATURES = [
     "length", "kind_changes", "case_changes", "digit_share", "capital_share", "distinct_share", "dictionary_share",
     "path_marks", "path_harmless", "key_near", "assigned", "quoted", "words_near", "mark_share", "in_address",
+    "naming_near",
 ]
 
 
@@ -90,6 +97,7 @@ def _features(value: Column, before: Column, word: Column, neighbours: list[Colu
         sum((flag(F.lower(n).rlike(rf"^(?:{known})\W?$")) for n in neighbours), F.lit(0.0)),
         count("[^A-Za-z0-9+/_=-]") / size,
         flag(before.rlike("://[^/:@]*:$")),
+        flag(near.rlike(NAMING_WORDS)),
     ]
     return [c.cast("double").alias(n) for c, n in zip(columns, FEATURES, strict=True)]
 
@@ -151,28 +159,33 @@ def _of_words(words: Column, known: list[str], path: str | None) -> Column:
 
 def weak_labels(f: Column) -> Column:
     """1 for a mixed value that a key word is assigned and for a password in an address, 0 for one of letters or digits
-    only or made of dictionary words, or a plain short word after a key word; else null."""
+    only or made of dictionary words, one next to a word that names or checks (and to no key word), or a plain short word
+    after a key word; else null."""
     mixed = (f["digit_share"] >= 0.1) & (f["digit_share"] < 1) & (f["kind_changes"] >= 0.05) & (f["length"] >= 20)
     named = (f["key_near"] == 1) & (f["assigned"] == 1)
     plain = (f["digit_share"] == 0) | (f["digit_share"] == 1) | ((f["dictionary_share"] >= 0.5) & ~named)
     given = (f["length"] < 20) & (f["key_near"] == 1) & ((f["assigned"] == 1) | (f["quoted"] == 1))
     short = given & (f["digit_share"] > 0) & (f["digit_share"] < 1) & (f["kind_changes"] > 0)
     a_word = given & (f["digit_share"] == 0) & (f["mark_share"] == 0) & (f["path_marks"] == 0) & (f["case_changes"] * f["length"] <= 1)
-    return F.when((mixed & named) | short | (f["in_address"] == 1), 1.0).when((plain & ~named & ~given) | a_word, 0.0)
+    return F.when((mixed & named) | short | (f["in_address"] == 1), 1.0).when((plain & ~named & ~given) | a_word | ((f["naming_near"] == 1) & (f["key_near"] == 0)), 0.0)
 
 
 def fit(found: DataFrame, most: int = FIT_ROWS, seed: int = 11):
-    """A forest for findings with the columns `f` and `label` (null: not labelled); None without both labels."""
-    rows = found.where("label is not null").select("label", "f.*")
+    """A forest for findings with the columns `f` and `label` (null: not labelled); None without both labels.
+
+    Of more than `most` of a label those are taken whose hash of features and, if there is one, of the column `place` is small.
+    """
+    place = [F.col(c) for c in ("place",) if c in found.columns]
+    rows = found.where("label is not null").select("label", F.xxhash64(F.lit(seed), "f", *place).alias("__spread"), "f.*")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     space = 1 << 30
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(space))
+    spread = F.pmod(F.col("__spread"), F.lit(space))
     wanted = F.lit(False)
     for label, n in counts.items():
         wanted = wanted | ((F.col("label") == label) & (spread < int(space * min(1.0, most / n))))
-    sample = stored(rows.where(wanted).coalesce(4))
+    sample = stored(rows.where(wanted).repartition(1).sortWithinPartitions(*rows.columns).drop("__spread"))  # at most some 2 x `most` rows
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(vectors.select("label", "features"))
 
@@ -214,7 +227,7 @@ def scan(docs: DataFrame, path: str | None = None, labelled: DataFrame | None =
     docs = with_words(without(docs, ["findings"]))
     found = findings(known, path)
     if labelled is None:
-        rows = docs.select(F.explode(found).alias("x")).select("x.f").withColumn("label", weak_labels(F.col("f")))
+        rows = docs.select(F.explode(found).alias("x")).select("x.f", F.xxhash64("x.value", "x.word", "x.part").alias("place")).withColumn("label", weak_labels(F.col("f")))
         labelled = stored(rows.where("label is not null"))
     forest = fit(labelled)
 

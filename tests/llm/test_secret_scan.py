@@ -108,3 +108,37 @@ def test_short_and_marked_values_after_key_words(spark, corpus):
     for i, (t, v) in enumerate(GIVEN[:-1]):
         assert clean[i] == f"the {t.replace(v, '[secret]')} ion"
     assert "postgres" not in clean[len(GIVEN) - 1] and [clean[len(GIVEN) + k] for k in range(3)] == texts[len(GIVEN) :]
+
+
+#: Lines that hold no secret, though a key word stands in a longer word, or a value only names or checks something.
+HARMLESS = [
+    "author: Smith2020", 'authority="Ofgem2019a"', "tokenizer: BertTokenizer2", "secretary: Johnson1", 'author="J.Smith-1999"', "TOKENIZER=BertTokenizer2",
+    "compassword1 x", "authentic: Vermeer1665", "Secretariat=Brussels1958", "see commit {hex}", "checksum {hex}", "sha256: {hex}", "uuid {hex}", "etag {hex}",
+]
+SECRET = [
+    'password = "{mixed}"', "dbToken={mixed}", "DB_TOKEN: {mixed}", "auth_token={mixed}", "auth: {mixed}", "Authorization: {mixed}", "API-KEY={mixed}",
+    "mypassword={mixed}", 'secrets = "{mixed}"', "credentials: {mixed}", "accessKey={mixed}", "ftp://me:{mixed}@host/x",
+]
+
+
+def test_precision_and_recall_on_planted_lines(spark, corpus):
+    docs, _, planted = corpus
+    rng = random.Random(8)
+
+    def filled(line):
+        mixed = "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(12, 30))) + "7x"
+        return line.replace("{hex}", _hex(rng)).replace("{mixed}", mixed)
+
+    lines = [(filled(line), True) for line in SECRET * 12] + [(filled(line), False) for line in HARMLESS * 12]
+    texts = [f"{prose(rng, 12)} {line} {prose(rng, 12)}" for line, _ in lines]
+    rows = sc.secrets(docs.unionAll(documents(spark, texts, first=1000))).where("doc_id >= 1000 and is_secret").collect()
+    found = {r.doc_id - 1000 for r in rows}
+    true = {i for i, (_, secret) in enumerate(lines) if secret}
+    assert len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.95 * len(found), sorted({lines[i][0] for i in found ^ true})
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark, corpus, monkeypatch):
+    docs, _, _ = corpus
+    monkeypatch.setattr(sc.fit, "__defaults__", (20, 11))
+    scores = [sorted((r.doc_id, r.word, r.part, r.score) for r in sc.secrets(docs.repartition(n)).collect()) for n in (1, 6)]
+    assert scores[0] == scores[1]
