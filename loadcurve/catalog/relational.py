@@ -12,6 +12,8 @@ from loadcurve.functions import timefns
 from loadcurve.operators import aggregates as agg
 from loadcurve.operators import bins, joins, normalize, reshape, sampling
 from loadcurve.operators.holidays import calendar_dimension
+from loadcurve.operators.onerow import attach_row
+from loadcurve.plans import appended
 from loadcurve.plans import diagnostics as diag
 from loadcurve.plans import features as feat
 from loadcurve.plans.models import column_scorer
@@ -637,6 +639,40 @@ def streamed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("region", "building_name", "timestamp_last", "timestamp_next", *_STREAMED, "y_pred_next"), *_STREAMED, "y_pred_next")
 
 
+# The readings come in three parts; a building's scale is that of the part it first comes with.
+_PART_DAYS = (12, 13)
+_PART = "CASE WHEN full_timestamp < first + INTERVAL {0} DAY THEN 1 WHEN full_timestamp < first + INTERVAL {1} DAY THEN 2 ELSE 3 END"
+_APPENDED = ["lag_1h", "lag_24h", "rollmean_24h", "temp_lag_24h", "y_next"]
+
+
+@query("append_features", sql(f"""
+SELECT region, building_name, full_timestamp, {', '.join(sql_r6(c, c) for c in _APPENDED)} FROM (
+  SELECT region, building_name, full_timestamp, lag(u, 1) OVER w AS lag_1h, lag(u, 24) OVER w AS lag_24h, lead(u, 1) OVER w AS y_next,
+         lag(apparent_temperature_norm, 24) OVER w AS temp_lag_24h,
+         CASE WHEN count(u) OVER d = 24 THEN avg(u) OVER d END AS rollmean_24h
+  FROM (
+    SELECT p.*, (usage_kwh_norm - low) / greatest(high - low, 1e-6) AS u
+    FROM (SELECT *, {_PART.format(*_PART_DAYS)} AS part FROM unified, (SELECT min(full_timestamp) AS first FROM unified)) p
+    JOIN (
+      SELECT region, building_name, min(usage_kwh_norm) AS low, max(usage_kwh_norm) AS high FROM (
+        SELECT *, min(part) OVER (PARTITION BY region, building_name) AS came
+        FROM (SELECT *, {_PART.format(*_PART_DAYS)} AS part FROM unified, (SELECT min(full_timestamp) AS first FROM unified)))
+      WHERE part = came GROUP BY 1, 2) l USING (region, building_name))
+  WINDOW w AS (PARTITION BY region, building_name ORDER BY full_timestamp),
+         d AS (PARTITION BY region, building_name ORDER BY full_timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rollmean_24h IS NOT NULL AND y_next IS NOT NULL
+"""))
+def grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table after three appends, each from the hours that came and the last day before them."""
+    readings, path = fx.unified(spark, sf), scratch_path(spark, "appended")
+    first = readings.agg(F.min("full_timestamp").alias("first"))
+    dated = attach_row(readings, first, "__f")
+    part = F.expr(_PART.format(*_PART_DAYS).replace("first", "__f.first"))
+    for k in (1, 2, 3):
+        appended.append_features(dated.where(part == k).drop("__f"), path)
+    return rounded(appended.read_features(spark, path).select("region", "building_name", "full_timestamp", *_APPENDED), *_APPENDED)
+
+
 @query("temp_lag_features", _lag_sql("temp_lag_1h", "temp_lag_24h"))
 def temp_lags(spark: SparkSession, sf: str) -> DataFrame:
     return _lag_query(spark, sf, "temp_lag_1h", "temp_lag_24h")

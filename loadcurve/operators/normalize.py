@@ -75,7 +75,13 @@ def normalize_minmax_entity(
     `fit_where` limits the rows the limits come from (for example the training period). The limits
     are one row per entity, combined before the shuffle and joined back as a sized lookup.
     """
-    limits = entity_limits(df, column, keys, fit_where)
+    return scale_by_limits(df, entity_limits(df, column, keys, fit_where), column, out, keys, floor=floor)
+
+
+def scale_by_limits(
+    df: DataFrame, limits: DataFrame, column: str, out: str, keys: Sequence[str], *, floor: float = ENTITY_FLOOR
+) -> DataFrame:
+    """Scale a column by limits as `entity_limits` gives them."""
     joined = join_lookup(df, limits, keys, "left")
     return joined.withColumn(
         out, _scaled(F.col(quoted(column)), F.col("__low"), F.col("__high"), floor, None)

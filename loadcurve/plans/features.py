@@ -125,14 +125,7 @@ def build_features(
     reach earlier features. `regions` is a stored region dimension. Pass `unique_hours=True` when
     no building has two rows in one hour; otherwise series lengths are counted first.
     """
-    numeric = ["usage_kwh_norm", "apparent_temperature_norm", "precipitation"]
-    flags = ["is_day", "is_holiday", "is_weekend"]
-    coerced = {c: coerce_numeric(readings, c) for c in numeric if c in readings.columns}
-    coerced |= {c: coerce_flag(readings, c) for c in flags if c in readings.columns}
-    coerced["region"] = region_default(F.col("region") if "region" in readings.columns else None)
-    if not isinstance(readings.schema["full_timestamp"].dataType, T.TimestampNTZType):
-        coerced["full_timestamp"] = coerce_timestamp(readings, "full_timestamp")
-    typed = readings.withColumns(coerced).dropna(subset=["building_name", "full_timestamp", "usage_kwh_norm", "apparent_temperature_norm"])
+    typed = typed_readings(readings)
     keys = entity_keys(typed, region_in_key)
     region_ids = region_dimension(typed) if regions is None else regions
     fit_where = None
@@ -141,7 +134,23 @@ def build_features(
     scaled = normalize_minmax_entity(
         typed, "usage_kwh_norm", "usage_pb", keys, fit_where=fit_where
     ).withColumnRenamed("usage_kwh_norm", "usage_kwh_norm_orig")
-    lagged = add_lags(scaled, keys, mode=mode, **series_options)
+    return finished_features(add_lags(scaled, keys, mode=mode, **series_options), region_ids, hemisphere)
+
+
+def typed_readings(readings: DataFrame) -> DataFrame:
+    """Readings with numbers, flags, region and time of the right types; rows without what features need are left out."""
+    numeric = ["usage_kwh_norm", "apparent_temperature_norm", "precipitation"]
+    flags = ["is_day", "is_holiday", "is_weekend"]
+    coerced = {c: coerce_numeric(readings, c) for c in numeric if c in readings.columns}
+    coerced |= {c: coerce_flag(readings, c) for c in flags if c in readings.columns}
+    coerced["region"] = region_default(F.col("region") if "region" in readings.columns else None)
+    if not isinstance(readings.schema["full_timestamp"].dataType, T.TimestampNTZType):
+        coerced["full_timestamp"] = coerce_timestamp(readings, "full_timestamp")
+    return readings.withColumns(coerced).dropna(subset=["building_name", "full_timestamp", "usage_kwh_norm", "apparent_temperature_norm"])
+
+
+def finished_features(lagged: DataFrame, region_ids: DataFrame, hemisphere: str = "south") -> DataFrame:
+    """Feature rows from readings with lags: complete ones, with calendar columns, in the order of the feature table."""
     complete = lagged.dropna(
         subset=["lag_1h", "lag_24h", "rollmean_24h", K.TARGET, "apparent_temperature_norm"]
     )
