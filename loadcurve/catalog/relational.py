@@ -18,7 +18,8 @@ from loadcurve.plans import diagnostics as diag
 from loadcurve.plans import features as feat
 from loadcurve.plans.models import column_scorer
 from loadcurve.plans.splits import filter_split, quantile_cutoffs
-from loadcurve.session import scratch_path
+from loadcurve.session import cut_lineage, scratch_path
+from loadcurve.sources import bucketed
 from loadcurve.sources import fixtures as fx
 from loadcurve.streaming import next_hour
 
@@ -121,6 +122,24 @@ def preds_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_merged(spark, sf), "y_true", "y_pred", "apparent_temperature_norm", "precipitation")
 
 
+@query("join_bucketed", sql(f"""
+SELECT region, building_name, full_timestamp, {sql_r6('y_pred', 'y_pred')}, {sql_r6('l.lag_24h', 'lag_24h')}, {sql_r6('l.rollmean_24h', 'rollmean_24h')}
+FROM preds JOIN lagged l USING (region, building_name, full_timestamp)
+"""))
+def joined_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Lags of stored readings joined to stored predictions, both in buckets by building: without a shuffle after the writing."""
+    scaled = normalize.normalize_minmax_entity(fx.unified(spark, sf), "usage_kwh_norm", "usage_pb", ["region", "building_name"])
+    paths = [scratch_path(spark, name) for name in ("bucketed_usage", "bucketed_preds")]
+    for rows, path in zip((scaled, fx.predictions(spark, sf)), paths, strict=True):
+        bucketed.sink_bucketed(rows, path, 16)
+    usage, preds = (bucketed.open_bucketed(spark, path) for path in paths)
+    with bucketed.joined_by_bucket(spark):
+        lagged = feat.add_lags(usage, ["region", "building_name"], unique_hours=True)
+        out = joins.join_preds_features(preds, lagged, ["lag_24h", "rollmean_24h"])
+        out = cut_lineage(out)
+    return rounded(out.select("region", "building_name", "full_timestamp", "y_pred", "lag_24h", "rollmean_24h"), "y_pred", "lag_24h", "rollmean_24h")
+
+
 @query("join_building_region", sql(f"""
 SELECT m.building_name, {sql_r6('mae', 'mae')}, g.region FROM building_mae m
 LEFT JOIN (SELECT building_name, min(region) AS region FROM features GROUP BY 1) g USING (building_name)
