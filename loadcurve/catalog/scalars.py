@@ -9,7 +9,7 @@ from loadcurve import constants as K
 from loadcurve.catalog.ctes import sql
 from loadcurve.catalog.registry import query, r6, rounded, sql_r6
 from loadcurve.functions import columns as cols
-from loadcurve.functions import timefns
+from loadcurve.functions import timefns, timeformats
 from loadcurve.functions import values as vals
 from loadcurve.functions.coerce import (
     coerce_flag, coerce_numeric, coerce_timestamp, downcast_types, parse_compact_date,
@@ -85,6 +85,20 @@ def flag(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("event_id", coerce_flag(df, "flag").alias("flag"))
 
 
+@query("infer_timestamp_formats", """
+SELECT event_id, user_id % 4 AS file, date_trunc('minute', ts) AS ts FROM events
+""")
+def inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of four files of other formats, among them day-first and month-first, each read as its own values tell."""
+    file = F.col("user_id") % 4
+    shown = ["yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm", "dd.MM.yyyy HH:mm"]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(shown):
+        text = F.when(file == i, F.date_format("ts", form)).otherwise(text)
+    rows = _events(spark, sf).select("event_id", file.alias("file"), text.alias("ts"))
+    return timeformats.coerce_inferred(rows, "ts", ["file"])
+
+
 @query("coerce_timestamp", """
 SELECT event_id, date_trunc(CASE event_id % 3 WHEN 0 THEN 'second' ELSE 'minute' END, ts) AS ts
 FROM events WHERE event_id % 3 <> 2
