@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loadcurve.llm import near_join as nj
@@ -224,3 +225,43 @@ def test_short_texts_and_their_supersets_are_linked(spark):
     texts = dict(enumerate(texts))
     got = {r.doc_id: r.component_id for r in nj.near_duplicates(documents(spark, list(texts.values()))).collect()}
     assert got == plain_components(texts)[0]
+
+
+def _sent(texts, ranges):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "key", "text"])
+    return [row for out in nj._send(ranges)([batch]) for row in out.select(["range", "signatures", "names", "common"]).to_pylist() if row["signatures"] is not None]
+
+
+@pytest.mark.parametrize("ranges", [1, 63, 4000])
+def test_bytes_of_a_signature_do_not_grow_with_the_ranges(ranges):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(5, 400), 6) for _ in range(60)]
+    rows = _sent(texts, ranges)
+    made = sum(len(v) for t in texts for v, _, _ in pe.signatures(pe.shingles(t)))
+    assert sum(len(r["signatures"]) + len(r["names"]) for r in rows) <= 16 * made
+    assert sum(len(r["names"]) for r in rows) == sum(len(r["signatures"]) for r in rows)
+
+
+def test_frequent_signatures_leave_one_mark_in_their_range():
+    rng = random.Random(4)
+    passage = prose(rng, 300, 9)
+    rows = _sent([passage + " " + prose(rng, 3) for _ in range(200)], 7)
+    sent = np.concatenate([np.frombuffer(r["signatures"], np.uint64) for r in rows if not r["common"]])
+    assert np.unique(sent, return_counts=True)[1].max() <= nj.RUN
+    assert any(r["common"] and r["range"] >= 7 for r in rows)
+
+
+@pytest.mark.parametrize("packet", [4_000, 60_000])
+def test_components_where_a_passage_is_frequent(spark, monkeypatch, packet):
+    """Marks of some packets, names of others, copies in several packets: the links are those of brute force."""
+    monkeypatch.setattr(nj, "BYTES_A_SIGNATURE", 1)
+    monkeypatch.setattr(nj, "RANGE", 9000)
+    monkeypatch.setattr(nj, "PACKET", packet)
+    rng = random.Random(7)
+    passage = prose(rng, 60, 9)
+    texts = [f"{passage} {prose(rng, rng.randrange(1, 40), 9)}" for _ in range(60)]
+    texts += [edited(rng, t, 2) for t in texts[::4]] + texts[::7] + [prose(rng, 50, 9) for _ in range(20)] + [passage] * 9
+    rng.shuffle(texts)
+    want, _ = plain_components(dict(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in nj.near_duplicates(documents(spark, texts).repartition(4)).collect()}
+    assert got == want and len(set(want.values())) > 20
