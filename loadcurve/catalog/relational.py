@@ -11,11 +11,13 @@ from loadcurve.catalog.registry import ORACLES, query, r6, rounded, sql_r6
 from loadcurve.functions import timefns
 from loadcurve.operators import aggregates as agg
 from loadcurve.operators import bins, joins, normalize, reshape, sampling
+from loadcurve.operators.brackets import bracketed_quantiles
 from loadcurve.operators.holidays import calendar_dimension
 from loadcurve.operators.onerow import attach_row
 from loadcurve.plans import appended
 from loadcurve.plans import diagnostics as diag
 from loadcurve.plans import features as feat
+from loadcurve.plans import profile_parts
 from loadcurve.plans.models import column_scorer
 from loadcurve.plans.splits import filter_split, quantile_cutoffs
 from loadcurve.session import cut_lineage, scratch_path
@@ -233,6 +235,19 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return agg.profile_dataset(fx.features(spark, sf))
 
 
+@query("profile_appended", sql("""
+SELECT region, count(*) AS n_rows, count(DISTINCT building_name) AS n_buildings,
+       min(full_timestamp) AS time_start, max(full_timestamp) AS time_end
+FROM features GROUP BY ROLLUP (region)
+"""))
+def appended_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile merged from one stored part for each split, as if the splits had come one after the other."""
+    path, rows = scratch_path(spark, "profile"), _split_features(spark, sf)
+    for part in ("train", "val", "test"):
+        profile_parts.store_part(rows.where(F.col("split") == part), path, part)
+    return profile_parts.merged_profile(spark, path)
+
+
 _MISSING_SQL = """
 SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, ts FROM events
@@ -457,6 +472,15 @@ def box(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "q1", "median", "q3", "whisker_lo", "whisker_hi")
 
 
+@query("bracketed_quartiles", sql(f"""
+SELECT region, hour, {_quartile_sql('usage_pb')} FROM features GROUP BY 1, 2
+"""))
+def sketched_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quartiles of usage by region and hour, with sketches that bracket them."""
+    out = bracketed_quantiles(fx.features(spark, sf), "usage_pb", [0.25, 0.5, 0.75], ["region", "hour"], names=["q1", "median", "q3"])
+    return out.select("region", "hour", "q1", "median", "q3")
+
+
 @query("error_box_by", sql(f"""
 WITH e AS (SELECT season, abs(y_true - y_pred) AS abs_err FROM merged)
 SELECT season, {sql_r6('q1', 'q1')}, {sql_r6('median', 'median')}, {sql_r6('q3', 'q3')},

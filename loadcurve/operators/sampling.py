@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from loadcurve.functions.columns import entity_keys, quoted
 from loadcurve.operators.aggregates import metric_mae_by_entity
-from loadcurve.operators.ranks import value_ranks
 from loadcurve.operators.series import with_positions
-from loadcurve.operators.sized import join_lookup
-from loadcurve.session import cut_lineage
 
 # 13 hex digits of the digest: 52 bits, exact as a double too.
 _HASH_DIGITS = 13
 _HASH_RANGE = float(16**_HASH_DIGITS)
 _SALTS = 32
+# Leading bits of the hash by which the rows of a split are counted first.
+_CELL_BITS = 20
 
 
 def sample_hash(keys: Sequence[str], seed: int) -> Column:
@@ -36,42 +35,51 @@ def sample_split_cap(
 ) -> DataFrame:
     """At most `caps[split]` rows of each split, spread evenly over all keys.
 
-    The rows with the lowest hashes are kept. The hash limit of a split is found by rank among a
-    preselected share of its rows, which grows until it holds the cap. Rows of one key share a hash;
-    of those at the limit as many are kept as there is room for.
+    The rows with the lowest hashes are kept. One aggregate counts the rows of each split by the leading bits of the hash, a
+    second one those of the cell that the cap falls into by the whole hash; both limits are one row a split. Rows of one key share
+    a hash; of those at the limit as many are kept as there is room for.
     """
     hashed = df.where(F.col(split).isin(list(caps))).withColumn("__hash", sample_hash(keys, seed))
-    row = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
-    cap = F
-    for name, rows in caps.items():
-        cap = cap.when(F.col(split) == name, F.lit(int(rows)))
-    counts = cut_lineage(hashed.groupBy(split).agg(F.count(F.lit(1)).alias("__rows")))
-    wanted = {r[split]: min(caps[r[split]], r["__rows"]) for r in counts.collect()}  # one for each split
-    times = 1.5
-    while True:
-        share = (cap * times + 1000) / F.col("__rows")
-        near = join_lookup(hashed.select(split, "__hash"), counts, [split]).where(
-            F.col("__hash") < share * F.lit(_HASH_RANGE)
-        )
-        held = {r[split]: r["n"] for r in near.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(held.get(name, 0) >= rows for name, rows in wanted.items()):
-            break
-        times *= 8
-    ranks = value_ranks(near, "__hash", [split], rows=max(1, sum(held.values())))
-    fits = F.col("before") + F.col("n") <= cap
-    limits = ranks.groupBy(split).agg(
-        F.max(F.when(fits, F.col("value"))).alias("__limit"),
-        F.min(F.when(~fits, F.struct("value", (cap - F.col("before")).alias("room")))).alias("__next"),
+    cell = F.shiftright("__hash", 4 * _HASH_DIGITS - _CELL_BITS)
+    crossed = _crossing(hashed.select(split, cell.alias("value")), split, caps)
+    in_cell = F.lit(False)
+    for name, (value, _) in crossed.items():
+        in_cell = in_cell | ((F.col(split) == name) & (cell == value))
+    limits = _crossing(
+        hashed.where(in_cell).select(split, F.col("__hash").alias("value")), split, {name: room for name, (_, room) in crossed.items()}
     )
-    placed = join_lookup(hashed, limits, [split]).withColumn("__row", row)
-    below = placed.where(F.col("__hash") <= F.coalesce("__limit", F.lit(-1)))
+    below, room, full = F.lit(True), F.lit(0), F.lit(False)
+    for name, (value, left) in limits.items():
+        mine = F.col(split) == name
+        below = below & (~mine | (F.col("__hash") < value))
+        full = full | (mine & (F.col("__hash") == value))
+        room = F.when(mine, left).otherwise(room)
+    kept = hashed.where(below).drop("__hash")
+    if not any(left for _, left in limits.values()):
+        return kept
     # Rows of the key at the limit: first some of each partition, then some of these.
-    at_limit = placed.where((F.col("__hash") == F.col("__next.value")) & (F.col("__next.room") > 0))
-    at_limit = at_limit.withColumn("__part", F.spark_partition_id())
+    row = F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
+    at_limit = hashed.where(full & (room > 0)).withColumns({"__row": row, "__part": F.spark_partition_id()})
     for by in ([split, "__part"], [split]):
         ranked = F.row_number().over(Window.partitionBy(*by).orderBy("__row"))
-        at_limit = at_limit.withColumn("__rank", ranked).where(F.col("__rank") <= F.col("__next.room"))
-    return below.unionByName(at_limit.drop("__part", "__rank")).drop("__hash", "__limit", "__next", "__row")
+        at_limit = at_limit.withColumn("__rank", ranked).where(F.col("__rank") <= room)
+    return kept.unionByName(at_limit.drop("__hash", "__row", "__part", "__rank"))
+
+
+def _crossing(values: DataFrame, split: str, caps: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """For each split with more rows than its cap: the value at which the cap is passed, and the room left before it.
+
+    Values are counted first, so a split is as many rows in the window as it has distinct values.
+    """
+    cap = F.lit(0)
+    for name, rows in caps.items():
+        cap = F.when(F.col(split) == name, F.lit(int(rows))).otherwise(cap)
+    running = Window.partitionBy(split).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = values.groupBy(split, "value").agg(F.count(F.lit(1)).alias("n")).withColumn("through", F.sum("n").over(running))
+    first = counted.where(F.col("through") > cap).groupBy(split).agg(
+        F.min(F.struct("value", (cap - F.col("through") + F.col("n")).alias("room"))).alias("at")
+    )
+    return {r[split]: (r["at"]["value"], r["at"]["room"]) for r in first.collect()}  # one row a split
 
 
 def sample_per_entity(

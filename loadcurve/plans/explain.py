@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,6 +17,7 @@ from loadcurve.operators.onerow import attach_row
 from loadcurve.operators.ranks import exact_medians, exact_quantiles
 from loadcurve.operators.sampling import sample_per_entity
 from loadcurve.operators.sized import join_lookup
+from loadcurve.plans.clusters import cluster_rows
 from loadcurve.plans.models import ModelScorer, Scorer, present_features
 from loadcurve.session import cut_lineage
 
@@ -194,35 +192,17 @@ def kmeans_profiles(
     starts: int = 10,
     seed: int = 42,
     keys: Sequence[str] | None = None,
-    parallelism: int = 5,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Clusters of 24-hour profiles: (buildings with cluster, centres per cluster and hour).
 
-    The start with the lowest cost of `starts` seeds wins; some starts run side by side.
+    The start with the lowest cost wins; all starts share each pass over the profiles (`plans/clusters.py`).
     """
     keys = list(keys or entity_keys(features))
     columns = [f"h{h}" for h in HOURS]
-    profiles = VectorAssembler(inputCols=columns, outputCol="features").transform(
-        hourly_profile(features, keys)
-    )
-    profiles = profiles.select(*keys, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    profiles.count()
-
-    @inheritable_thread_target(profiles.sparkSession)
-    def fit(i: int):
-        return KMeans(k=k, seed=seed + i).fit(profiles)
-
-    with ThreadPool(min(parallelism, starts)) as pool:
-        fits = pool.map(fit, range(starts))
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = profiles.sparkSession.createDataFrame(
-        [
-            (c, h, float(v))
-            for c, centre in enumerate(best.clusterCenters())
-            for h, v in enumerate(centre)
-        ],
+    labels, found, _ = cluster_rows(hourly_profile(features, keys), keys, columns, k=k, starts=starts, seed=seed, **options)
+    centres = features.sparkSession.createDataFrame(
+        [(c, h, float(v)) for c, centre in enumerate(found) for h, v in enumerate(centre)],
         "cluster int, hour int, usage double",
     )
-    labels = cut_lineage(best.transform(profiles).select(*keys, F.col("prediction").alias("cluster")))
-    profiles.unpersist()
     return labels, centres

@@ -85,6 +85,15 @@ def test_kde_2d_close_to_exact_sum(spark):
     np.testing.assert_allclose(out["density"], want, atol=2e-3 * want.max())
 
 
+def test_kde_2d_touches_near_cells_only_and_keeps_all(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.05, 4000), [30.0]])
+    df = spark.createDataFrame([(float(a), float(a + b)) for a, b in zip(x, rng.normal(0, 0.05, 4001))], "x double, y double")
+    out, whole = (diag.kde_2d(df, "x", "y", gridsize=20, reach=r).toPandas().sort_values(["grid_x", "grid_y"]) for r in (8.0, 1e6))
+    assert len(out) == len(whole) == 400 and (out["density"] == 0).any()
+    np.testing.assert_allclose(out["density"], whole["density"], atol=1e-12 * whole["density"].max())
+
+
 def test_error_cdf_with_ties(spark):
     rows = [("a", 0.0, e) for e in [0.0, 0.0, 0.0, 0.2, 0.5]]
     preds = spark.createDataFrame(rows, "building_name string, y_true double, y_pred double")

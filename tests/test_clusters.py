@@ -1,0 +1,68 @@
+"""All starts of k-means share the passes over the rows."""
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from loadcurve.plans import clusters
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 4, (6, 3))
+    x = middles[rng.integers(0, 6, 900)] + rng.normal(0, 1, (900, 3))
+    rows = [(i, *map(float, p)) for i, p in enumerate(x)]
+    return spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(5).checkpoint()
+
+
+COLUMNS = ["a", "b", "c"]
+
+
+def _fit(df, starts, seed=7, **options):
+    return clusters.cluster_rows(df, ["id"], COLUMNS, k=6, starts=starts, seed=seed, **options)
+
+
+def test_best_of_ten_equals_the_best_of_ten_separate_fits(points):
+    labels, centres, cost = _fit(points, 10)
+    alone = [_fit(points, 1, seed=7 + s)[2] for s in range(4)]
+    assert min(alone) >= cost - 1e-9
+    x = points.select(F.array(*COLUMNS).alias("x")).select(array_to_vector("x").alias("features")).cache()
+    theirs = min(KMeans(k=6, seed=s).fit(x).summary.trainingCost for s in range(5))
+    assert cost <= theirs * 1.001
+    pdf = points.join(labels, "id").toPandas()
+    away = ((pdf[COLUMNS].to_numpy()[:, None] - centres) ** 2).sum(axis=2)
+    assert (away.argmin(axis=1) == pdf["cluster"]).all() and abs(away.min(axis=1).sum() - cost) < 1e-6
+    # The centres are the means of their rows, but for the last tolerated move.
+    for c in range(6):
+        np.testing.assert_allclose(centres[c], pdf.loc[pdf["cluster"] == c, COLUMNS].mean(), atol=1e-3)
+
+
+def test_start_s_is_the_first_start_of_its_seed(spark, points):
+    rows = points.select(F.xxhash64("id").alias("name"), F.array(*COLUMNS).alias("x"))
+    clusters.let_workers_import(spark)
+    centres, costs = clusters.fit_starts(rows, 3, k=6, starts=3, seed=7)
+    again, cost = clusters.fit_starts(rows.coalesce(1), 3, k=6, starts=1, seed=9)
+    np.testing.assert_allclose(again[0], centres[2], atol=1e-9)
+    assert abs(cost[0] - costs[2]) < 1e-6
+
+
+def test_jobs_do_not_grow_with_the_starts(spark, points):
+    def jobs(starts):
+        spark.sparkContext.setJobGroup(f"starts-{starts}", "k-means")
+        _fit(points, starts, steps=3, tolerance=-1.0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts-{starts}"))
+
+    assert jobs(1) == jobs(10) > 0
+
+
+def test_few_equal_missing_and_no_rows(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, None), (None, 5.0)], "id int, a double")
+    labels, centres, cost = clusters.cluster_rows(df, ["id"], ["a"], k=3, starts=2, seed=1)
+    got = {r["id"]: r["cluster"] for r in labels.collect()}
+    assert set(got) == {1, 2, None} and got[1] == got[2] != got[None] and cost == 0.0 and centres.shape == (3, 1)
+    labels, centres, cost = clusters.cluster_rows(df.where("false"), ["id"], ["a"], k=3, starts=2, seed=1)
+    assert labels.count() == 0 and len(centres) == 0 and cost == 0.0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loadcurve.operators.sampling import downsample_every_nth, sample_per_entity, sample_split_cap
+from loadcurve.operators.sampling import downsample_every_nth, sample_hash, sample_per_entity, sample_split_cap
 from loadcurve.operators.series import window_over_hours, window_over_series, with_positions
 from loadcurve.plans.features import add_lags, lag_columns, lag_columns_by_hours
 from tests.helpers import hourly_frame
@@ -137,3 +137,15 @@ def test_split_cap_with_copies_stays_under_the_cap(spark):
     assert out.count() == 50
     only = copies.withColumn("split", F.lit("train")).repartition(5)
     assert sample_split_cap(only, {"train": 100}, ["building_name", "full_timestamp"]).count() == 100
+
+
+def test_split_cap_keeps_the_lowest_hashes_on_any_partitioning(spark):
+    df, _ = hourly_frame(spark, {f"b{i}": 200 for i in range(8)})
+    df = df.withColumn("split", F.when(F.col("building_name") < "b3", "train").when(F.col("building_name") < "b6", "val").otherwise("test"))
+    keys, caps = ["building_name", "full_timestamp"], {"train": 77, "val": 0, "test": 10**12}
+    hashed = df.withColumn("h", sample_hash(keys, 42)).toPandas()
+    want = pd.concat([g.nsmallest(min(caps[s], len(g)), "h") for s, g in hashed.groupby("split")])
+    for rows in (df.coalesce(1), df.repartition(7)):
+        got = sample_split_cap(rows, caps, keys).toPandas()
+        assert set(map(tuple, got[keys].to_numpy())) == set(map(tuple, want[keys].to_numpy())) and len(got) == len(want) == 477
+    assert sample_split_cap(df.where("false"), caps, keys).count() == 0
