@@ -57,12 +57,13 @@ def _model(spark: SparkSession, sf: str, kind: str):
     return _fitted[key]
 
 
+def _scorer(spark: SparkSession, sf: str, kind: str) -> models.Scorer:
+    """One forecast; only its own model is fitted."""
+    return models.column_scorer(F.col("lag_1h")) if kind == "naive" else models.model_scorer(_model(spark, sf, kind))
+
+
 def _scorers(spark: SparkSession, sf: str) -> dict[str, models.Scorer]:
-    return {
-        "naive": models.column_scorer(F.col("lag_1h")),
-        "forest": models.model_scorer(_model(spark, sf, "forest")),
-        "boosted": models.model_scorer(_model(spark, sf, "boosted")),
-    }
+    return {kind: _scorer(spark, sf, kind) for kind in ("naive", "forest", "boosted")}
 
 
 @query("forecast_naive", sql(f"""
@@ -171,7 +172,7 @@ def slopes_of_response(spark: SparkSession, sf: str) -> DataFrame:
     grid, keys = explain.unit_grid(11), ["region", "building_name", "full_timestamp"]
     rows, parts = cut_lineage(_split(spark, sf, "test")), []
     for name in ("forest", "boosted"):
-        scorer = _scorers(spark, sf)[name]
+        scorer = _scorer(spark, sf, name)
         own = explain.response_slopes(rows, scorer, grid).select(*keys, F.col("slope").alias("own"))
         curves = explain.ice_slope(explain.ice_curves(rows, scorer, grid, ids=keys), keys, len(grid))
         both = cut_lineage(own.join(curves, keys))
@@ -201,7 +202,7 @@ def evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("predict_test", _keys_sql("test", *_IN_RANGE))
 def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    out = models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["boosted"])
+    out = models.predict_test(_split(spark, sf, "test"), _scorer(spark, sf, "boosted"))
     return rounded(_checked(spark, sf, out), "y_true")
 
 
@@ -218,7 +219,7 @@ QUALIFY row_number() OVER (PARTITION BY region, building_name ORDER BY full_time
 """))
 def next_hour(spark: SparkSession, sf: str) -> DataFrame:
     latest = prediction_features(fx.unified(spark, sf), unique_hours=True)
-    out = models.predict_next_hour(latest, _scorers(spark, sf)["boosted"])
+    out = models.predict_next_hour(latest, _scorer(spark, sf, "boosted"))
     return rounded(_checked(spark, sf, out, "y_pred_next"), *_SCORED_FEATURES)
 
 
@@ -404,7 +405,7 @@ WHERE split = 'test' AND {' AND '.join(f'{c} IS NOT NULL' for c in K.MODEL_FEATU
 """))
 def model_elasticity(spark: SparkSession, sf: str) -> DataFrame:
     """Rows behind the elasticity of every building under the fitted forest, and whether its segment follows the rule."""
-    scorer = _scorers(spark, sf)["forest"]
+    scorer = _scorer(spark, sf, "forest")
     out = cut_lineage(explain.segment_by_quartile(explain.elasticity_by_entity(_split(spark, sf, "test"), scorer)))
     quarters = out.agg(F.percentile("elasticity", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.stddev_pop("elasticity").alias("sd"))
     e, q = F.col("elasticity"), F.col("__q.q")
@@ -418,7 +419,7 @@ SELECT region, building_name, count(*) AS n, TRUE AS agrees, TRUE AS varies FROM
 """))
 def forest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Test MAE per building of the fitted forest: rows behind it, and whether it agrees with sums over stored predictions."""
-    predicted = cut_lineage(models.predict_test(_split(spark, sf, "test"), _scorers(spark, sf)["forest"]))
+    predicted = cut_lineage(models.predict_test(_split(spark, sf, "test"), _scorer(spark, sf, "forest")))
     error = F.abs(F.col("y_true") - F.col("y_pred"))
     again = predicted.groupBy("region", "building_name").agg(
         F.sum(error).alias("s"), F.count(error).alias("n"), F.stddev_pop("y_pred").alias("sd")

@@ -20,9 +20,11 @@ from loadcurve.plans.trees import FlatTrees, trees_of_forest
 from loadcurve.session import ensure_checkpoint_dir, let_workers_import
 from loadcurve.sources.readers import path_exists
 
-#: Training rows of one task, at least, and memory for the statistics of the nodes that are split in one pass.
+#: Training rows of one task, at least.
 ROWS_PER_TASK = 2_000
-NODE_MEMORY_MB = 1024
+#: Memory for the statistics of the nodes that are split in one pass. Every running task holds so much outside Spark's accounting, and
+#: its own copy of the trees that have nodes in the pass, which are fewer in a smaller pass.
+NODE_MEMORY_MB = 256
 
 Model = PipelineModel | FlatTrees
 Scorer = Callable[[DataFrame], DataFrame]
