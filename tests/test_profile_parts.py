@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loadcurve.catalog import relational
 from loadcurve.operators.aggregates import profile_dataset
 from loadcurve.plans import profile_parts
 from tests.helpers import hourly_frame
@@ -50,3 +51,21 @@ def test_names_of_parts(spark, tmp_path):
     for name in ("", "a/b", "..", "x=y", "_x"):
         with pytest.raises(ValueError):
             profile_parts.store_part(df, str(tmp_path), name)
+
+
+def test_exact_parts_count_every_building(spark, tmp_path):
+    path, names = str(tmp_path / "profile"), F.concat(F.lit("b"), F.col("id") % 30_000)
+    df = spark.range(50_000).select(
+        F.when(F.col("id") % 7 != 0, names).alias("building_name"), F.when(F.col("id") % 2 == 0, "NSW").alias("region"), F.col("id").alias("full_timestamp")
+    )
+    for part, rows in (("one", df.where("full_timestamp < 20000")), ("two", df.where("full_timestamp >= 20000")), ("two", df.where("full_timestamp >= 20000"))):
+        profile_parts.store_part(rows, path, part, exact=True)
+    assert _rows(profile_parts.merged_profile(spark, path)) == _rows(profile_dataset(df))
+
+
+def test_profile_query_counts_by_name(spark, tmp_path, monkeypatch):
+    df = spark.range(40_000).select(
+        F.concat(F.lit("b"), "id").alias("building_name"), F.lit("NSW").alias("region"), F.col("id").alias("full_timestamp"), F.lit("train").alias("split")
+    )
+    monkeypatch.setattr(relational, "_split_features", lambda spark, sf: df)
+    assert {r["n_buildings"] for r in relational.appended_profile(spark, "").collect()} == {40_000}
