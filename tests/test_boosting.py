@@ -177,3 +177,36 @@ def test_only_an_input_by_itself_is_varied(fitted):
     frame, made = fitted
     with pytest.raises(ValueError, match="by itself"):
         explain.ice_steps(frame, models.model_scorer(made["forest"]), [0.0, 1.0], column="precipitation")
+
+
+def test_of_siblings_only_the_smaller_is_counted():
+    rng = np.random.default_rng(6)
+    codes, residual = rng.integers(0, 20, (3, 2000)).astype(np.uint8), rng.integers(-1000, 1000, 2000)
+    codes[1, ::9] = boosting.MISSING
+    asked = []
+
+    def cells_of(tree, frontier):
+        node = boosting._nodes_of(codes, tree)
+        asked.append(sum(int((node == i).sum()) for i in frontier))
+        out = np.zeros((len(frontier), 3, boosting.MISSING + 1, 2), np.int64)
+        for slot, i in enumerate(frontier):
+            for f in range(3):
+                np.add.at(out[slot, f], codes[f, node == i], np.stack([np.ones(2000, np.int64), residual], 1)[node == i])
+        return out
+
+    limits = boosting._Limits((19, 19, 19), 1.0, 0.1, 5, 31, 10)
+    tree = boosting._grow(cells_of, limits)
+    assert asked[0] == 2000 and all(rows <= 1000 for rows in asked[1:])
+    node = boosting._nodes_of(codes, tree.arrays())
+    for leaf in set(node.tolist()):
+        assert tree.rows[leaf] == (node == leaf).sum() and tree.sums[leaf] == residual[node == leaf].sum()
+
+
+def test_a_level_walks_no_earlier_tree(spark, monkeypatch):
+    """Predictions are carried with the blocks from round to round: what a level is given does not grow with the rounds."""
+    x, y = _data(1200)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 300)
+    sizes, cells = [], boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda *given: sizes.append([len(g) for g in given if isinstance(g, list)]) or cells(*given))
+    model = boosting.fit_boosted_trees(_frame(spark, x, y), "y", NAMES, rounds=6, max_depth=2)
+    assert len(model.trees) == 6 and all(s == [] for s in sizes) and len(sizes) == 6
