@@ -35,7 +35,7 @@ class LastDay(StatefulProcessor):
         self.state = handle.getValueState("last_day", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else ([],) * 6
+        held = self.state.get() or ([],) * 6
         times, usage, temperature, *waiting = (list(x) for x in held)
         for part in rows:
             for into, c in zip(waiting, ("in_at", "in_usage", "in_temperature"), strict=True):
@@ -64,10 +64,12 @@ class LastDay(StatefulProcessor):
         self.state.update((times, usage, temperature, *left))
         if out:
             names = ["at", "usage", "temperature", "lag_1h", "lag_24h", "rollmean_24h", "temp_lag_1h", "temp_lag_24h"]
-            frame = pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[1:], "float64"))
-            for i, (name, value) in enumerate(zip(self.keys, key, strict=True)):
-                frame.insert(i, name, value)
-            yield frame
+            # one frame for each building: made of whole columns, which takes a fraction of the time of one made of rows
+            columns = {name: [value] * len(out) for name, value in zip(self.keys, key, strict=True)}
+            at, *rest = zip(*out, strict=True)
+            columns["at"] = np.array(at, np.int64)
+            columns |= {name: np.array(x, np.float64) for name, x in zip(names[1:], rest, strict=True)}
+            yield pd.DataFrame(columns)
 
     def close(self) -> None:
         pass

@@ -1,11 +1,14 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loadcurve.plans import models
 from loadcurve.plans.features import add_lags
+from loadcurve.streaming import next_hour
 from loadcurve.streaming.next_hour import stream_lags, stream_next_hour
 
 SCHEMA = "region string, building_name string, full_timestamp timestamp_ntz, usage_kwh_norm double, apparent_temperature_norm double"
@@ -81,3 +84,28 @@ def test_forecast_on_arrival(spark, rows):
     out = stream_next_hour(lagged, models.column_scorer(F.col("lag_1h") + F.col("hour"))).collect()
     assert len(out) == lagged.dropna(subset=LAGS[:3]).count() > 0
     assert all(r["y_pred_next"] == r["lag_1h"] + r["hour"] and r["timestamp_next"] - r["timestamp_last"] == timedelta(hours=1) for r in out)
+
+
+def test_a_buildings_rows_become_columns_at_once():
+    class Kept:
+        asked, value = 0, None
+
+        def exists(self):
+            raise AssertionError("one question a building: the value itself says whether it is there")
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    state, day = next_hour.LastDay(0, ["region", "building_name"]), 26
+    state.state = Kept()
+    rows = pd.DataFrame({"in_at": np.arange(day) * 10, "in_usage": [None, *np.arange(day - 1.0)], "in_temperature": np.arange(float(day))})
+    (frame,) = state.handleInputRows(("NSW", "b1"), iter([rows]), None)
+    assert list(frame.columns[:3]) == ["region", "building_name", "at"] and set(frame["building_name"]) == {"b1"}
+    assert frame["at"].dtype == "int64" and all(str(t) == "float64" for t in frame.dtypes[3:])
+    last = frame.iloc[-1]
+    assert (last["lag_1h"], last["lag_24h"], last["rollmean_24h"], last["temp_lag_24h"]) == (23.0, 0.0, 11.5, 1.0)
+    assert frame["usage"].isna().tolist() == [True] + [False] * (day - 1)
+    assert list(state.handleInputRows(("NSW", "b1"), iter([rows]), None)) == [] and len(state.state.value[0]) == 24
