@@ -153,9 +153,7 @@ def chunk_packets(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndar
     if length:
         on &= np.append(good, False)[at + 1]
     following = np.where(on, word[after], size - 1)
-    prefix = lang[at]
-    for k in range(length):
-        prefix = np.unique(prefix * size + word[at + k], return_inverse=True)[1]
+    prefix = _prefix_numbers(lang[at], [word[at + k] for k in range(length)], size)
     pairs, counts = np.unique(prefix * size + following, return_counts=True)
     prefix_of, following = np.divmod(pairs, size)
     example = np.zeros(prefix_of[-1] + 1, np.int64)
@@ -183,6 +181,17 @@ def chunk_packets(langs: pa.Array, texts: pa.Array, length: int, tables: np.ndar
 _PACKET_SCHEMA = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("stripes", pa.string())])
 
 
+def _prefix_numbers(lang: np.ndarray, words: list[np.ndarray], size: int, room: int = 1 << 62) -> np.ndarray:
+    """Numbers of the tuples (lang, words), in their order, gapless if there are words; sorted only where a product would leave `room`."""
+    number, most = lang, int(lang.max()) + 1
+    for i, word in enumerate(words):
+        number, most = number * size + word, most * size
+        if i == len(words) - 1 or most * size >= room:
+            number = np.unique(number, return_inverse=True)[1]
+            most = int(number.max()) + 1
+    return number
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     changed = np.ones(len(columns[0]), bool)

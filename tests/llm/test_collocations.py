@@ -92,3 +92,19 @@ def test_marked_phrases_are_found(spark):
     assert co.is_marked(table[0], marks).all()
     assert not co.is_marked(table[1], marks).any()
     assert co.is_marked(table[0], np.arange(1, 10**6, 7919, dtype=np.uint64) * np.uint64(2**40 + 12345)).mean() < 0.01
+
+
+def test_prefixes_are_numbered_in_one_sort_while_there_is_room():
+    rng = np.random.default_rng(4)
+    lang, words = rng.integers(0, 3, 5000), [rng.integers(0, 9, 5000) for _ in range(4)]
+    want = np.unique(np.stack([lang, *words], 1), axis=0, return_inverse=True)[1].ravel()
+    sorts, unique = [], np.unique
+    for room, most in ((1 << 62, 1), (3 * 9**3, 3), (9, 4)):
+        sorts.clear()
+        np.unique = lambda *a, **k: sorts.append(1) or unique(*a, **k)
+        try:
+            got = co._prefix_numbers(lang, words, 9, room)
+        finally:
+            np.unique = unique
+        assert (got == want).all() and len(sorts) <= most
+    assert (co._prefix_numbers(lang, [], 9) == lang).all()
