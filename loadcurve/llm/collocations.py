@@ -241,6 +241,12 @@ def merged_stripes(docs: DataFrame, length: int, tables) -> DataFrame:
     )
 
 
+def _stored_whole(df: DataFrame) -> DataFrame:
+    """As `stored`, in files of full size: what is left of the many tasks of a merge is little, and each file that Spark writes costs its
+    executor a forked process and a task of every later reader."""
+    return stored(df.hint("rebalance"))
+
+
 def extensions(stripes: DataFrame) -> DataFrame:
     """The frequent phrases that stripes hold: lang, phrase, f."""
     e = stripes.select("lang", "prefix", F.inline("entries"))
@@ -251,7 +257,7 @@ def all_stripes(docs: DataFrame) -> list[DataFrame]:
     """Merged stripes by prefix length, from 0 words on, as stored tables; ends where no phrase is frequent."""
     made, tables = [], None
     for length in range(MAX_WORDS):
-        made.append(stored(merged_stripes(docs, length, tables)))
+        made.append(_stored_whole(merged_stripes(docs, length, tables)))
         if not length:
             words = made[0].agg(F.sum("total")).first()[0] or 0
         tables = phrase_table(extensions(made[-1]), max(HOT_LEAST, words // HOT_SHARE))
@@ -268,10 +274,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     count = lambda c: F.size(F.split(c, " ", -1))
     none = stripes[0].limit(0)
     found = union([extensions(s) for s in stripes[1:]] or [extensions(none)])
-    found = stored(found.select("lang", "phrase", F.col("f").alias("a"), count("phrase").alias("words")))
+    found = _stored_whole(found.select("lang", "phrase", F.col("f").alias("a"), count("phrase").alias("words")))
     # counts of the phrases of 1 to 4 words, each with its largest extension to the right
     totals = union(stripes[1:] or [none]).groupBy("lang", F.col("prefix").alias("part")).agg(F.sum("total").alias("f"), F.max("best").alias("right"))
-    totals = stored(totals.where(F.col("f") >= MIN_COUNT))
+    totals = _stored_whole(totals.where(F.col("f") >= MIN_COUNT))
     left = found.groupBy("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase")).agg(F.max("a").alias("left"))
     right = totals.select("lang", F.col("part").alias("phrase"), "right")
     kept = (

@@ -108,3 +108,18 @@ def test_prefixes_are_numbered_in_one_sort_while_there_is_room():
             np.unique = unique
         assert (got == want).all() and len(sorts) <= most
     assert (co._prefix_numbers(lang, [], 9) == lang).all()
+
+
+def test_small_tables_are_stored_in_one_file_each(spark):
+    docs = spark.createDataFrame([("en", f"w{i % 7} w{i % 5} w{i % 3} same old words") for i in range(3000)], "lang string, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")  # many tasks for the merge, as with much text
+    try:
+        merged = co.merged_stripes(docs, 0, None).cache()
+        assert merged.rdd.getNumPartitions() > 1
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        assert len(co._stored_whole(merged).inputFiles()) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        merged.unpersist()
