@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadcurve import constants as K
 from loadcurve.plans import boosting, explain, models
-from loadcurve.plans.trees import FlatTrees
+from loadcurve.plans.trees import FlatTrees, tree_of_description
 
 NAMES = ["a", "b", "c"]
 
@@ -164,6 +164,30 @@ def test_flat_forest_predicts_as_the_pipeline(spark, fitted):
     assert max(abs(one[i] - other[i]) for i in one) < 1e-9
 
 
+def test_a_forest_is_read_without_a_job(spark, fitted):
+    """Its stored form is written by one task that holds the whole forest, which the driver has to send."""
+    forest = fitted[1]["forest"]
+    spark.sparkContext.setJobGroup("reads the forest", "")
+    try:
+        flat = models.model_scorer(forest).trees(spark)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("reads the forest")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(len(t.feature) for t in flat.trees) == forest.stages[-1].totalNumNodes
+
+
+def test_a_tree_of_its_description():
+    cut = "  If (feature 1 <= -1.5E-4)\n   Predict: 0.25\n  Else (feature 1 > -1.5E-4)\n"
+    inner = "   If (feature 0 <= 2.0)\n    Predict: 1.0\n   Else (feature 0 > 2.0)\n    Predict: -3.0E-5\n"
+    tree = tree_of_description(f"DecisionTreeRegressionModel: depth=2, numNodes=5\n{cut}{inner}", 5)
+    assert (tree.feature == [1, -1, 0, -1, -1]).all() and (tree.left == [1, -1, 3, -1, -1]).all() and (tree.right == [2, -1, 4, -1, -1]).all()
+    x = np.array([[2.0, 2.0, 2.1], [-1.5e-4, 0.0, 0.0]])
+    assert tree.predict(x).tolist() == [0.25, 1.0, -3e-5]
+    assert tree_of_description("head\n  Predict: 7.0\n", 1).predict(x).tolist() == [7.0] * 3
+    with pytest.raises(ValueError, match="categories"):
+        tree_of_description("head\n  If (feature 0 in {1.0})\n   Predict: 1.0\n  Else (feature 0 not in {1.0})\n   Predict: 2.0\n", 3)
+
+
 def test_stored_trees_are_the_same(spark, fitted, tmp_path):
     frame, made = fitted
     models.save_model(made["boosted"], str(tmp_path / "m"))
