@@ -234,3 +234,26 @@ def test_a_level_walks_no_earlier_tree(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_histograms", lambda *given: sizes.append([len(g) for g in given if isinstance(g, list)]) or cells(*given))
     model = boosting.fit_boosted_trees(_frame(spark, x, y), "y", NAMES, rounds=6, max_depth=2)
     assert len(model.trees) == 6 and all(s == [] for s in sizes) and len(sizes) == 6
+
+
+def test_one_task_gives_the_trees_of_many(spark, monkeypatch):
+    """Far more rows than a stored block has are fitted without a job for each level, to the trees that many tasks add up."""
+    x, y = _data(3000)
+    x = np.round(np.column_stack([x, x[:, 0] > 0.5, np.floor(x[:, 0] * 4), np.ones(3000)]), 2)
+    names = [*NAMES, "d", "e", "f"]
+    rows = [(*[None if math.isnan(v) else float(v) for v in r], float(t), i % 11 == 0) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "y"]) + ", held boolean").repartition(5).cache()
+    made, jobs = [], []
+    for block, stored in ((1 << 22, 200), (200, 1 << 16)):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", block)
+        monkeypatch.setattr(boosting, "STORED_ROWS", stored)
+        for held in (None, "held"):
+            spark.sparkContext.setJobGroup(f"{block} {held}", "")
+            made.append(boosting.fit_boosted_trees(frame, "y", names, rounds=6, max_depth=5, held_out=held, patience=50))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{block} {held}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for one, other in zip(made[:2], made[2:], strict=True):
+        for a, b in zip(one.trees, other.trees, strict=True):
+            assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.rows == b.rows).all() and (a.missing_left == b.missing_left).all()
+        assert np.abs(one.predict(x.T) - other.predict(x.T)).max() < 1e-9
+    assert max(jobs[:2]) <= 16 < min(jobs[2:])
